@@ -3,26 +3,27 @@
 A document's set holds its distinct word shingles. Two documents link when their sets' Jaccard similarity reaches t; documents
 with links between them form a component. The result is exact and never lists the pairs of a group of copies.
 
-Method. Shingles are ordered by rarity (the count, over all documents, of the bucket a shingle hashes to, then its hash). A
-document's group is its rarest shingle, so similar documents mostly share a group. The token-group matrix is kept inverted,
-shingle -> groups, and only for prefixes: if J(x, y) >= t, the first |x| - ceil(t|x|) + 1 shingles of x and those of y
-have one in common. Where a shingle of a document's prefix occurs in the prefixes of another group, and lengths and positions
-allow t, the document becomes a query to that group. A group's token union bounds the overlap that a
-query can have with any member; only groups where the bound reaches t are opened, and their members compared.
+Method. Shingles are ordered by rarity (the count, over all documents, of the bucket a shingle hashes to, then its hash). The
+token-group matrix is kept inverted, shingle -> group, and only for prefixes: if J(x, y) >= t, the first |x| - ceil(t|x|) + 1
+shingles of x and those of y have one in common. The documents with a shingle in their prefixes, less those that lengths and positions
+leave no partner there, are a group; shingles with the same documents share one group. So similar documents meet in a group, and
+a group of copies is one group, or few, however large.
 
-Inside a group (or a block of a large one) members are compared with its pivot, which all blocks of a group share; a member that links
-to the pivot is done. The rest, and the queries, are compared with the members block by block. Links are found between
-documents, components from links by min-label hooking over tables.
+Inside a group (or a block of a large one) documents are compared with its pivot, which all blocks of a group share; what links
+to the pivot is done. Each of the rest is a query to the group: the group's token union bounds the overlap that it can
+have with any member, and only where the bound reaches t is the group opened and are the members compared that it is not connected with yet.
+Components come from the links by large-star and small-star steps over tables.
 
 Scale and skew: exact copies collapse before any join: their sets are counted with map-side combination, and the most common ones are a
 broadcast list of fixed length (a set outside it has few copies). Rarity keeps passages that many documents share
-out of prefixes. A task of the prefix join sees a hash range of shingles and emits (document, group), not pairs of
-documents. Groups are cut into blocks of bounded size; sets travel once as members, and as queries only where the matrix says so.
-Texts are never shuffled: each pass reads them again.
+out of prefixes. A task of the prefix join sees a hash range of shingles and emits (group, document), never pairs; shingles that are
+common all the same become groups directly, and no task sees their documents together. Groups are cut into blocks of bounded size. Texts are never
+shuffled: each pass reads them again.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, arrow, map_arrow, materialize, shingle_set
+from .common import Powers, arrow, map_arrow, materialize, mixed, shingle_set
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Buckets of the shingle counts that rarity is read from.
-BUCKETS = 1 << 16
+#: Buckets of the shingle counts that rarity is read from, and pieces that the counts are added up in.
+BUCKET_BITS, PIECES = 22, 64
 #: The most common sets, of which only one document joins.
 COMMON = 50_000
+#: Shingles in buckets with larger counts become groups without a task that sees all their documents.
+FREQUENT = 500_000
 #: Documents in a block of a group.
 BLOCK = 2000
 #: Bits of the filter that says which documents take part in a comparison.
@@ -70,26 +73,47 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Shingles in each bucket, over the sets of all rows; a task adds up its own before they are shuffled."""
+    """Shingles in each bucket, over the sets of all rows.
+
+    A task adds up its own counts and sends them in pieces, packed; each piece is summed where it arrives, one at a time.
+    """
+    size = (1 << BUCKET_BITS) // PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, total = Powers(), np.zeros(BUCKETS, np.int64)
+        powers, total, any_ = Powers(), np.zeros(1 << BUCKET_BITS, np.int32), False
         for b in batches:
-            for t in b.column("text"):
-                total += np.bincount((shingle_set(t.as_py(), width, powers) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["b", "n"])
-
-    held = arrow(docs.select("text"), count, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, np.int64)
-    out[held.b] = held.n
-    return out
+            found = [_bucket(shingle_set(t.as_py(), width, powers)) for t in b.column("text")]
+            if sum(map(len, found)):
+                total += np.bincount(np.concatenate(found), minlength=len(total)).astype(np.int32)
+                any_ = True
+        if any_:
+            packed = [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(packed, pa.binary())], ["piece", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column("piece").to_pylist(), b.column("counts"), strict=True):
+                own = np.frombuffer(zlib.decompress(packed.as_py()), np.int32).astype(np.int64)
+                total[k] = total[k] + own if k in total else own
+        if total:
+            packed = [zlib.compress(v.tobytes(), 1) for v in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], ["piece", "counts"])
+
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    schema = "piece int, counts binary"
+    for r in arrow(arrow(docs.select("text"), count, schema).repartition("piece"), add, schema).toLocalIterator():
+        out[r.piece * size : (r.piece + 1) * size] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The set's shingles, rarest first."""
-    return s[np.lexsort((s, counts[(s >> np.uint64(48)).astype(np.int64)]))]
+    return s[np.argsort(counts[_bucket(s)], kind="stable")]
 
 
 def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -98,86 +122,83 @@ def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, shared, width: int) -> DataFrame:
-    """doc_id, n, grp (the rarest shingle) and prefix of each row that joins."""
+    """doc_id, n, and the prefix of each row that joins: first its ordinary shingles, then the frequent ones."""
 
     def make():
         powers = Powers()
         counts, common = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            ids, sizes, groups, out = [], [], [], []
+            ids, sizes, prefix, frequent = [], [], [], []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 s = shingle_set(text.as_py(), width, powers)
                 if not len(s) or key is None or common.get(_name(s), key) != key:
                     continue
                 n = len(s)
-                order = _ordered(s, counts).view(np.int64)
+                order = _ordered(s, counts)[: n - -(-PERCENT * n // 100) + 1]
+                cut = int(np.searchsorted(counts[_bucket(order)], FREQUENT, "right"))
                 ids.append(key)
                 sizes.append(n)
-                groups.append(order[0])
-                out.append(order[: n - -(-PERCENT * n // 100) + 1])
+                prefix.append(order[:cut].view(np.int64))
+                frequent.append(order[cut:].view(np.int64))
             if not ids:
                 return None
-            ends = np.cumsum([0, *map(len, out)])
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(groups, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out))),
-                ],
-                ["doc_id", "n", "grp", "prefix"],
-            )
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x))) for x in (prefix, frequent)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *lists], ["doc_id", "n", "prefix", "frequent"])
 
         return each
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id bigint, n int, grp bigint, prefix array<bigint>")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id bigint, n int, prefix array<bigint>, frequent array<bigint>")
 
 
-def _candidates(doc: np.ndarray, grp: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, group) for the rows of one shingle: of two groups, the documents of the one with fewer here query the other."""
-    names, group, size = np.unique(grp, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return doc[:0], grp[:0]
-    found = []
-    rank = size[group] * len(names) + group  # a strict order of groups
-    for i in range(0, len(doc), 256):
-        q = slice(i, i + 256)
-        need = _need(n[q, None].astype(np.int64), n[None])
-        ok = (rank[None] > rank[q, None]) & (np.minimum(n[q, None] - at[q, None], n[None] - at[None]) >= need)
-        a, b = np.nonzero(ok)
-        found.append(np.unique(np.stack((doc[q][a], grp[b])), axis=1))
-    both = np.concatenate(found, axis=1)
-    return both[0], both[1]
+def _partnered(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which documents of a shingle's have another one there that lengths and positions allow to be similar."""
+    if len(n) > 4000:
+        return np.ones(len(n), bool)
+    ok = np.zeros(len(n), bool)
+    for i in range(0, len(n), 512):
+        q = slice(i, i + 512)
+        fit = np.minimum(n[q, None] - at[q, None], n[None] - at[None]) >= _need(n[q, None], n[None])
+        fit[np.arange(fit.shape[0]), np.arange(i, i + fit.shape[0])] = False
+        ok[q] |= fit.any(axis=1)
+        ok |= fit.any(axis=0)
+    return ok
 
 
 def matrix(prefix: DataFrame) -> DataFrame:
-    """Rows (doc_id, grp, member): each document in its own group, and as a query to those that the matrix leaves possible."""
-    rows = prefix.select("doc_id", "n", "grp", F.posexplode("prefix").alias("at", "w"))
+    """Rows (grp, doc_id): the groups of two documents or more that shingles of prefixes make."""
+    rows = prefix.select("doc_id", "n", F.posexplode("prefix").alias("at", "w"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not held:
             return
-        doc, n, grp, at, w = (np.concatenate(c) for c in zip(*held, strict=True))
+        doc, n, at, w = (np.concatenate(c).astype(np.int64) for c in zip(*held, strict=True))
         del held
-        own = at == 0
-        out = [(doc[own], grp[own], True)]
-        order = np.argsort(w, kind="stable")
+        order = np.lexsort((doc, w))
         w = w[order]
         bounds = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1], [True])))
-        q, g = [doc[:0]], [grp[:0]]
+        seen, groups, members, size = set(), [], [], 0
         for i in np.flatnonzero(np.diff(bounds) > 1):
             run = order[bounds[i] : bounds[i + 1]]
-            a, b = _candidates(doc[run], grp[run], n[run], at[run])
-            q.append(a)
-            g.append(b)
-        pairs = np.unique(np.stack((np.concatenate(q), np.concatenate(g))), axis=1)
-        out.append((pairs[0], pairs[1], False))
-        for a, b, member in out:
-            for i in range(0, len(a), 50_000):
-                k = len(a[i : i + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + k]), pa.array(b[i : i + k]), pa.array(np.full(k, member))], ["doc_id", "grp", "member"])
+            ids = doc[run[_partnered(n[run], at[run])]]
+            if len(ids) < 2:
+                continue
+            key = int(mixed((mixed(ids.view(np.uint64)) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(ids))).view(np.int64)[0])
+            if key in seen:
+                continue
+            seen.add(key)
+            groups.append(np.full(len(ids), key))
+            members.append(ids)
+            size += len(ids)
+            if size >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], ["grp", "doc_id"])
+                groups, members, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], ["grp", "doc_id"])
 
-    return arrow(rows.repartition("w"), probe, "doc_id bigint, grp bigint, member boolean")
+    frequent = prefix.select(F.explode("frequent").alias("grp"), "doc_id")
+    return arrow(rows.repartition("w"), probe, "grp bigint, doc_id bigint").unionByName(frequent)
 
 
 class Filter:
@@ -252,73 +273,70 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (n + m - common)
 
 
-def _open(keys: list[int], tokens: list[np.ndarray], member: list[bool], pivot: int | None) -> list[tuple[int, int]]:
-    """Links among the documents of one block of a group; enough of them to connect what is connected.
+def _open(keys: list[int], tokens: list[np.ndarray], query: list[bool], hub: int) -> list[tuple[int, int]]:
+    """Links among the documents of one block of a group, as many as connect what is connected.
 
-    What links to the pivot needs no other link among itself. Any other member is compared with all documents whose sizes
-    allow it, any other query with all members, if the token union leaves them a chance.
+    query: documents that come from another block of the group; two of them need no comparison here.
     """
     links: list[tuple[int, int]] = []
-    inside = [i for i, m in enumerate(member) if m]
-    if not inside:
-        return links
-    hub = pivot if pivot is not None else inside[0]
-    near = {hub} | {i for i in range(len(keys)) if i != hub and _linked(tokens[i], tokens[hub])}
-    links += [(keys[i], keys[hub]) for i in near if i != hub]
-    rest = [i for i in range(len(keys)) if i not in near]
+    part = list(range(len(keys)))  # of each document, the root of what it is linked to
+
+    def root(i: int) -> int:
+        while part[i] != i:
+            part[i] = i = part[part[i]]
+        return i
+
+    rest = []
+    for i in range(len(keys)):
+        if i != hub and _linked(tokens[i], tokens[hub]):
+            part[i] = hub
+            links.append((keys[i], keys[hub]))
+        elif i != hub:
+            rest.append(i)
     if not rest or len(keys) == 2:
         return links
-    lone = set(rest)
     union, uses = np.unique(np.concatenate(tokens), return_counts=True)
     sizes = np.array([len(t) for t in tokens])
+    done = np.zeros(len(keys), bool)
     for i in rest:
-        own = tokens[i]
+        own, done[i] = tokens[i], True
         bound = int((uses[np.searchsorted(union, own)] > 1).sum())  # tokens of some other document
         if 100 * bound < PERCENT * len(own):
             continue  # the group stays closed to it
-        met = False  # one of the pivot's part
-        for j in np.flatnonzero(100 * np.minimum(sizes, len(own)) >= PERCENT * np.maximum(sizes, len(own))).tolist():
-            if j == i or j in near and met or not (member[i] or member[j]):
-                continue
-            if j in lone and member[i] and (not member[j] or j < i):
-                continue  # the other one of the two does it
-            if _linked(own, tokens[j]):
+        for j in np.flatnonzero(~done & (100 * np.minimum(sizes, len(own)) >= PERCENT * np.maximum(sizes, len(own)))).tolist():
+            if not (query[i] and query[j]) and root(i) != root(j) and _linked(own, tokens[j]):
                 links.append((keys[i], keys[j]))
-                met |= j in near
+                part[root(i)] = root(j)
     return links
 
 
 def open_groups(parts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links (a, b) found in the groups; parts: doc_id, grp, member, with groups that have more than one row only."""
-    # blocks: members are dealt among a group's blocks; its pivot and its queries go to each
-    sizes = parts.groupBy("grp").agg(F.sum(F.col("member").cast("int")).alias("members"), F.min(F.when(F.col("member"), F.col("doc_id"))).alias("pivot"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    dealt = parts.join(materialize(sizes.withColumn("blocks", blocks), "group-sizes"), "grp")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    """Links (a, b) found in the groups, whose rows (grp, doc_id) parts has."""
+    sizes = parts.groupBy("grp").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot"))
+    sizes = materialize(sizes.where("c > 1").select("grp", "pivot", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "groups")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    to = F.when(F.col("member") & (F.col("doc_id") != F.col("pivot")), F.array(own)).otherwise(every)
-    dealt = materialize(dealt.select("doc_id", "grp", "member", "pivot", "blocks", F.explode(to).alias("block")), "blocks")
-    first = _opened(dealt, tokens)
-    if not dealt.where("blocks > 1").limit(1).count():
-        return first
-    # members of large groups that do not link to the pivot meet the other blocks as queries
-    first = materialize(first, "links-1")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = parts.join(sizes, "grp").select("grp", "doc_id", "pivot", "blocks", F.explode(F.when(F.col("doc_id") == F.col("pivot"), every).otherwise(own)).alias("block"), F.lit(False).alias("query"))
+    dealt = materialize(dealt, "blocks")
+    first = materialize(_opened(dealt, tokens), "links")
     large = dealt.where("blocks > 1")
-    near = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
-    lone = large.where("member and doc_id <> pivot").join(near, ["doc_id", "pivot"], "left_anti")
-    lone = lone.select("doc_id", "grp", F.lit(False).alias("member"), "pivot", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    again = large.where("member").unionByName(lone).join(lone.select("grp").distinct(), "grp", "left_semi")
+    if not large.limit(1).count():
+        return first
+    # documents of large groups that do not link to the pivot meet the other blocks as queries
+    near = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
+    lone = large.where("doc_id <> pivot").join(near, ["doc_id", "pivot"], "left_anti")
+    queries = lone.select("grp", "doc_id", "pivot", "blocks", F.col("block").alias("home"), F.explode(every).alias("block"), F.lit(True).alias("query")).where("block <> home").drop("home")
+    again = large.join(lone.select("grp").distinct(), "grp", "left_semi").unionByName(queries)
     return first.unionByName(_opened(again, tokens))
 
 
 def _opened(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
-    rows = dealt.join(tokens, "doc_id").select("grp", "block", "doc_id", "member", "pivot", "tokens")
+    rows = dealt.join(tokens, "doc_id").select("grp", "block", "doc_id", "query", "pivot", "tokens")
 
     def one(table: pa.Table) -> pa.Table:
         keys, pivot = table.column("doc_id").to_pylist(), table.column("pivot")[0].as_py()
-        member = table.column("member").to_pylist()
-        tokens_ = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
-        links = _open(keys, tokens_, member, next((i for i, k in enumerate(keys) if k == pivot and member[i]), None))
+        sets_ = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
+        links = _open(keys, sets_, table.column("query").to_pylist(), keys.index(pivot))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return rows.groupBy("grp", "block").applyInArrow(one, "a bigint, b bigint")
@@ -363,8 +381,6 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     common = {bytes(r.name): r["first"] for r in same.orderBy(F.desc("copies"), "name").limit(COMMON).toLocalIterator()}
     shared = spark.sparkContext.broadcast((rarity(docs, width), common))
     parts = materialize(matrix(prefixes(docs, shared, width)).distinct(), "matrix")
-    busy = parts.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1")
-    parts = materialize(parts.join(busy.select("grp"), "grp", "left_semi"), "busy")
     bits = spark.sparkContext.broadcast(_filter_of(parts.select("doc_id")))
     links = open_groups(parts, token_sets(docs, bits, width))
     # copies link to the first of their set
