@@ -1,4 +1,4 @@
-"""All queries by name."""
+"""All queries by name, each with the DuckDB SQL it is checked against (None where SQL has no form for it)."""
 
 from __future__ import annotations
 
@@ -15,3 +15,16 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of (spark, sf_dir) under its own name."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = Query(f, sql)
+        return f
+
+    return add
+
+
+from . import comparing, drifting, preparing, rolling_queries  # noqa: E402, F401  (they register their queries)
