@@ -118,9 +118,9 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Those pairs of places whose lines' full sets are similar enough."""
     places = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
-    ids = materialize(places.select("at.doc_id").distinct(), "line-docs")
+    ids = materialize(places.select(F.col("at.doc_id").alias("id")).distinct(), "line-docs")
     near = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    few = docs.select("doc_id", "text").join(F.broadcast(ids) if near else ids, "doc_id", "left_semi")
+    few = docs.select("doc_id", "text").join(F.broadcast(ids) if near else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     lines = with_words(split_lines(few)).select(F.struct("doc_id", "line_no").alias("at"), "words").join(places, "at", "left_semi")
     lines = materialize(lines.dropDuplicates(["at"]), "line-words")
     x, y = (lines.select(F.col("at").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
