@@ -45,7 +45,10 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def with_words(lines: DataFrame) -> DataFrame:
     """`words`, the line's distinct words as hashes, in place of `line`; lines without words go."""
-    words = F.array_remove(F.split(F.lower("line"), r"[ \t\r\x0B\f]+"), "")
+    low = F.lower("line")
+    odd = F.col("line").contains("\t") | F.col("line").contains("\r") | F.col("line").contains("\x0b") | F.col("line").contains("\f")
+    # splitting by one character takes no regular expression
+    words = F.array_remove(F.when(odd, F.split(low, r"[ \t\r\x0B\f]+")).otherwise(F.split(low, " ")), "")
     hashed = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
     return lines.select("doc_id", "line_no", hashed.alias("words")).where(F.size("words") > 0)
 
@@ -116,13 +119,14 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs of places whose lines' full sets are similar enough."""
-    places = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
-    ids = materialize(places.select(F.col("at.doc_id").alias("id")).distinct(), "line-docs")
+    """Those pairs of places whose lines' full sets are similar enough. Only the lines named in pairs are read into sets again."""
+    places = pairs.select(F.explode(F.array("x", "y")).alias("at"))
+    ids = materialize(places.groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_set("at.line_no").alias("wanted")), "line-docs")
     near = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    few = docs.select("doc_id", "text").join(F.broadcast(ids) if near else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    lines = with_words(split_lines(few)).select(F.struct("doc_id", "line_no").alias("at"), "words").join(places, "at", "left_semi")
-    lines = materialize(lines.dropDuplicates(["at"]), "line-words")
+    few = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids) if near else ids, F.col("doc_id").eqNullSafe(F.col("id")))
+    split = few.select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = with_words(split.where(F.array_contains("wanted", F.col("line_no"))))
+    lines = materialize(lines.select(F.struct("doc_id", "line_no").alias("at"), "words").dropDuplicates(["at"]), "line-words")
     x, y = (lines.select(F.col("at").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
     common = F.size(F.array_intersect("wx", "wy"))
     return pairs.join(x, "x").join(y, "y").where(common >= (F.size("wx") + F.size("wy") - common) * threshold - 1e-9).select("x", "y")
