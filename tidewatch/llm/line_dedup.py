@@ -20,6 +20,8 @@ The joins deal with plain exchanges on both sides, which adaptive execution spli
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .common import materialize
 THRESHOLD = 0.8
 #: Buckets of the word counts that rarity is read from.
 BUCKETS = 1 << 17
+#: Words from which on a line's signature is the longer one.
+LONG = 64
 #: The most common sets of words, of which only the first line joins.
 COMMON = 50_000
 #: Documents whose ids are broadcast to pick up candidate lines; beyond, the ids are joined by a shuffle.
@@ -45,40 +49,58 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def with_words(lines: DataFrame) -> DataFrame:
     """`words`, the line's distinct words as hashes, in place of `line`; lines without words go."""
-    low = F.lower("line")
     odd = F.col("line").contains("\t") | F.col("line").contains("\r") | F.col("line").contains("\x0b") | F.col("line").contains("\f")
+    low = F.lower("line")
     # splitting by one character takes no regular expression
-    words = F.array_remove(F.when(odd, F.split(low, r"[ \t\r\x0B\f]+")).otherwise(F.split(low, " ")), "")
-    hashed = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return lines.select("doc_id", "line_no", hashed.alias("words")).where(F.size("words") > 0)
+    words = F.when(odd, F.split(low, r"[ \t\r\x0B\f]+")).otherwise(F.split(low, " "))
+    hashed = F.array_remove(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    # told from the line itself: a filter on the words would hash every line twice
+    return lines.where(F.length(F.btrim("line", F.lit(" \t\r\x0b\f"))) > 0).select("doc_id", "line_no", hashed.alias("words"))
 
 
 def _bucket(word: Column) -> Column:
     return word.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def rarity(words: DataFrame) -> bytes:
-    """For each bucket, the logarithm of its words' count over all lines, in steps of an eighth of a doubling."""
-    counts = words.select(F.explode("words").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
-    levels = counts.select("b", F.least(F.lit(255), F.floor(F.log2("count") * 8) + 1).cast("int").alias("level")).toPandas()
+def rarity(docs: DataFrame) -> bytes:
+    """For each bucket, the logarithm of its words' count over all texts, in steps of a quarter of a doubling; 1 for a count of one."""
+    text = F.lower("text")
+    for c in "\n\t\r\x0b\f":
+        text = F.when(F.col("text").contains(c), F.replace(text, F.lit(c), F.lit(" "))).otherwise(text) if c != "\n" else F.replace(text, F.lit(c), F.lit(" "))
+    words = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w != ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).count()
+    levels = counts.select("b", F.least(F.lit(127), F.floor(F.log2("count") * 4) + 1).cast("int").alias("level")).toPandas()
     out = bytearray(BUCKETS)
     for b, level in zip(levels.b, levels.level, strict=True):
         out[b] = level
     return bytes(out)
 
 
+def _signature(words: Column, n: Column) -> list[Column]:
+    """Bits that the words set: 256 in four columns for lines of more than LONG words, else 64 in the first column.
+
+    The four columns' union is the 64-bit form, so that lines of both kinds can be compared.
+    """
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
+    zero = F.lit(0).cast("bigint")
+    in_part = lambda k: F.aggregate(words, zero, lambda a, w: F.when(w.bitwiseAND(F.lit(192)) == 64 * k, a.bitwiseOR(bit(w))).otherwise(a))
+    short = F.aggregate(words, zero, lambda a, w: a.bitwiseOR(bit(w)))
+    return [F.when(n > LONG, in_part(k)).otherwise(zero if k else short).alias(f"bits{k}") for k in range(4)]
+
+
 def line_table(docs: DataFrame, threshold: float) -> DataFrame:
-    """A row for each line with words: its size n, signature bits, name of its set (s1, s2), and prefix, rarest first."""
-    lines = with_words(split_lines(docs.select("doc_id", "text")))
-    levels = F.lit(rarity(lines))
+    """A row for each line with words: its size n, signature, name of its set (s1, s2), and prefix, rarest first.
+
+    A word in the prefix is its rarity in the first byte and 56 bits of its hash.
+    """
+    docs = docs.select("doc_id", "text")
+    levels = F.lit(rarity(docs))
+    level = lambda w: F.ascii(F.substring(levels, _bucket(w) + 1, F.lit(1)).cast("string")).cast("bigint")
+    ranked = F.transform("words", lambda w: F.call_function("shiftleft", F.coalesce(level(w), F.lit(0).cast("bigint")), F.lit(56)).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1))))
     n = F.size("words")
-    ranked = F.transform("words", lambda w: F.struct(F.substring(levels, _bucket(w) + 1, F.lit(1)).alias("r"), w.alias("w")))
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(w, 58).bitwiseAND(F.lit(63)).cast("int"))
-    bits = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseOR(bit(w)))
-    lines = lines.withColumn("words", F.transform(F.sort_array(ranked), lambda s: s["w"]))
     return materialize(
-        lines.select(
-            "doc_id", "line_no", n.alias("n"), bits.alias("bits"), F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(7), "words").alias("s2"),
+        with_words(split_lines(docs)).withColumn("words", F.sort_array(ranked)).select(
+            "doc_id", "line_no", n.alias("n"), *_signature(F.col("words"), n), F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(7), "words").alias("s2"),
             F.slice("words", F.lit(1), n - _ceil(n * threshold) + 1).alias("prefix"),
         ),
         "lines",
@@ -99,11 +121,16 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     common = same.orderBy(F.desc("copies"), "s1", "s2").limit(COMMON).select("s1", "s2", "first")
     joining = table.join(F.broadcast(common), ["s1", "s2"], "left").where(F.col("first").isNull() | (F.col("first") == at))
-    prefix = joining.select("doc_id", "line_no", "n", "bits", F.posexplode("prefix").alias("i", "w"))
+    bits = [f"bits{k}" for k in range(4)]
+    prefix = joining.select("doc_id", "line_no", "n", *bits, F.posexplode("prefix").alias("i", "w"))
+    prefix = prefix.where(F.shiftright("w", 56) != 1)  # a word that is there once has no partner
     a, b = prefix.alias("a"), prefix.alias("b")
     place = lambda x: F.struct(f"{x}.doc_id", f"{x}.line_no")
     n_a, n_b = F.col("a.n"), F.col("b.n")
     need = _ceil((n_a + n_b) * (t / (1 + t)))
+    far = n_a + n_b - 2 * need
+    folded = lambda x: reduce(Column.bitwiseOR, [F.col(f"{x}.{c}") for c in bits])
+    differing = reduce(Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits])
     pairs = a.join(
         b,
         (F.col("a.w") == F.col("b.w"))
@@ -111,7 +138,7 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         & (n_b >= n_a * t - 1e-9)
         # the words up to the i-th aren't in common but for this one, or an earlier one was met elsewhere
         & (F.least(n_a - F.col("a.i"), n_b - F.col("b.i")) >= need)
-        & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= n_a + n_b - 2 * need),
+        & F.when(n_b > LONG, differing <= far).otherwise(F.bit_count(folded("a").bitwiseXOR(folded("b"))) <= far),
     ).select(place("a").alias("x"), place("b").alias("y"))
     pairs = materialize(pairs.distinct(), "line-pairs")
     later = _verified(docs, pairs, t).select(F.greatest("x", "y").alias("at"))
