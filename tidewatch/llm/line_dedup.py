@@ -29,7 +29,7 @@ from .common import materialize
 
 THRESHOLD = 0.8
 #: Buckets of the word counts that rarity is read from.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 #: Words from which on a line's signature is the longer one.
 LONG = 64
 #: The most common sets of words, of which only the first line joins.
@@ -83,7 +83,7 @@ def _signature(words: Column, n: Column) -> list[Column]:
     """
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
     zero = F.lit(0).cast("bigint")
-    in_part = lambda k: F.aggregate(words, zero, lambda a, w: F.when(w.bitwiseAND(F.lit(192)) == 64 * k, a.bitwiseOR(bit(w))).otherwise(a))
+    in_part = lambda k: F.aggregate(F.filter(words, lambda w: w.bitwiseAND(F.lit(192)) == 64 * k), zero, lambda a, w: a.bitwiseOR(bit(w)))
     short = F.aggregate(words, zero, lambda a, w: a.bitwiseOR(bit(w)))
     return [F.when(n > LONG, in_part(k)).otherwise(zero if k else short).alias(f"bits{k}") for k in range(4)]
 
@@ -94,9 +94,9 @@ def line_table(docs: DataFrame, threshold: float) -> DataFrame:
     A word in the prefix is its rarity in the first byte and 56 bits of its hash.
     """
     docs = docs.select("doc_id", "text")
-    levels = F.lit(rarity(docs))
-    level = lambda w: F.ascii(F.substring(levels, _bucket(w) + 1, F.lit(1)).cast("string")).cast("bigint")
-    ranked = F.transform("words", lambda w: F.call_function("shiftleft", F.coalesce(level(w), F.lit(0).cast("bigint")), F.lit(56)).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1))))
+    # folded into one array by the optimizer, so that a level is a single look-up
+    levels = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<bigint>")
+    ranked = F.transform("words", lambda w: F.call_function("shiftleft", F.get(levels, _bucket(w)), F.lit(56)).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1))))
     n = F.size("words")
     return materialize(
         with_words(split_lines(docs)).withColumn("words", F.sort_array(ranked)).select(
@@ -124,7 +124,9 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bits = [f"bits{k}" for k in range(4)]
     prefix = joining.select("doc_id", "line_no", "n", *bits, F.posexplode("prefix").alias("i", "w"))
     prefix = prefix.where(F.shiftright("w", 56) != 1)  # a word that is there once has no partner
-    a, b = prefix.alias("a"), prefix.alias("b")
+    # the smaller set of a pair needs only the prefix that is enough among sets of its size or more
+    short = prefix.where(F.col("i") <= F.col("n") - _ceil(F.col("n") * (2 * t / (1 + t))))
+    a, b = prefix.alias("a"), short.alias("b")
     place = lambda x: F.struct(f"{x}.doc_id", f"{x}.line_no")
     n_a, n_b = F.col("a.n"), F.col("b.n")
     need = _ceil((n_a + n_b) * (t / (1 + t)))
