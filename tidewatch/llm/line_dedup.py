@@ -8,9 +8,10 @@ The join is exact. Words are ordered by rarity: by the count, over all lines, of
 hash. (Any total order is exact; bucket counts are a table of fixed size, so that they can be broadcast at every
 scale.) With sets x and y, |x| >= |y|, at `threshold` t, the first |x| - ceil(t|x|) + 1 words of x and the first
 |y| - ceil(2t/(1+t)|y|) + 1 words of y have a word in common (prefix filter; the shorter set needs the shorter prefix).
-Candidates also pass a length filter, a positional filter and a bitmap filter (the bits in which two signatures
-differ bound the symmetric difference from below) inside the join, so that what the join puts out is
-close to the true pairs; then the full word sets are compared.
+Candidates also pass a length filter, a positional filter and a bitmap filter (each bit of a signature is the parity of
+the words that fall on it, so the bits in which two signatures differ bound the symmetric difference from below, and long
+lines don't fill theirs) inside the join, so that what the join puts out is close to the true pairs; then the full word
+sets are compared.
 
 Scale and skew: a line whose set came before is a copy, and goes; that is found by counts that are combined before the
 shuffle. Of sets with many copies only the first line joins: the most common sets are a list of fixed length, which is
@@ -32,6 +33,8 @@ THRESHOLD = 0.8
 BUCKETS = 1 << 19
 #: Words from which on a line's signature is the longer one.
 LONG = 64
+#: Columns of the signature.
+PARTS = 2
 #: The most common sets of words, of which only the first line joins.
 COMMON = 50_000
 #: Documents whose ids are broadcast to pick up candidate lines; beyond, the ids are joined by a shuffle.
@@ -77,15 +80,15 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def _signature(words: Column, n: Column) -> list[Column]:
-    """Bits that the words set: 256 in four columns for lines of more than LONG words, else 64 in the first column.
+    """Parities of the words on each bit: 128 bits in two columns for lines of more than LONG words, else 64 in the first column.
 
-    The four columns' union is the 64-bit form, so that lines of both kinds can be compared.
+    The two columns' exclusive or is the 64-bit form, so that lines of both kinds can be compared.
     """
     bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), w.bitwiseAND(F.lit(63)).cast("int"))
     zero = F.lit(0).cast("bigint")
-    in_part = lambda k: F.aggregate(F.filter(words, lambda w: w.bitwiseAND(F.lit(192)) == 64 * k), zero, lambda a, w: a.bitwiseOR(bit(w)))
-    short = F.aggregate(words, zero, lambda a, w: a.bitwiseOR(bit(w)))
-    return [F.when(n > LONG, in_part(k)).otherwise(zero if k else short).alias(f"bits{k}") for k in range(4)]
+    parities = lambda ws: F.aggregate(ws, zero, lambda a, w: a.bitwiseXOR(bit(w)))
+    in_part = lambda k: parities(F.filter(words, lambda w: w.bitwiseAND(F.lit(64)) == 64 * k))
+    return [F.when(n > LONG, in_part(k)).otherwise(zero if k else parities(words)).alias(f"bits{k}") for k in range(PARTS)]
 
 
 def line_table(docs: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +124,7 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     common = same.orderBy(F.desc("copies"), "s1", "s2").limit(COMMON).select("s1", "s2", "first")
     joining = table.join(F.broadcast(common), ["s1", "s2"], "left").where(F.col("first").isNull() | (F.col("first") == at))
-    bits = [f"bits{k}" for k in range(4)]
+    bits = [f"bits{k}" for k in range(PARTS)]
     prefix = joining.select("doc_id", "line_no", "n", *bits, F.posexplode("prefix").alias("i", "w"))
     prefix = prefix.where(F.shiftright("w", 56) != 1)  # a word that is there once has no partner
     # the smaller set of a pair needs only the prefix that is enough among sets of its size or more
@@ -131,7 +134,7 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_a, n_b = F.col("a.n"), F.col("b.n")
     need = _ceil((n_a + n_b) * (t / (1 + t)))
     far = n_a + n_b - 2 * need
-    folded = lambda x: reduce(Column.bitwiseOR, [F.col(f"{x}.{c}") for c in bits])
+    folded = lambda x: reduce(Column.bitwiseXOR, [F.col(f"{x}.{c}") for c in bits])
     differing = reduce(Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits])
     pairs = a.join(
         b,
