@@ -171,6 +171,19 @@ def test_jaccard_join_in_blocks_and_frequent(spark, monkeypatch):
     assert sorted(map(tuple, got.astype(int).itertuples(index=False))) == brute_classes([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("block", [4, 2000])
+def test_jaccard_join_beside_the_pivot(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    w = [f"c{i}" for i in range(200)]
+    # chains, whose far ends don't link to the smallest id; ids with two texts, of which one links only
+    rows = [(i, " ".join(w[4 * i : 4 * i + 60])) for i in range(20)]
+    rows += [(i, " ".join(w[10:60] + [f"y{i}_{k}" for k in range(int(rng.integers(0, 30)))])) for i in range(20, 40)]
+    rows += [(5, " ".join(w[100:150])), (41, " ".join(w[100:152])), (42, "z " + " ".join(w[101:150])), (0, " ".join(f"q{i}" for i in range(30))), (43, " ".join(f"q{i}" for i in range(32)))]
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    got = jaccard.classes(docs(spark, [(i, t, "en", "a") for i, t in rows])).toPandas()
+    assert sorted(map(tuple, got.astype(int).itertuples(index=False))) == brute_classes(rows)
+
+
 def test_jaccard_query(spark):
     got = Q.op5_jaccard_join(spark, SF).toPandas()
     assert sorted(map(tuple, got.astype(int).itertuples(index=False))) == brute_classes(list(table("documents")[["doc_id", "text"]].itertuples(index=False, name=None)))

@@ -9,8 +9,9 @@ shingles of x and those of y have one in common. The documents with a shingle in
 leave no partner there, are a group; shingles with the same documents share one group. So similar documents meet in a group, and
 a group of copies is one group, or few, however large.
 
-Inside a group (or a block of a large one) documents are compared with its pivot, which all blocks of a group share; what links
-to the pivot is done. Each of the rest is a query to the group: the group's token union bounds the overlap that it can
+A document is compared with the pivot of each of its groups, once where groups have the same pivot; what links to the pivot is
+done, and a group of which nothing else is left stays closed. In the others (in blocks, where they are large; all blocks
+share the pivot) each document left is a query to the group: the group's token union bounds the overlap that it can
 have with any member, and only where the bound reaches t is the group opened and are the members compared that it is not connected with yet.
 Components come from the links by large-star and small-star steps over tables.
 
@@ -24,7 +25,7 @@ shuffled: each pass reads them again.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -310,36 +311,66 @@ def _open(keys: list[int], tokens: list[np.ndarray], query: list[bool], hub: int
     return links
 
 
-def open_groups(parts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links (a, b) found in the groups, whose rows (grp, doc_id) parts has."""
-    sizes = parts.groupBy("grp").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot"))
-    sizes = materialize(sizes.where("c > 1").select("grp", "pivot", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "groups")
+def open_groups(parts: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) found in the groups, whose rows (grp, doc_id) parts has; tokens gives the sets of documents.
+
+    Groups share many documents and pivots, so each document first meets each of its pivots once; only groups with a
+    document that doesn't link to the pivot, and with another one to meet, are opened.
+    """
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = parts.join(sizes, "grp").select("grp", "doc_id", "pivot", "blocks", F.explode(F.when(F.col("doc_id") == F.col("pivot"), every).otherwise(own)).alias("block"), F.lit(False).alias("query"))
-    dealt = materialize(dealt, "blocks")
-    first = materialize(_opened(dealt, tokens), "links")
-    large = dealt.where("blocks > 1")
-    if not large.limit(1).count():
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")
+    sizes = parts.groupBy("grp").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1")
+    members = materialize(parts.join(sizes, "grp").select("grp", "doc_id", "pivot", "c", blocks), "members")
+
+    star = materialize(members.where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "star")
+    hubs = materialize(star.groupBy("pivot").agg(F.count("*").alias("c")).select("pivot", blocks), "pivots")
+    spokes = star.join(hubs, "pivot").select(F.col("pivot").alias("grp"), "doc_id", "pivot", F.explode(own).alias("block"), F.lit(False).alias("query"))
+    centres = hubs.select(F.col("pivot").alias("grp"), F.col("pivot").alias("doc_id"), "pivot", F.explode(every).alias("block"), F.lit(False).alias("query"))
+    dealt = materialize(spokes.unionByName(centres), "star-blocks")
+    met = materialize(_met(dealt, tokens(dealt.select("doc_id"))), "links")
+    first = met.select("a", "b")
+
+    near = met.where("sole").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
+    lone = materialize(members.where("c > 2 AND doc_id <> pivot").join(near, ["doc_id", "pivot"], "left_anti"), "lone")
+    if not lone.limit(1).count():
         return first
+    opened = members.join(lone.select("grp").distinct(), "grp", "left_semi")
+    home = opened.select("grp", "doc_id", "pivot", F.explode(F.when(F.col("doc_id") == F.col("pivot"), every).otherwise(own)).alias("block"), F.lit(False).alias("query"))
     # documents of large groups that do not link to the pivot meet the other blocks as queries
-    near = first.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot")).distinct()
-    lone = large.where("doc_id <> pivot").join(near, ["doc_id", "pivot"], "left_anti")
-    queries = lone.select("grp", "doc_id", "pivot", "blocks", F.col("block").alias("home"), F.explode(every).alias("block"), F.lit(True).alias("query")).where("block <> home").drop("home")
-    again = large.join(lone.select("grp").distinct(), "grp", "left_semi").unionByName(queries)
-    return first.unionByName(_opened(again, tokens))
+    queries = lone.where("blocks > 1").select("grp", "doc_id", "pivot", own[0].alias("home"), F.explode(every).alias("block"), F.lit(True).alias("query")).where("block <> home").drop("home")
+    again = materialize(home.unionByName(queries), "blocks")
+    return first.unionByName(_opened(again, tokens(again.select("doc_id"))))
 
 
-def _opened(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
-    rows = dealt.join(tokens, "doc_id").select("grp", "block", "doc_id", "query", "pivot", "tokens")
+def _met(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links (a, b) of documents to their pivot; sole if neither has a second text that other documents could link to."""
+
+    def one(table: pa.Table) -> pa.Table:
+        keys, pivot = table.column("doc_id").to_pylist(), table.column("pivot")[0].as_py()
+        texts: dict[int, list[np.ndarray]] = {}
+        for key, t in zip(keys, table.column("tokens"), strict=True):
+            texts.setdefault(key, []).append(np.frombuffer(t.as_py(), np.uint64))
+        hubs = texts.pop(pivot)
+        near = [key for key, own in texts.items() if any(_linked(x, hub) for x in own for hub in hubs)]
+        sole = [len(hubs) == len(texts[key]) == 1 for key in near]
+        return pa.table({"a": pa.array(near, pa.int64()), "b": pa.array([pivot] * len(near), pa.int64()), "sole": pa.array(sole, pa.bool_())})
 
+    return _rows(dealt, tokens).groupBy("grp", "block").applyInArrow(one, "a bigint, b bigint, sole boolean")
+
+
+def _rows(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
+    return dealt.join(tokens, "doc_id").select("grp", "block", "doc_id", "query", "pivot", "tokens")
+
+
+def _opened(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         keys, pivot = table.column("doc_id").to_pylist(), table.column("pivot")[0].as_py()
         sets_ = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
         links = _open(keys, sets_, table.column("query").to_pylist(), keys.index(pivot))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return rows.groupBy("grp", "block").applyInArrow(one, "a bigint, b bigint")
+    return _rows(dealt, tokens).groupBy("grp", "block").applyInArrow(one, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -381,8 +412,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     common = {bytes(r.name): r["first"] for r in same.orderBy(F.desc("copies"), "name").limit(COMMON).toLocalIterator()}
     shared = spark.sparkContext.broadcast((rarity(docs, width), common))
     parts = materialize(matrix(prefixes(docs, shared, width)).distinct(), "matrix")
-    bits = spark.sparkContext.broadcast(_filter_of(parts.select("doc_id")))
-    links = open_groups(parts, token_sets(docs, bits, width))
+    links = open_groups(parts, lambda ids: token_sets(docs, spark.sparkContext.broadcast(_filter_of(ids)), width))
     # copies link to the first of their set
     joined = named.where("name is not null").select("name", "doc_id").join(same.select("name", "first"), "name").where("doc_id <> first")
     copies = joined.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
