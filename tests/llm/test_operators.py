@@ -299,6 +299,30 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.03, 0.3])
+def test_nearest_among_near_copies(spark, noise):
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(6000, 64)))
+    x[:2000] = unit(x[0] + noise * unit(rng.normal(size=(2000, 64))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    q = np.arange(0, 6000, 60)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    want = {(a, b) for a, top in zip(q, np.argsort(-s, axis=1)[:, :20], strict=True) for b in top}
+    got = nearest.search(df, df.where("vec_id % 60 = 0")).toPandas()
+    assert set(zip(got.query_id, got.vec_id, strict=True)) == want
+
+
+def test_nearest_counts_a_repeated_id_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    rows += [(1, rows[0][1])] * 30
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest.search(df, df.where("vec_id = 0")).toPandas()
+    assert len(got) == got.vec_id.nunique() == 20 and got.sort_values("rank").vec_id.iloc[0] == 1
+
+
 def test_nearest_recall(spark):
     sf = "/root/testdata/sf0.1"
     e = ds.dataset(f"{sf}/embeddings.parquet").to_table().to_pandas()

@@ -3,12 +3,14 @@
 A vector is coded as a sum of one codeword from each of `BOOKS` codebooks; all codebooks span the full dimension, each trained on
 what the ones before leave over. Encoding is a beam search over the sums, scored by tables of inner products. A
 query's inner product with a coded vector is a sum of entries of one lookup table, corrected by a stored norm (that of the
-vector over that of its code). The best by that score are compared exactly, in double precision.
+vector over that of its code). That score is off by at most the query's norm times the stored norm of what the code leaves over. A first
+shortlist gives a score that the nearest reach at least; every row that may reach it within its bound is compared exactly, in double precision,
+so that no neighbour is lost, however many near copies share a code. Where codes are coarse for the data, the bound lets most rows through.
 
 Scale: codebooks are trained on at most `SAMPLE` vectors chosen by a hash. The index is a table in the shared folder, every valid
 row coded, in partitions of bounded size. Queries go out in blocks of bounded size; a partition
-scans its codes for a block, reranks its own best exactly beside the original vectors (so nothing is fetched by
-id), and sends on its 20 best for each query, which are combined before and after the shuffle by query.
+scans its codes for a block, reranks exactly beside the original vectors (so nothing is fetched by id; one matrix
+product for 128 queries bounds the cost), and sends on its 20 best for each query, which are combined before and after the shuffle by query.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ NEAREST = 20
 BOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 6144
 ROUNDS = 8
-#: Rows of an index partition, of a block of queries, and candidates that a partition reranks for a query.
-PART_ROWS, QUERY_ROWS, RERANK = 16_384, 8192, 192
+#: Rows of an index partition, of a block of queries, and the shortlist that a partition takes its first bound for a query from.
+PART_ROWS, QUERY_ROWS, SHORTLIST = 16_384, 8192, 192
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ class Codebooks:
 
 
 def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[Codebooks | None, DataFrame]:
-    """Codebooks, and the index: vec_id, embedding (double), codes (binary), norm (double), part."""
+    """Codebooks, and the index: vec_id, embedding (double), codes (binary), norm (double), rest (norm of what the scaled code leaves over), part."""
     spark = rows.sparkSession
     good = materialize(valid(rows), "vectors")
     picked = good.orderBy(seeded("vec_id", seed=8), "vec_id").limit(sample).toPandas()
@@ -112,12 +114,14 @@ def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[Codebooks | None
             if b.num_rows:
                 x = _matrix(b.column("embedding"))
                 codes = shared.value.encode(x)
-                norms = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(shared.value.decode(codes), axis=1), 1e-12)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64))], [*b.schema.names, "codes", "norm"])
+                sums = shared.value.decode(codes).astype(np.float64)
+                norms = np.linalg.norm(x, axis=1) / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
+                rest = np.linalg.norm(x - norms[:, None] * sums, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(rest)], [*b.schema.names, "codes", "norm", "rest"])
 
     kind = rows.schema["vec_id"].dataType.simpleString()
     coded = arrow(
-        good.withColumn("part", F.pmod(seeded("vec_id", seed=2), F.lit(parts)).cast("int")), code, f"vec_id {kind}, embedding array<double>, part int, codes binary, norm double"
+        good.withColumn("part", F.pmod(seeded("vec_id", seed=2), F.lit(parts)).cast("int")), code, f"vec_id {kind}, embedding array<double>, part int, codes binary, norm double, rest double"
     )
     return books, materialize(coded.repartition(min(parts, 4096), "part"), "index")
 
@@ -136,23 +140,47 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate((sure, np.flatnonzero(scores == least)[: k - len(sure)]))
 
 
-def _scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, books: Codebooks, qids: np.ndarray, q: np.ndarray, nearest: int) -> Iterator[pa.RecordBatch]:
+def _floor(scores: np.ndarray, k: int) -> float:
+    """The k-th largest score, which the k nearest reach at least; without k scores nothing is known."""
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+
+
+def _scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray, rest: np.ndarray, books: Codebooks, qids: np.ndarray, q: np.ndarray, nearest: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(ids, kind="stable")
-    ids, x, codes, norms = ids[order], x[order], codes[order], norms[order].astype(np.float32)
+    ids, x, codes, norms = ids[order], x[order], codes[order], norms[order]
+    # rows that repeat an id are one candidate, so the nearest ids may take that many rows more
+    k_rows = nearest + len(ids) - len(np.unique(ids))
+    dims = x.shape[1] + BOOKS
+    # how far single precision may be off in the sums of table entries, and double precision in the products below
+    single = dims * 2.0**-22 * np.linalg.norm(books.words, axis=2).max(axis=1).sum()
+    bound = rest[order] + single * norms
+    double = dims * 2.0**-51 * np.linalg.norm(x, axis=1).max()
+    norms = norms.astype(np.float32)
     for at in range(0, len(q), 128):
-        tables = books.tables(q[at : at + 128])
+        block, own = q[at : at + 128], qids[at : at + 128]
+        size = np.linalg.norm(block, axis=1)
+        tables = books.tables(block)
         approx = np.zeros((len(tables), len(ids)), np.float32)
         for m in range(BOOKS):
             approx += tables[:, m, :][:, codes[:, m]]
         approx *= norms
-        out = []
+        need = np.zeros(len(ids), bool)
         for k, row in enumerate(approx):
-            own = qids[at + k]
-            cand = _best(row, RERANK)
-            cand = np.sort(cand[ids[cand] != own])
-            exact = _dots(x[cand], q[at + k])
-            top = cand[np.lexsort((ids[cand], -exact))[:nearest]]
-            out.append((np.full(len(top), own), ids[top], _dots(x[top], q[at + k])))
+            first = _best(row, SHORTLIST)
+            least = _floor(_dots(x[first[ids[first] != own[k]]], block[k]), k_rows)
+            need |= ~(row + size[k] * bound < least - double * size[k])
+        at_rows = np.flatnonzero(need)
+        exact = block @ (x if need.all() else x[at_rows]).T
+        out = []
+        for k, row in enumerate(exact):
+            cand = np.flatnonzero(ids[at_rows] != own[k])
+            row = row[cand]
+            cand = at_rows[cand[~(row < _floor(row, k_rows) - 2 * double * size[k])]]
+            score = _dots(x[cand], block[k])
+            by = np.lexsort((ids[cand], -score))
+            cand, score = cand[by], score[by]
+            top = np.sort(np.unique(ids[cand], return_index=True)[1])[:nearest]
+            out.append((np.full(len(top), own[k]), ids[cand[top]], score[top]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
 
@@ -185,7 +213,7 @@ def search(rows: DataFrame, queries: DataFrame, nearest: int = NEAREST) -> DataF
             if table.num_rows:
                 x = _matrix(table.column("embedding").chunk(0))
                 codes = np.stack([np.frombuffer(c, np.uint8) for c in table.column("codes").to_pylist()])
-                yield from _scan(table.column("vec_id").to_numpy(), x, codes, table.column("norm").to_numpy(), books_.value, *shared.value, nearest)
+                yield from _scan(table.column("vec_id").to_numpy(), x, codes, table.column("norm").to_numpy(), table.column("rest").to_numpy(), books_.value, *shared.value, nearest)
 
         def scan(batches: Iterator[pa.RecordBatch], whole=whole) -> Iterator[pa.RecordBatch]:
             part: list[pa.RecordBatch] = []
