@@ -132,6 +132,35 @@ def test_mixing(spark):
     assert mixing.draw(docs(spark, [])).count() == 0
 
 
+def _kept(drawn):
+    return (drawn.tokens * drawn.p).sum() / drawn.tokens.sum()
+
+
+@pytest.mark.parametrize(("max_cells", "langs"), [(mixing.MAX_CELLS, ("en", "xx")), (1, ("en",))])
+def test_mixing_keeps_the_corpus_beside_a_rare_source(spark, max_cells, langs):
+    rows = [(i, f"word{i % 8} common text here", ("en", "de", "fr", "es")[i // 7 % 4], "s0" if i % 3 == 0 else f"s{1 + i % 10}") for i in range(5000)]
+    plain = _kept(mixing.draw(docs(spark, rows), max_cells=max_cells).toPandas())
+    for lang in langs:
+        got = mixing.draw(docs(spark, [*rows, (5000, "word0 common text here", lang, "tiny")]), max_cells=max_cells).toPandas()
+        assert _kept(got) >= 1 / 4 and (lang != "en" or _kept(got) == pytest.approx(plain, abs=0.01))
+        weights = got.groupby("source").p.mean()
+        assert weights["tiny"] > weights["s0"] and got.p.min() >= 1 / 4 - 1e-6
+
+
+def test_mixing_default_targets_are_met_within_their_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(20):  # groups that occur together or not, of very different sizes
+        at = rng.integers(0, [12, 5, 6], (60, 3))
+        cells = pd.DataFrame(np.unique(at, axis=0), columns=list(mixing.AXES))
+        cells["tokens"] = (10 ** rng.uniform(0, 4, len(cells))).astype(int)
+        want = mixing.targets(cells)
+        w = mixing.rake(cells, want)
+        for axis in mixing.AXES:
+            assert np.allclose(pd.Series(w).groupby(cells[axis]).sum(), want[axis], atol=1e-4)
+        gain = w / cells.tokens
+        assert gain.max() <= 4.05 * gain.min() and gain.max() * cells.tokens.sum() <= 4
+
+
 def test_quality(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (9, 0, 0), (99, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int")
     got = quality.score(docs(spark), labels).toPandas()
