@@ -147,6 +147,18 @@ def test_mixing_keeps_the_corpus_beside_a_rare_source(spark, max_cells, langs):
         assert weights["tiny"] > weights["s0"] and got.p.min() >= 1 / 4 - 1e-6
 
 
+def test_mixing_over_tables_meets_given_targets(spark):
+    rows = [(i, f"word{i % 7} common text here", "en" if i % 3 else None, "big" if i % 4 else "small") for i in range(400)]
+    want = {"source": {"big": 1, "small": 3, "absent": 5}, "lang": {"en": 0.2, None: 0.8}}
+    forced = mixing.draw(docs(spark, rows), want, max_cells=1).toPandas().sort_values("doc_id")
+    plain = mixing.draw(docs(spark, rows), want).toPandas().sort_values("doc_id")
+    assert np.allclose(forced.p, plain.p, atol=1e-6) and np.allclose(forced.weight, plain.weight, atol=1e-6)
+    for got in (forced, plain):
+        share = got.tokens * got.p
+        assert share[got.source == "small"].sum() / share.sum() == pytest.approx(0.75, abs=1e-6)
+        assert share[got.lang.isna()].sum() / share.sum() == pytest.approx(0.8, abs=1e-6)
+
+
 def test_mixing_default_targets_are_met_within_their_bound():
     rng = np.random.default_rng(3)
     for _ in range(20):  # groups that occur together or not, of very different sizes
