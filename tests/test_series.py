@@ -118,6 +118,22 @@ def test_ridge_learns_a_line(spark):
     assert (p.y_true - p.y_pred).abs().mean() < 5
 
 
+@pytest.mark.parametrize(("query", "model", "size"), [("random_forest_metrics", "RandomForestRegressor", {"numTrees": 100, "maxDepth": 10}), ("boosted_trees_metrics", "GBTRegressor", {"maxIter": 100, "maxDepth": 5})])
+def test_tree_queries_fit_models_of_the_published_size(spark, monkeypatch, query, model, size):
+    from pyspark.ml import regression
+
+    made, kind = [], getattr(regression, model)
+    fit = kind.fit
+
+    def small(self, rows):
+        made.append({k: self.getOrDefault(k) for k in size})
+        return fit(self._set(**dict.fromkeys(size, 2)), rows)
+
+    monkeypatch.setattr(kind, "fit", small)
+    assert __spark_entry__.queries()[query](spark, SF).count() > 0
+    assert made == [size]
+
+
 def test_streaming_watch_equals_batches(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = np.concatenate((rng.normal(0, 1, 160), rng.normal(6, 1, 80)))

@@ -63,7 +63,8 @@ def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10,
 def trees(series: DataFrame, at: Layout, kind: str = "rf", n_lags: int = 3, train_until: int | None = None, seed: int = 42, **params: int) -> DataFrame:
     """One-step forecasts of a random forest or boosted trees, fitted by Spark over all entities on the first window's rows.
 
-    The trees are grown over distributed rows, so one fit serves any number of entities; the entity is a feature.
+    The trees are grown over distributed rows, so one fit serves any number of entities; the entity is a feature. Sizes are the published
+    ones unless params give others: 100 trees of depth 10, or 100 rounds of depth 5.
     """
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -74,9 +75,9 @@ def trees(series: DataFrame, at: Layout, kind: str = "rf", n_lags: int = 3, trai
     rows = VectorAssembler(inputCols=[*names, "__entity"], outputCol="__x", handleInvalid="keep").transform(framed)
     train = rows.where((F.col("pos") < (train_until or at.history)) & F.col("target").isNotNull())
     if kind == "rf":
-        model = RandomForestRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", numTrees=params.get("n_estimators", 20), maxDepth=params.get("max_depth", 6), seed=seed)
+        model = RandomForestRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 10), seed=seed)
     else:
-        model = GBTRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", maxIter=params.get("n_estimators", 10), maxDepth=params.get("max_depth", 5), stepSize=0.1, seed=seed)
+        model = GBTRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5), stepSize=0.1, seed=seed)
     out = model.fit(train).transform(rows.where(F.col("pos") >= at.history))
     window = F.floor((F.col("pos") - at.history) / at.step).cast("bigint")
     h = (F.col("pos") - at.history - window * at.step).cast("int")

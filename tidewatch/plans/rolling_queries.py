@@ -113,7 +113,7 @@ def random_forest_metrics(spark, d):
 
 @query()
 def boosted_trees_metrics(spark, d):
-    return rounded(models.get_model("lgbm")(events(spark, d), AT, n_estimators=5).groupBy("entity_id").agg(*M.all_metrics()))
+    return rounded(models.get_model("lgbm")(events(spark, d), AT).groupBy("entity_id").agg(*M.all_metrics()))
 
 
 @query(f"""WITH {W} SELECT entity_id, pos, {', '.join(f'lag(target, {k}) OVER o AS lag_{k}' for k in (1, 2, 3))}, round(lag(target, 1) OVER o - lag(target, 24) OVER o, 6) AS seasonal_diff
