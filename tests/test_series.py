@@ -1,5 +1,6 @@
 """Series operators: hand-made cases, invariants, and queries against their SQL."""
 
+import dataclasses
 import math
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 
 import __spark_entry__
 from tidewatch.functions import stats
-from tidewatch.operators import compare, drift, inject, models
+from tidewatch.operators import compare, drift, experiment, inject, models
 from tidewatch.operators import rolling as R
 from tidewatch.sources import series as src
 from tidewatch.streaming import online
@@ -134,6 +135,17 @@ def test_tree_queries_fit_models_of_the_published_size(spark, monkeypatch, query
     assert made == [size]
 
 
+def test_seeds_reach_the_forest_and_others_run_once(spark, monkeypatch):
+    s = _series(spark, a=[i % 17 + math.sin(i) * 5 for i in range(150)])
+    grow = models.trees
+    monkeypatch.setattr(models, "trees", lambda *a, **kw: grow(*a, n_estimators=3, max_depth=3, **kw))
+    c = experiment.Config(model="rf", strategy="no_retrain", layout=R.Layout(96, 12, 12))
+    forest = {r.metric: r for r in experiment.multi_seed(s, c, (1, 2)).collect()}
+    assert forest["mae"].n == 2 and forest["mae"].std > 0
+    naive = {r.metric: r for r in experiment.multi_seed(s, dataclasses.replace(c, model="naive"), (1, 2)).collect()}
+    assert naive["mae"].n == 1 and naive["mae"].std == 0
+
+
 def test_streaming_watch_equals_batches(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = np.concatenate((rng.normal(0, 1, 160), rng.normal(6, 1, 80)))

@@ -49,7 +49,8 @@ def grid(datasets: Iterable[str] = LAYOUTS, strategies: Iterable[str] = STRATEGI
 
 def run(series: DataFrame, c: Config) -> dict[str, DataFrame]:
     """predictions, window_metrics, drift_log, retraining_log, overall and extended tables of one configuration; nothing runs until one is used."""
-    p = models.get_model(c.model)(series, c.layout, policy=c.strategy, every=c.every)
+    seed = {"seed": c.seed} if models.resolve(c.model) in models.SEEDED else {}
+    p = models.get_model(c.model)(series, c.layout, policy=c.strategy, every=c.every, **seed)
     p = p.drop("step").join(windows(series, c.layout).select("entity_id", "window_id", "step"), ["entity_id", "window_id"])
     from .rolling import window_metrics
 
@@ -87,7 +88,8 @@ def multi_seed(series: DataFrame, c: Config, seeds: Iterable[int] = (42, 43, 44,
     from dataclasses import replace
 
     rows = None
-    for s in seeds:
+    seeds = list(seeds)
+    for s in seeds if models.resolve(c.model) in models.SEEDED else seeds[:1]:
         one = run(series, replace(c, seed=s, drift_enabled=False))["overall"].select(F.lit(s).alias("seed"), "mae", "rmse", "smape", "mape")
         rows = one if rows is None else rows.unionByName(one)
     long = rows.unpivot("seed", ["mae", "rmse", "smape", "mape"], "metric", "value")

@@ -86,6 +86,8 @@ def trees(series: DataFrame, at: Layout, kind: str = "rf", n_lags: int = 3, trai
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {}
+#: Models whose fit takes a seed; forecasts of the others are the same for every seed.
+SEEDED = ("rf", "lgbm")
 ALIASES = {"tsmixer": "ridge_features", "tsmixer_legacy": "ridge_features", "seasonal": "seasonal_naive"}
 
 
