@@ -135,6 +135,13 @@ def test_tree_queries_fit_models_of_the_published_size(spark, monkeypatch, query
     assert made == [size]
 
 
+def test_bootstrap_query_takes_all_resamples(spark, monkeypatch):
+    seen, run = [], compare.bootstrap
+    monkeypatch.setattr(compare, "bootstrap", lambda pairs, n=1000, *a: seen.append(n) or run(pairs, n, *a))
+    assert __spark_entry__.queries()["bootstrap"](spark, SF).count() > 0
+    assert seen == [1000]
+
+
 def test_seeds_reach_the_forest_and_others_run_once(spark, monkeypatch):
     s = _series(spark, a=[i % 17 + math.sin(i) * 5 for i in range(150)])
     grow = models.trees

@@ -99,7 +99,7 @@ def wilcoxon_stat(spark, d):
 
 @query()
 def bootstrap(spark, d):
-    return rounded(C.bootstrap(_pairs(spark, d).select("entity_id", "d"), 200, 42, True, "entity_id"))
+    return rounded(C.bootstrap(_pairs(spark, d).select("entity_id", "d"), 1000, 42, True, "entity_id"))
 
 
 def _losses(spark, d):
