@@ -34,23 +34,44 @@ def blank_words(text: str | None) -> list[bytes]:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors reach, under spark.checkpoint.dir.
 
-    Where the session has no such setting (tests on one machine), a temporary folder is set once for the session.
+    Where the session has no such setting, a local master (tests on one machine) gets a temporary folder, once for the session; on a
+    cluster that is an error, since no folder of one machine would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         base = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
             base = jsc.getCheckpointDir().get()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes a query's shuffle files when it ends; what it has written does not need them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder: lineage ends there."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, read back from a Parquet table in the shared folder: lineage ends there, and the shuffles behind it go."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote and that nothing yet to be run reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
