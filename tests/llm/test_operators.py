@@ -111,6 +111,27 @@ def test_line_dedup(spark):
     assert line_dedup.removed_lines(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("common_sets", [50_000, 1])
+def test_line_dedup_in_a_group_of_near_copies(spark, monkeypatch, common_sets):
+    monkeypatch.setattr(line_dedup, "COMMON", common_sets)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for n in (3, 8, 12, 25, 90):  # the last with the longer signature
+            w = base[:n] + ["the", "of"]
+            for k in rng.choice(n, rng.integers(0, 1 + n // 5), replace=False):
+                w[k] = f"x{rng.integers(0, 40)}"
+            lines.append(" ".join(w))
+        rows.append((int(rng.integers(0, 100)) if i % 7 else None, "\n".join(lines), "en", "a"))
+    by_id = {i: t for i, t, _, _ in rows}
+    rows = [(i, t, "en", "a") for i, t in by_id.items()]
+    got = line_dedup.removed_lines(docs(spark, rows)).toPandas()
+    found = {(-1 if pd.isna(r.doc_id) else int(r.doc_id), int(n)) for r in got.itertuples() for n in r.removed.split(",") if n}
+    assert found == brute_lines([(i, t) for i, t, _, _ in rows])
+
+
 def test_line_dedup_query(spark):
     got = Q.op2_line_dedup(spark, SF).toPandas()
     found = {(r.doc_id, int(n)) for r in got.itertuples() for n in r.removed.split(",") if n}
@@ -193,7 +214,8 @@ def test_jaccard_join(spark):
     rows = [(i, t) for i, t, _, _ in EDGE]
     got = jaccard.classes(docs(spark)).toPandas().fillna(-1)
     assert sorted(map(tuple, got.astype(int).itertuples(index=False))) == brute_classes(rows)
-    assert sorted(r.doc_id or 0 for r in jaccard.keep_first(docs(spark)).collect() if r.doc_id != 2) == [0, 1, 4, 5, 6, 7, 9, 10, 12, 13]
+    kept = jaccard.keep_first(docs(spark, [*EDGE, EDGE[0], EDGE[-1], (None, P1, "en", "a")])).collect()  # repeated rows and null ids once for each text
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 4, 5, 6, 7, 9, 10, 12, 13]
     assert jaccard.classes(docs(spark, [])).count() == 0
 
 

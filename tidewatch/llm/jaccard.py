@@ -13,6 +13,7 @@ A document is compared with the pivot of each of its groups, once where groups h
 done, and a group of which nothing else is left stays closed. In the others (in blocks, where they are large; all blocks
 share the pivot) each document left is a query to the group: the group's token union bounds the overlap that it can
 have with any member, and only where the bound reaches t is the group opened and are the members compared that it is not connected with yet.
+Token sets are sent only of documents whose signature (1024 parities, so that differing bits bound differing shingles) leaves a link possible.
 Components come from the links by large-star and small-star steps over tables.
 
 Scale and skew: exact copies collapse before any join: their sets are counted with map-side combination, and the most common ones are a
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, arrow, map_arrow, materialize, mixed, shingle_set
+from .common import Powers, arrow, map_arrow, materialize, mixed, release, shingle_set
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -45,6 +46,8 @@ COMMON = 50_000
 FREQUENT = 500_000
 #: Documents in a block of a group.
 BLOCK = 2000
+#: Bits of a set's signature: the parities of the shingles on each.
+SIGN_BITS = 1024
 #: Bits of the filter that says which documents take part in a comparison.
 FILTER_BITS = 1 << 26
 
@@ -55,8 +58,13 @@ def _name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _sign(s: np.ndarray) -> bytes:
+    """Bits in which two signatures differ are at most the shingles that one set has and the other has not."""
+    return np.packbits(np.bincount((s & np.uint64(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles and name (of the set; null for an empty one) of each row."""
+    """doc_id, n_shingles, name (of the set) and sign of each row; the last two are null for an empty set."""
 
     def make():
         powers = Powers()
@@ -64,13 +72,16 @@ def sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingle_set(t.as_py(), width, powers) for t in batch.column("text")]
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([_name(s) if len(s) else None for s in found], pa.binary())],
-                ["doc_id", "n_shingles", "name"],
-            )
+                [
+                    batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
+                    *[pa.array([f(s) if len(s) else None for s in found], pa.binary()) for f in (_name, _sign)],
+                ],
+                ["doc_id", "n_shingles", "name", "sign"],
+            )
 
         return each
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, name binary")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, name binary, sign binary")
 
 
 def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -277,7 +288,7 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _open(keys: list[int], tokens: list[np.ndarray], query: list[bool], hub: int) -> list[tuple[int, int]]:
     """Links among the documents of one block of a group, as many as connect what is connected.
 
-    query: documents that come from another block of the group; two of them need no comparison here.
+    query: documents that come from another block of the group; two of them need no comparison here. hub: the pivot's place, or -1.
     """
     links: list[tuple[int, int]] = []
     part = list(range(len(keys)))  # of each document, the root of what it is linked to
@@ -289,12 +300,12 @@ def _open(keys: list[int], tokens: list[np.ndarray], query: list[bool], hub: int
 
     rest = []
     for i in range(len(keys)):
-        if i != hub and _linked(tokens[i], tokens[hub]):
+        if hub >= 0 and i != hub and _linked(tokens[i], tokens[hub]):
             part[i] = hub
             links.append((keys[i], keys[hub]))
         elif i != hub:
             rest.append(i)
-    if not rest or len(keys) == 2:
+    if not rest or (hub >= 0 and len(keys) == 2):
         return links
     union, uses = np.unique(np.concatenate(tokens), return_counts=True)
     sizes = np.array([len(t) for t in tokens])
@@ -311,8 +322,8 @@ def _open(keys: list[int], tokens: list[np.ndarray], query: list[bool], hub: int
     return links
 
 
-def open_groups(parts: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) found in the groups, whose rows (grp, doc_id) parts has; tokens gives the sets of documents.
+def open_groups(parts: DataFrame, signs: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) found in the groups, whose rows (grp, doc_id) parts has; signs and tokens give the signatures and sets of documents.
 
     Groups share many documents and pivots, so each document first meets each of its pivots once; only groups with a
     document that doesn't link to the pivot, and with another one to meet, are opened.
@@ -321,26 +332,35 @@ def open_groups(parts: DataFrame, tokens: Callable[[DataFrame], DataFrame]) -> D
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")
     sizes = parts.groupBy("grp").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).where("c > 1")
-    members = materialize(parts.join(sizes, "grp").select("grp", "doc_id", "pivot", "c", blocks), "members")
+    members = materialize(parts.hint("merge").join(sizes, "grp").select("grp", "doc_id", "pivot", "c", blocks), "members")
 
     star = materialize(members.where("doc_id <> pivot").select("pivot", "doc_id").distinct(), "star")
     hubs = materialize(star.groupBy("pivot").agg(F.count("*").alias("c")).select("pivot", blocks), "pivots")
     spokes = star.join(hubs, "pivot").select(F.col("pivot").alias("grp"), "doc_id", "pivot", F.explode(own).alias("block"), F.lit(False).alias("query"))
     centres = hubs.select(F.col("pivot").alias("grp"), F.col("pivot").alias("doc_id"), "pivot", F.explode(every).alias("block"), F.lit(False).alias("query"))
-    dealt = materialize(spokes.unionByName(centres), "star-blocks")
+    apart = signs.withColumn("part", F.col("doc_id"))
+    dealt = materialize(_screened(spokes.unionByName(centres), apart, True), "star-blocks")
+    release(star, hubs)
     met = materialize(_met(dealt, tokens(dealt.select("doc_id"))), "links")
+    release(dealt)
     first = met.select("a", "b")
 
     near = met.where("sole").select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"))
     lone = materialize(members.where("c > 2 AND doc_id <> pivot").join(near, ["doc_id", "pivot"], "left_anti"), "lone")
     if not lone.limit(1).count():
+        release(members, lone)
         return first
     opened = members.join(lone.select("grp").distinct(), "grp", "left_semi")
     home = opened.select("grp", "doc_id", "pivot", F.explode(F.when(F.col("doc_id") == F.col("pivot"), every).otherwise(own)).alias("block"), F.lit(False).alias("query"))
     # documents of large groups that do not link to the pivot meet the other blocks as queries
     queries = lone.where("blocks > 1").select("grp", "doc_id", "pivot", own[0].alias("home"), F.explode(every).alias("block"), F.lit(True).alias("query")).where("block <> home").drop("home")
-    again = materialize(home.unionByName(queries), "blocks")
-    return first.unionByName(_opened(again, tokens(again.select("doc_id"))))
+    # documents that the links so far connect need no comparison
+    known = signs.join(components(first), "doc_id", "left").select(*signs.columns, F.coalesce("component_id", "doc_id").alias("part"))
+    again = materialize(_screened(home.unionByName(queries), known, False), "blocks")
+    release(members, lone)
+    more = materialize(_opened(again, tokens(again.select("doc_id"))), "more-links")
+    release(again)
+    return first.unionByName(more)
 
 
 def _met(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -351,7 +371,7 @@ def _met(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
         texts: dict[int, list[np.ndarray]] = {}
         for key, t in zip(keys, table.column("tokens"), strict=True):
             texts.setdefault(key, []).append(np.frombuffer(t.as_py(), np.uint64))
-        hubs = texts.pop(pivot)
+        hubs = texts.pop(pivot, [])
         near = [key for key, own in texts.items() if any(_linked(x, hub) for x in own for hub in hubs)]
         sole = [len(hubs) == len(texts[key]) == 1 for key in near]
         return pa.table({"a": pa.array(near, pa.int64()), "b": pa.array([pivot] * len(near), pa.int64()), "sole": pa.array(sole, pa.bool_())})
@@ -359,15 +379,42 @@ def _met(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
     return _rows(dealt, tokens).groupBy("grp", "block").applyInArrow(one, "a bigint, b bigint, sole boolean")
 
 
+def _screened(dealt: DataFrame, signs: DataFrame, to_pivot: bool) -> DataFrame:
+    """The rows of dealt whose sizes and signatures leave a link possible that joins two parts, to the block's pivot or to any document of the block.
+
+    So token sets are sent only of documents that the groups are opened for.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        keys, n, query, part = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_shingles", "query", "part"))
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(keys), -1)
+        pivot = keys == table.column("pivot")[0].as_py()
+        keep = np.zeros(len(keys), bool)
+        for i in np.flatnonzero(pivot) if to_pivot else range(len(keys)):
+            far = n[i] + n - 2 * _need(n[i], n)
+            near = (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])) & (part != part[i]) & ~(query & query[i])
+            near[near] = np.bitwise_count(sign[near] ^ sign[i]).sum(axis=1) <= far[near]
+            if near.any():
+                keep |= near
+                keep[i] = True
+        return table.select(columns).filter(pa.array(keep))
+
+    columns = dealt.columns
+    rows = dealt.hint("merge").join(signs, "doc_id").select(*dealt.columns, "n_shingles", "sign", "part")
+    schema = ", ".join(f"{c} {t}" for c, t in dealt.dtypes)
+    return rows.groupBy("grp", "block").applyInArrow(one, schema).distinct()
+
+
 def _rows(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
-    return dealt.join(tokens, "doc_id").select("grp", "block", "doc_id", "query", "pivot", "tokens")
+    # the same plan at every size: a broadcast of the small side would end where it outgrows its bound
+    return dealt.hint("merge").join(tokens, "doc_id").select("grp", "block", "doc_id", "query", "pivot", "tokens")
 
 
 def _opened(dealt: DataFrame, tokens: DataFrame) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         keys, pivot = table.column("doc_id").to_pylist(), table.column("pivot")[0].as_py()
         sets_ = [np.frombuffer(t.as_py(), np.uint64) for t in table.column("tokens")]
-        links = _open(keys, sets_, table.column("query").to_pylist(), keys.index(pivot))
+        links = _open(keys, sets_, table.column("query").to_pylist(), keys.index(pivot) if pivot in keys else -1)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return _rows(dealt, tokens).groupBy("grp", "block").applyInArrow(one, "a bigint, b bigint")
@@ -383,10 +430,12 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
+        release(edges)
         # small star: u and its smaller neighbours move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = materialize(small, "small-star")
+        release(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -412,7 +461,8 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     common = {bytes(r.name): r["first"] for r in same.orderBy(F.desc("copies"), "name").limit(COMMON).toLocalIterator()}
     shared = spark.sparkContext.broadcast((rarity(docs, width), common))
     parts = materialize(matrix(prefixes(docs, shared, width)).distinct(), "matrix")
-    links = open_groups(parts, lambda ids: token_sets(docs, spark.sparkContext.broadcast(_filter_of(ids)), width))
+    signs = named.where("name is not null and doc_id is not null").select("doc_id", "n_shingles", "sign").dropDuplicates()
+    links = open_groups(parts, signs, lambda ids: token_sets(docs, spark.sparkContext.broadcast(_filter_of(ids)), width))
     # copies link to the first of their set
     joined = named.where("name is not null").select("name", "doc_id").join(same.select("name", "first"), "name").where("doc_id <> first")
     copies = joined.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
@@ -422,7 +472,13 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs, in their own columns, with the smallest doc_id of each component; rows without doc_id stay."""
+    """docs, in their own columns, with the smallest doc_id of each component; of rows that repeat both doc_id and text, one.
+
+    A row without doc_id has no links, so it stays, once for each text.
+    """
     found = classes(docs, width)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = materialize(docs.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("c")).where("c > 1").select("__id"), "repeated")
+    again = F.col("doc_id").eqNullSafe(F.col("__id"))
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
