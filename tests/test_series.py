@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 from tidewatch.functions import stats
-from tidewatch.operators import compare, drift, experiment, inject, models
+from tidewatch.operators import adaptive, compare, drift, experiment, inject, models
 from tidewatch.operators import rolling as R
 from tidewatch.sources import series as src
 from tidewatch.streaming import online
@@ -25,7 +25,7 @@ def rows(df):
 
 @pytest.mark.parametrize(
     "name",
-    ["rolling_features", "ewm_features", "entity_ref_features", "naive_rolling_metrics", "shared_scope_metrics", "ks_score", "psi_score", "cusum", "drift_triggered_trace", "inject_seasonal_phase_shift", "false_positive", "adaptive_vs_fixed"],
+    ["rolling_features", "ewm_features", "entity_ref_features", "naive_rolling_metrics", "shared_scope_metrics", "ks_score", "psi_score", "cusum", "drift_triggered_trace", "inject_seasonal_phase_shift", "false_positive", "adaptive_vs_fixed", "adaptive_loop", "adaptive_loop_metrics", "fill_backward_fill", "detection_delay"],
 )
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
@@ -165,3 +165,35 @@ def test_streaming_watch_equals_batches(spark, tmp_path):
     got = spark.table("watched").orderBy("step").toPandas()
     d = drift.create_detector("cusum").fit(x[:100])
     assert list(got.drift_detected) == [d.detect(x[i : i + 20]).drift for i in range(100, 240, 20)]
+
+
+def test_trees_with_many_entities_overlapping_windows_and_policies(spark):
+    at = R.Layout(48, 12, 6)
+    series = _series(spark, **{f"e{i:02}": np.arange(72) % 7 + i for i in range(40)})
+    want = R.test_rows(series, at).count()
+    first = {}
+    for kind in ("rf", "gbt"):
+        for policy in ("no_retrain", "fixed_retrain"):
+            got = models.trees(series, at, kind, policy, every=1, n_estimators=2, max_depth=3).toPandas()
+            assert len(got) == want and got.y_pred.notna().all()
+            first[policy] = got.sort_values(["entity_id", "window_id", "h"]).y_pred.to_numpy()
+        assert not np.allclose(first["no_retrain"], first["fixed_retrain"])  # a refit from the second window on
+
+
+def test_adaptive_loop_retrains_on_a_shift(spark):
+    rng = np.random.default_rng(2)
+    y = rng.normal(size=72 * 4)
+    y[144:] += 30
+    series = _series(spark, calm=rng.normal(size=72 * 4), shifted=y)
+    at = R.Layout(48, 12, 12)
+    policy = {"kind": "drift_triggered", "gap": 1, "consecutive": 1, "threshold": 0.5, "decay": 0.5}
+    got = adaptive.loop(series, at, "naive", "cusum", policy, threshold=150.0, drift=3.0).toPandas().sort_values("window_id")
+    calm, shifted = (got[got.entity_id == k] for k in ("calm", "shifted"))
+    assert not calm.retrain.any() and (calm.v_window == 0).all()
+    assert shifted[shifted.retrain].window_id.min() == (144 - 48) // 12 and shifted.v_window.max() >= 8
+    p = adaptive.predictions(series, at, adaptive.loop(series, at, "naive", "cusum", policy, threshold=150.0, drift=3.0)).toPandas()
+    late = p[(p.entity_id == "shifted") & (p.window_id >= 15)]
+    assert len(p) == R.test_rows(series, at).count() and (late.y_true - late.y_pred).abs().mean() < 5
+    shared = adaptive.loop(series, at, "seasonal_naive", "page_hinkley", policy, "shared", m=12).toPandas()
+    assert len(shared) == len(got) and set(shared[shared.entity_id == "calm"].v_entity) == {"calm"}
+    assert adaptive.loop(series.limit(5), at).count() == 0

@@ -7,8 +7,12 @@ import math
 import numpy as np
 
 
-def normal_cdf(x: float) -> float:
-    return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+_ERF = np.frompyfunc(math.erf, 1, 1)
+
+
+def normal_cdf(x):
+    """Of a number or an array."""
+    return 0.5 * (1 + np.asarray(_ERF(np.asarray(x) / math.sqrt(2)), float))
 
 
 def kolmogorov_tail(x: float) -> float:
@@ -34,27 +38,18 @@ def ks_p_value(d: float, n: int, m: int, exact_upto: int = 4_000_000) -> float:
     if n < m:
         n, m = m, n
     limit = d - 1e-12
-    # inside[j]: share of paths to (i, j) that stayed where |i/n - j/m| < d
-    inside = np.zeros(m + 1)
-    js = np.arange(m + 1)
-    for i in range(n + 1):
-        ok = np.abs(i / n - js / m) < limit
-        row = np.zeros(m + 1)
-        previous = 0.0
-        for j in range(m + 1):
-            if not ok[j]:
-                previous = 0.0
-                continue
-            if i == 0 and j == 0:
-                value = 1.0
-            else:
-                value = (inside[j] * i / (i + j) if i else 0.0) + (previous * j / (i + j) if j else 0.0)
-            row[j] = previous = value
-        inside = row
-    return float(min(1.0, max(0.0, 1 - inside[m])))
+    # row[i]: share of paths to (i, s - i) that stayed where |i/n - j/m| < d; one diagonal s of cells at a time
+    at = np.arange(n + 1)
+    row = np.zeros(n + 1)
+    row[0] = 1.0
+    for s in range(1, n + m + 1):
+        j = s - at
+        from_left = np.append(0.0, row[:-1]) * at / s
+        row = np.where((j >= 0) & (j <= m) & (np.abs(at / n - j / m) < limit), from_left + row * np.maximum(j, 0) / s, 0.0)
+    return float(min(1.0, max(0.0, 1 - row[n])))
 
 
 def wilcoxon_p_value(w: float, n: int) -> float:
     """Two-sided p of the smaller rank sum, by the normal approximation."""
     mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return min(1.0, 2 * normal_cdf((w - mean) / sd)) if sd else float("nan")
+    return min(1.0, 2 * float(normal_cdf((w - mean) / sd))) if sd else float("nan")

@@ -18,7 +18,8 @@ def detection_delay(truth: DataFrame, found: DataFrame, *by: str, step_hours: fl
     The first detection at or after a drift is found in one ordered pass over both tables together, not by a range join.
     """
     both = truth.select(*by, "step", F.lit(True).alias("t")).unionByName(found.select(*by, "step", F.lit(False).alias("t")))
-    w = Window.partitionBy(*by).orderBy("step").rangeBetween(0, Window.unboundedFollowing)
+    # in reverse order, so that the frame only grows
+    w = Window.partitionBy(*by).orderBy(F.desc("step")).rangeBetween(Window.unboundedPreceding, 0)
     first = both.withColumn("next", F.min(F.when(~F.col("t"), F.col("step"))).over(w)).where("t")
     delay = F.col("next") - F.col("step")
     out = first.groupBy(*by).agg(F.count("*").alias("n_true"), F.count("next").alias("n_detected"), F.avg(delay).alias("mean_delay_steps"), F.max(delay).cast("double").alias("max_delay_steps"))
@@ -100,7 +101,8 @@ def with_normal_p(df: DataFrame, statistic: str = "statistic") -> DataFrame:
 
     @F.pandas_udf("double")
     def p(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: 2 * (1 - stats.normal_cdf(abs(v))) if v == v and v is not None else None)
+        a = x.abs().to_numpy(float)
+        return pd.Series(np.where(np.isnan(a), np.nan, 2 * (1 - stats.normal_cdf(a)))).where(~np.isnan(a), None)
 
     return df.withColumn("p_value", p(statistic)).withColumn("significant", F.col("p_value") < 0.05)
 
@@ -128,7 +130,7 @@ def bootstrap(pairs: DataFrame, n: int = 1000, seed: int = 42, centred: bool = T
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "mean_diff": d.mean(), "ci_low": lo, "ci_high": hi, "p_value": p}])
 
     keys = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in by)
-    return pairs.groupBy(*(by or [F.lit(0)])).applyInPandas(one, f"{keys + ', ' if keys else ''}mean_diff double, ci_low double, ci_high double, p_value double")
+    return pairs.groupBy(*(by or [F.lit("all")])).applyInPandas(one, f"{keys + ', ' if keys else ''}mean_diff double, ci_low double, ci_high double, p_value double")
 
 
 def pairwise(losses: DataFrame) -> DataFrame:

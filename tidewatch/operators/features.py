@@ -69,8 +69,8 @@ def rolling_diff_mean(series: DataFrame, w: int, c: str = "target", by=("entity_
 def ewm(series: DataFrame, spans: Sequence[int] = SPANS, c: str = "target") -> DataFrame:
     """Exponential means of the series up to the row before, recursively (no adjustment), alpha = 2 / (span + 1).
 
-    A gap lowers the weight of what came before it once for each row of the gap. One ordered pass for each entity computes all spans
-    and keeps two numbers a span, whatever the entity's length.
+    A gap lowers the weight of what came before it once for each row of the gap. One ordered pass for each entity computes all spans;
+    an entity's rows are in one task's memory meanwhile.
     """
     import pandas as pd
 
@@ -97,7 +97,8 @@ def fill_missing(df: DataFrame, column: str, method: str = "forward_fill", by: S
     w, c = order(by), F.col(column)
     filled = {
         "forward_fill": lambda: F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "backward_fill": lambda: F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        # in reverse order: a frame that grows is updated row by row, one that shrinks would be computed anew for each row
+        "backward_fill": lambda: F.last(c, True).over(Window.partitionBy(*by).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)),
         "mean": lambda: F.coalesce(c, F.avg(c).over(Window.partitionBy(*by))),
         "zero": lambda: F.coalesce(c, F.lit(0.0)),
     }

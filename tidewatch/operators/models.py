@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .rolling import Layout, predictions, version, windows
+from .rolling import Layout, predictions, test_rows, version, windows
 
 CALENDAR = ("hour", "day_of_week", "month", "hour_sin", "hour_cos")
+TREE_CALENDAR = ("hour", "day_of_week", "day_of_month", "month", "is_weekend")
 
 
-def feature_frame(series: DataFrame, n_lags: int = 3, rolling: tuple[int, ...] = (3,), strict: bool = True, m: int = 24) -> tuple[DataFrame, list[str]]:
+def feature_frame(series: DataFrame, n_lags: int = 3, rolling: tuple[int, ...] = (3,), strict: bool = True, m: int = 24, calendar: tuple[str, ...] = CALENDAR) -> tuple[DataFrame, list[str]]:
     """The series with calendar, lag, rolling and seasonal features, and their names."""
-    calendar = {k: v for k, v in features.time_columns().items() if k in CALENDAR}
+    times = {k: v for k, v in features.time_columns().items() if k in calendar}
     roll = {k: v for k, v in features.rolling_columns(rolling, strict=strict).items() if "_mean_" in k or "_std_" in k}
-    columns = calendar | features.lag_columns(range(1, n_lags + 1)) | roll | {"seasonal_diff": features.seasonal_columns(m)["seasonal_diff"]}
+    columns = times | features.lag_columns(range(1, n_lags + 1)) | roll | {"seasonal_diff": features.seasonal_columns(m)["seasonal_diff"]}
     return series.withColumns(columns), list(columns)
 
 
@@ -60,29 +61,34 @@ def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10,
     return framed.groupBy("entity_id").applyInPandas(fold, "entity_id string, window_id bigint, h int, timestamp timestamp, y_true double, y_pred double")
 
 
-def trees(series: DataFrame, at: Layout, kind: str = "rf", n_lags: int = 3, train_until: int | None = None, seed: int = 42, **params: int) -> DataFrame:
-    """One-step forecasts of a random forest or boosted trees, fitted by Spark over all entities on the first window's rows.
+def trees(
+    series: DataFrame, at: Layout, kind: str = "rf", policy: str = "no_retrain", every: int = 10, n_lags: int = 3, seed: int = 42, **params: int
+) -> DataFrame:
+    """One-step forecasts of a random forest or boosted trees, fitted by Spark over the rows of all entities.
 
-    The trees are grown over distributed rows, so one fit serves any number of entities; the entity is a feature. Sizes are the published
-    ones unless params give others: 100 trees of depth 10, or 100 rounds of depth 5.
+    A fit serves any number of entities, which the lags tell apart; it is made anew for each training window that the policy names, one Spark fit
+    after the other, so their number is that of the retrains. A row in several windows is forecast in each. Sizes are the published ones unless
+    params give others: 100 trees of depth 10, or 100 rounds of depth 5.
     """
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    framed, names = feature_frame(series, n_lags, (3,) if kind == "rf" else (3, 7), strict=kind != "rf")
-    framed = framed.fillna(0.0, subset=[n for n in names if n not in CALENDAR])
-    framed = StringIndexer(inputCol="entity_id", outputCol="__entity", handleInvalid="keep").fit(framed).transform(framed)
-    rows = VectorAssembler(inputCols=[*names, "__entity"], outputCol="__x", handleInvalid="keep").transform(framed)
-    train = rows.where((F.col("pos") < (train_until or at.history)) & F.col("target").isNotNull())
+    framed, names = feature_frame(series, n_lags, (3,) if kind == "rf" else (3, 7), strict=kind != "rf", calendar=TREE_CALENDAR)
+    framed = framed.fillna(0.0, subset=[n for n in names if n not in TREE_CALENDAR])
+    rows = VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep").transform(framed).select("entity_id", "pos", "target", "__x")
     if kind == "rf":
         model = RandomForestRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 10), seed=seed)
     else:
         model = GBTRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5), stepSize=0.1, seed=seed)
-    out = model.fit(train).transform(rows.where(F.col("pos") >= at.history))
-    window = F.floor((F.col("pos") - at.history) / at.step).cast("bigint")
-    h = (F.col("pos") - at.history - window * at.step).cast("int")
-    out = out.select("entity_id", window.alias("window_id"), h.alias("h"), "timestamp", F.col("target").alias("y_true"), "y_pred").where(F.col("h") < at.forecast)
-    return out.join(windows(series, at).select("entity_id", "window_id"), ["entity_id", "window_id"])
+    served = _served(series, at, policy, every)
+    pos = F.col("window_id") * at.step + at.history + F.col("h")
+    test = test_rows(series, at).join(served, ["entity_id", "window_id"]).withColumn("pos", pos).join(rows.drop("target"), ["entity_id", "pos"])
+    out = None
+    for v in sorted(r.v_window for r in served.select("v_window").distinct().collect()):
+        train = rows.where((F.col("pos") >= v * at.step) & (F.col("pos") < v * at.step + at.history) & F.col("target").isNotNull())
+        one = model.fit(train).transform(test.where(F.col("v_window") == v)).select("entity_id", "window_id", "h", "timestamp", "y_true", "y_pred")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else test.select("entity_id", "window_id", "h", "timestamp", "y_true", F.lit(None).cast("double").alias("y_pred"))
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {}
@@ -102,8 +108,8 @@ def register_model(name: str):
 for _name in ("naive", "seasonal_naive", "lstm"):
     register_model(_name)(lambda series, at, policy="each", every=10, _name=_name, **kw: predictions(series, at, _name, policy, every, **kw))
 register_model("ridge_features")(ridge)
-register_model("rf")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "rf", **kw))
-register_model("lgbm")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "gbt", **kw))
+register_model("rf")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "rf", policy, every, **kw))
+register_model("lgbm")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "gbt", policy, every, **kw))
 
 
 def resolve(name: str) -> str:

@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import comparing, drifting, preparing, rolling_queries  # noqa: E402, F401  (they register their queries)
+from . import adapting, comparing, drifting, preparing, rolling_queries  # noqa: E402, F401  (they register their queries)
