@@ -45,7 +45,7 @@ def adaptive_loop(spark, d):
 @query(
     f"""WITH RECURSIVE {LOOP}, p AS (SELECT t.*, b.target AS y_pred FROM t JOIN windowed USING (entity_id, window_id) LEFT JOIN s b ON b.entity_id = t.entity_id AND b.pos = version * {ST} + {H} - 1)
     SELECT entity_id, {METRICS}, count(*) AS n_predictions, any_value(retrains) AS retrains
-    FROM p JOIN (SELECT entity_id, count_if(retrain) AS retrains FROM windowed GROUP BY 1) USING (entity_id) GROUP BY 1"""
+    FROM p JOIN (SELECT entity_id, CAST(count_if(retrain) AS BIGINT) AS retrains FROM windowed GROUP BY 1) USING (entity_id) GROUP BY 1"""
 )
 def adaptive_loop_metrics(spark, d):
     decided = _decided(spark, d)
