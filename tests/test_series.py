@@ -25,7 +25,7 @@ def rows(df):
 
 @pytest.mark.parametrize(
     "name",
-    ["rolling_features", "ewm_features", "entity_ref_features", "naive_rolling_metrics", "shared_scope_metrics", "ks_score", "psi_score", "cusum", "drift_triggered_trace", "inject_seasonal_phase_shift", "false_positive", "adaptive_vs_fixed", "adaptive_loop", "adaptive_loop_metrics", "fill_backward_fill", "detection_delay"],
+    ["rolling_features", "ewm_features", "entity_ref_features", "naive_rolling_metrics", "shared_scope_metrics", "ks_score", "psi_score", "cusum", "drift_triggered_trace", "inject_seasonal_phase_shift", "false_positive", "adaptive_vs_fixed", "adaptive_loop", "adaptive_loop_metrics", "adaptive_policy_metrics", "all_runs", "fill_backward_fill", "detection_delay"],
 )
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
@@ -197,3 +197,46 @@ def test_adaptive_loop_retrains_on_a_shift(spark):
     shared = adaptive.loop(series, at, "seasonal_naive", "page_hinkley", policy, "shared", m=12).toPandas()
     assert len(shared) == len(got) and set(shared[shared.entity_id == "calm"].v_entity) == {"calm"}
     assert adaptive.loop(series.limit(5), at).count() == 0
+
+
+def _shifted(spark):
+    rng = np.random.default_rng(5)
+    return _series(spark, a=np.concatenate([rng.normal(10, 1, 150), rng.normal(40, 1, 150)]), b=rng.normal(20, 1, 200))
+
+
+RULES = {"kind": "drift_triggered", "gap": 1, "consecutive": 1, "threshold": 0.1, "decay": 0.5}
+
+
+def test_run_table_agrees_with_predictions_of_each_policy(spark):
+    series, at = _shifted(spark), R.Layout(48, 12, 6)  # overlapping windows
+    decided = {m: adaptive.loop(series, at, m, "cusum", RULES, threshold=100.0, drift=2.0) for m in ("naive", "seasonal_naive")}
+    got = {(r.dataset, r.strategy, r.model): r for r in adaptive.run_table(series, at, decided, every=4).collect()}
+    assert len(got) == 12
+    for (entity, policy, model), r in got.items():
+        p = models.get_model(model)(series, at, policy=policy, every=4, **({"decided": decided[model]} if policy == "adaptive_retrain" else {})).where(f"entity_id = '{entity}'").toPandas()
+        assert math.isclose(r.mae, (p.y_true - p.y_pred).abs().mean(), rel_tol=1e-9) and r.n_windows == p.window_id.nunique()
+    a, n = got["a", "adaptive_retrain", "naive"], got["a", "no_retrain", "naive"]
+    assert n.retrain_total == 1 < a.retrain_total and a.mae < n.mae  # the shift is found, and refitting pays
+
+
+@pytest.mark.parametrize("model", ["naive", "ridge_features"])
+def test_logs_of_an_experiment_follow_its_strategy(spark, model):
+    series = _shifted(spark)
+    total = {}
+    for strategy in experiment.STRATEGIES:
+        c = experiment.Config(model=model, strategy=strategy, layout=R.Layout(48, 12, 12), every=5, detector="cusum", detector_params={"threshold": 100.0, "drift": 2.0}, policy=RULES)
+        out = experiment.run(series, c)
+        log = out["drift_log"].toPandas().sort_values(["entity_id", "step"])
+        total[strategy] = log.retrain_triggered.sum()
+        assert len(out["retraining_log"].toPandas()) == total[strategy] and out["predictions"].count() == 12 * len(log)
+        if strategy == "fixed_retrain":
+            at = log.groupby("entity_id").cumcount()
+            assert (log.retrain_triggered == (at % 5 == 0)).all()
+    assert total["no_retrain"] == 2 and total["adaptive_retrain"] > 0
+
+
+def test_learned_models_refit_where_the_loop_says(spark):
+    series, at = _shifted(spark), R.Layout(48, 12, 12)
+    decided = adaptive.loop(series, at, "naive", "cusum", RULES, threshold=100.0, drift=2.0)
+    error = {p: models.get_model("ridge_features")(series, at, policy=p, n_lags=3, decided=decided).where("entity_id = 'a'").selectExpr("avg(abs(y_true - y_pred))").first()[0] for p in ("no_retrain", "adaptive_retrain")}
+    assert error["adaptive_retrain"] < error["no_retrain"]

@@ -8,14 +8,16 @@ entities in `shared` scope, which is one sequence by its meaning); entities run
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
 from . import drift
-from .rolling import Layout, test_rows, windows
+from .rolling import Layout, test_rows, version, windows
 
 ERRORS = 5
 SCHEMA = "entity_id string, window_id bigint, v_entity string, v_window bigint, drift_detected boolean, drift_score double, error double, retrain boolean, reason string"
@@ -79,3 +81,38 @@ def predictions(series: DataFrame, at: Layout, decided: DataFrame, model: str =
     rows = test_rows(series, at).join(served, ["entity_id", "window_id"]).withColumn("v_pos", end - m + F.col("h") % m if model == "seasonal_naive" else end - 1)
     values = series.select(F.col("entity_id").alias("v_entity"), F.col("pos").alias("v_pos"), F.col("target").alias("y_pred"))
     return rows.join(values, ["v_entity", "v_pos"], "left").select("entity_id", "window_id", "step", "h", "timestamp", "y_true", "y_pred")
+
+
+def _lists(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of a window as one array, by h."""
+    return rows.groupBy("entity_id", "window_id").agg(F.array_sort(F.collect_list(F.struct("h", "y_true"))).alias(name))
+
+
+def run_table(
+    series: DataFrame, at: Layout, decided: Mapping[str, DataFrame], policies: tuple[str, ...] = ("no_retrain", "fixed_retrain", "adaptive_retrain"), every: int = 10, m: int = 24
+) -> DataFrame:
+    """A leaderboard row for each entity (as dataset), policy and baseline model, in one plan; retrain_total counts the first fit too.
+
+    decided: for each model, the loop whose decisions are its adaptive_retrain. Windows, test rows and the ends of histories are made once; every policy
+    and model is a row a window that names the history it is forecast from.
+    """
+    if m > at.history:
+        raise ValueError("the history is shorter than a season")
+    fixed = [p for p in policies if p != "adaptive_retrain"]
+    k, first = F.col("window_id"), (F.col("window_id") == 0).cast("int")
+    due = {"no_retrain": first, "fixed_retrain": (k % every == 0).cast("int"), "each": F.lit(1)}
+    cases = [F.struct(F.lit(n).alias("model"), F.lit(p).alias("strategy"), version(p, k, every).alias("v_window"), due[p].alias("fits")) for p in fixed for n in decided]
+    served = []
+    if cases:
+        served.append(windows(series, at).select("entity_id", "window_id", F.explode(F.array(*cases)).alias("c")).select("entity_id", "window_id", "c.*"))
+    if "adaptive_retrain" in policies:
+        fits = (first + F.col("retrain").cast("int")).alias("fits")
+        served += [d.select("entity_id", "window_id", F.lit(n).alias("model"), F.lit("adaptive_retrain").alias("strategy"), "v_window", fits) for n, d in decided.items()]
+    runs = reduce(DataFrame.unionByName, served)
+    ends = _lists(test_rows(series, Layout(at.history - m, m, at.step)), "end").withColumnRenamed("window_id", "v_window")
+    rows = runs.join(ends, ["entity_id", "v_window"]).join(_lists(test_rows(series, at), "y"), ["entity_id", "window_id"])
+    rows = rows.withColumn("r", F.explode("y")).withColumn("at", F.when(F.col("model") == "seasonal_naive", F.col("r.h") % m + 1).otherwise(m))
+    rows = rows.select(F.col("entity_id").alias("dataset"), "strategy", "model", "fits", "r.h", "r.y_true", F.element_at("end", F.col("at")).getField("y_true").alias("y_pred"))
+    return rows.groupBy("dataset", "strategy", "model").agg(
+        M.mae().alias("mae"), M.rmse().alias("rmse"), M.smape().alias("smape"), F.sum(F.when(F.col("h") == 0, F.col("fits"))).alias("retrain_total"), F.count_if(F.col("h") == 0).alias("n_windows")
+    )

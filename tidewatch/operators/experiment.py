@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from . import drift, leaderboard, models
+from . import adaptive, drift, leaderboard, models
 from .rolling import Layout, windows
 
 log = logging.getLogger(__name__)
@@ -50,6 +50,11 @@ def grid(datasets: Iterable[str] = LAYOUTS, strategies: Iterable[str] = STRATEGI
 def run(series: DataFrame, c: Config) -> dict[str, DataFrame]:
     """predictions, window_metrics, drift_log, retraining_log, overall and extended tables of one configuration; nothing runs until one is used."""
     seed = {"seed": c.seed} if models.resolve(c.model) in models.SEEDED else {}
+    # the loop of a baseline is its own; learned models follow that of naive forecasts
+    decided, name = None, models.resolve(c.model)
+    if c.strategy == "adaptive_retrain":
+        decided = adaptive.loop(series, c.layout, name if name == "seasonal_naive" else "naive", c.detector, c.policy, **c.detector_params)
+        seed["decided"] = decided
     p = models.get_model(c.model)(series, c.layout, policy=c.strategy, every=c.every, **seed)
     p = p.drop("step").join(windows(series, c.layout).select("entity_id", "window_id", "step"), ["entity_id", "window_id"])
     from .rolling import window_metrics
@@ -58,10 +63,16 @@ def run(series: DataFrame, c: Config) -> dict[str, DataFrame]:
     out = {"predictions": p, "window_metrics": per, "overall": p.agg(*M.all_metrics(), F.count("*").alias("n_predictions")), "extended": M.extended(p)}
     if c.drift_enabled:
         ref = series.where(F.col("pos") < c.layout.history).select("entity_id", F.col("target").alias("x"))
-        found = drift.detect_windows(p, ref, c.detector, **c.detector_params)
+        found = decided.select("entity_id", "window_id", "drift_detected", "drift_score", "retrain", "reason") if decided is not None else drift.detect_windows(p, ref, c.detector, **c.detector_params)
         before = Window.partitionBy("entity_id").orderBy("window_id").rowsBetween(-5, -1)
         seen = per.join(found, ["entity_id", "window_id"]).withColumn("error", F.coalesce(F.avg("mae").over(before), F.lit(0.0)))
-        trace = drift.policy_trace(seen, drift.create_policy(**c.policy))
+        if decided is not None:
+            total = F.count_if("retrain").over(Window.partitionBy("entity_id").orderBy("window_id"))
+            trace = decided.select("entity_id", "window_id", "retrain", "reason", total.alias("total_retrains"))
+            seen, trace = seen.drop("retrain", "reason"), trace.join(per.select("entity_id", "window_id", "step"), ["entity_id", "window_id"]).drop("window_id")
+        else:
+            kind = {"kind": "no_retraining"} if c.strategy == "no_retrain" else {"kind": "fixed_schedule", "interval": c.every if c.strategy == "fixed_retrain" else 1}
+            trace = drift.policy_trace(seen, drift.create_policy(**kind))
         out["drift_log"] = seen.join(trace, ["entity_id", "step"]).select("timestamp", "step", "entity_id", "drift_detected", "drift_score", F.lit(c.detector).alias("detector"), F.col("retrain").alias("retrain_triggered"), F.col("reason").alias("retrain_reason"))
         out["retraining_log"] = seen.join(trace.where("retrain"), ["entity_id", "step"]).select("step", "timestamp", "entity_id", "drift_detected", "drift_score", "error", "reason", "total_retrains")
     return out

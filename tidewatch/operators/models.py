@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import features
+from . import adaptive, features
 from .rolling import Layout, predictions, test_rows, version, windows
 
 CALENDAR = ("hour", "day_of_week", "month", "hour_sin", "hour_cos")
@@ -23,12 +23,23 @@ def feature_frame(series: DataFrame, n_lags: int = 3, rolling: tuple[int, ...] =
     return series.withColumns(columns), list(columns)
 
 
-def _served(series: DataFrame, at: Layout, policy: str, every: int) -> DataFrame:
-    w = windows(series, at).select("entity_id", "window_id", "step")
-    return w.withColumn("v_window", version(policy, F.col("window_id"), every))
+def _served(series: DataFrame, at: Layout, policy: str, every: int, decided: DataFrame | None = None) -> DataFrame:
+    """entity_id, window_id and the window v_window whose history serves it; adaptive_retrain takes them from a loop (by default, of naive forecasts)."""
+    if policy == "adaptive_retrain":
+        return (decided if decided is not None else adaptive.loop(series, at)).select("entity_id", "window_id", "v_window")
+    return windows(series, at).select("entity_id", "window_id", version(policy, F.col("window_id"), every).alias("v_window"))
 
 
-def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10, n_lags: int = 24, alpha: float = 1.0) -> DataFrame:
+def baseline(series: DataFrame, at: Layout, model: str, policy: str = "each", every: int = 10, decided: DataFrame | None = None, **params) -> DataFrame:
+    """Forecasts of a baseline; adaptive_retrain follows the decisions of its own loop, or those given."""
+    if policy != "adaptive_retrain":
+        return predictions(series, at, model, policy, every, **params)
+    m = {"m": params["m"]} if "m" in params else {}
+    decided = decided if decided is not None else adaptive.loop(series, at, model, scope=params.get("scope", "entity"), **m)
+    return adaptive.predictions(series, at, decided, model, **m)
+
+
+def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10, n_lags: int = 24, alpha: float = 1.0, decided: DataFrame | None = None) -> DataFrame:
     """One-step ridge forecasts on scaled features, refitted by policy, one entity a task.
 
     Features are those of the whole series, so a test row's lags are observed values; rows with a missing one count as 0 after scaling.
@@ -39,12 +50,12 @@ def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10,
     framed, names = feature_frame(series, n_lags, (3, 6, 12, 24))
     h, f, s = at.history, at.forecast, at.step
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
+    def fold(pdf: pd.DataFrame, served: pd.DataFrame) -> pd.DataFrame:
+        pdf, serving = pdf.sort_values("pos"), dict(zip(served.window_id, served.v_window, strict=True))
         x, y = pdf[names].to_numpy(float), pdf["target"].to_numpy(float)
         n, out, fitted, model = len(pdf), [], None, None
         for k in range((n - h - f) // s + 1 if n >= h + f else 0):
-            v = {"each": k, "no_retrain": 0, "fixed_retrain": (k - 1) // every * every if k else 0, "adaptive_retrain": 3 + 4 * ((k - 4) // 4) if k > 3 else 0}[policy]
+            v = serving[k]
             if v != fitted:
                 a, b = x[v * s : v * s + h], y[v * s : v * s + h]
                 mean, sd = np.nanmean(a, axis=0), np.nanstd(a, axis=0)
@@ -58,12 +69,14 @@ def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10,
             out.append(pd.DataFrame({"entity_id": pdf.entity_id.iloc[0], "window_id": k, "h": range(f), "timestamp": pdf.timestamp.iloc[rows].to_numpy(), "y_true": y[rows], "y_pred": np.nan_to_num((x[rows] - mean) / sd) @ w + centre}))
         return pd.concat(out) if out else pd.DataFrame(columns=["entity_id", "window_id", "h", "timestamp", "y_true", "y_pred"])
 
-    return framed.groupBy("entity_id").applyInPandas(fold, "entity_id string, window_id bigint, h int, timestamp timestamp, y_true double, y_pred double")
+    served = _served(series, at, policy, every, decided).withColumnRenamed("entity_id", "v_entity")
+    return framed.groupBy("entity_id").cogroup(served.groupBy("v_entity")).applyInPandas(fold, "entity_id string, window_id bigint, h int, timestamp timestamp, y_true double, y_pred double")
 
 
 def trees(
-    series: DataFrame, at: Layout, kind: str = "rf", policy: str = "no_retrain", every: int = 10, n_lags: int = 3, seed: int = 42, **params: int
-) -> DataFrame:
+    series: DataFrame, at: Layout, kind: str = "rf", policy: str = "no_retrain", every: int = 10, n_lags: int = 3, seed: int = 42, decided: DataFrame | None = None,
+    **params: int,
+) -> DataFrame:
     """One-step forecasts of a random forest or boosted trees, fitted by Spark over the rows of all entities.
 
     A fit serves any number of entities, which the lags tell apart; it is made anew for each training window that the policy names, one Spark fit
@@ -80,7 +93,7 @@ def trees(
         model = RandomForestRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 10), seed=seed)
     else:
         model = GBTRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5), stepSize=0.1, seed=seed)
-    served = _served(series, at, policy, every)
+    served = _served(series, at, policy, every, decided)
     pos = F.col("window_id") * at.step + at.history + F.col("h")
     test = test_rows(series, at).join(served, ["entity_id", "window_id"]).withColumn("pos", pos).join(rows.drop("target"), ["entity_id", "pos"])
     out = None
@@ -106,7 +119,7 @@ def register_model(name: str):
 
 
 for _name in ("naive", "seasonal_naive", "lstm"):
-    register_model(_name)(lambda series, at, policy="each", every=10, _name=_name, **kw: predictions(series, at, _name, policy, every, **kw))
+    register_model(_name)(lambda series, at, policy="each", every=10, _name=_name, **kw: baseline(series, at, _name, policy, every, **kw))
 register_model("ridge_features")(ridge)
 register_model("rf")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "rf", policy, every, **kw))
 register_model("lgbm")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "gbt", policy, every, **kw))

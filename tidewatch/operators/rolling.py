@@ -56,8 +56,7 @@ def test_rows(series: DataFrame, at: Layout) -> DataFrame:
 def version(policy: str, step: Column, every: int = 10) -> Column:
     """The step whose training window serves `step`: a retrain at a step takes effect from the next one on.
 
-    each: refit in every window; no_retrain: the first; fixed_retrain: each `every` steps; adaptive_retrain: drift in every window, with a gap of 3 and two
-    in a row (retrains at 3, 7, 11, ...).
+    each: refit in every window; no_retrain: the first; fixed_retrain: each `every` steps. Adaptive retrains follow from the data: see adaptive.loop.
     """
     zero = F.lit(0).cast("bigint")
     if policy == "each":
@@ -66,8 +65,6 @@ def version(policy: str, step: Column, every: int = 10) -> Column:
         return zero
     if policy == "fixed_retrain":
         return F.when(step > 0, F.floor((step - 1) / every).cast("bigint") * every).otherwise(zero)
-    if policy == "adaptive_retrain":
-        return F.when(step > 3, F.floor((step - 4) / 4).cast("bigint") * 4 + 3).otherwise(zero)
     raise ValueError(f"unknown policy: {policy}")
 
 
@@ -79,7 +76,7 @@ def retrains(policy: str, n: Column, every: int = 10) -> Column:
         return F.least(n, F.lit(1))
     if policy == "fixed_retrain":
         return F.floor((n + every - 1) / every).cast("bigint")
-    return F.when(n > 0, 1 + F.floor(n / 4).cast("bigint")).otherwise(F.lit(0))
+    raise ValueError(f"unknown policy: {policy}")
 
 
 def predictions(series: DataFrame, at: Layout, model: str = "naive", policy: str = "each", every: int = 10, scope: str = "entity", m: int = 24) -> DataFrame:
@@ -135,14 +132,3 @@ def error_moving_average(per_window: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("entity_id").orderBy("window_id").rowsBetween(-n, -1)
     return per_window.withColumn("error_ma", F.coalesce(F.avg("mae").over(w), F.lit(0.0)))
 
-
-def run_table(series: DataFrame, at: Layout, models=("naive", "seasonal_naive"), policies=("no_retrain", "fixed_retrain", "adaptive_retrain"), every: int = 10) -> DataFrame:
-    """A leaderboard row for each entity (as dataset), policy and model, in one plan."""
-    out = None
-    for policy in policies:
-        for model in models:
-            p = predictions(series, at, model, policy, every)
-            one = p.groupBy(F.col("entity_id").alias("dataset")).agg(M.mae().alias("mae"), M.rmse().alias("rmse"), M.smape().alias("smape"), F.count_distinct("window_id").alias("n_windows"))
-            one = one.select("dataset", F.lit(policy).alias("strategy"), F.lit(model).alias("model"), "mae", "rmse", "smape", retrains(policy, F.col("n_windows"), every).alias("retrain_total"), "n_windows")
-            out = one if out is None else out.unionByName(one)
-    return out

@@ -5,49 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..operators import adaptive
+from ..operators import adaptive, models
 from .catalog import query
-from .shared import AT, FC, H, METRICS, ST, W, events, rounded
-
-#: CUSUM's limit and slack, in units of the series; the policy's gap, run of drifts, score and decay.
-LIMIT, SLACK = 400.0, 10.0
-GAP, RUN, SCORE, DECAY = 3, 2, 0.5, 0.5
-
-LOOP = f"""{W}, y AS (
-  SELECT entity_id, list(target ORDER BY pos) AS y, avg(target) FILTER (WHERE pos < {H}) - max(target) FILTER (WHERE pos = {H} - 1) AS mean, ((count(*) - {H + FC}) // {ST} + 1) * {FC} AS total
-  FROM s GROUP BY 1 HAVING count(*) >= {H + FC}
-), st(entity_id, i, v, used, up, down, hit, score, last_score, run, last, fired) AS (
-  SELECT entity_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, false, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST(-1 AS BIGINT), false FROM y
-  UNION ALL
-  SELECT entity_id, i, CASE WHEN fire THEN i // {FC} ELSE v END, v, up, down, hit, score, last_score, CASE WHEN fire THEN 0.0 ELSE run END, CASE WHEN fire THEN i // {FC} ELSE last END, fire
-  FROM (SELECT *, ended AND ready AND last_score > {SCORE} AND run >= {RUN} AS fire
-  FROM (SELECT * EXCLUDE (run, last_score), CASE WHEN ended AND score > 0 THEN score ELSE last_score END AS last_score,
-               CASE WHEN ended AND ready THEN (CASE WHEN hit THEN run + 1 ELSE greatest(0.0, run - {DECAY}) END) ELSE run END AS run
-  FROM (SELECT entity_id, i, v, CASE WHEN over THEN 0.0 ELSE u END AS up, CASE WHEN over THEN 0.0 ELSE d END AS down, hit OR over AS hit,
-               CASE WHEN over THEN greatest(u, d) WHEN hit THEN score ELSE greatest(u, d) END AS score, last_score, run, last, i % {FC} = {FC} - 1 AS ended, i // {FC} - last >= {GAP} AS ready
-  FROM (SELECT *, NOT hit AND (u > {LIMIT} OR d > {LIMIT}) AS over
-  FROM (SELECT *, CASE WHEN hit OR x IS NULL THEN up ELSE greatest(0.0, up + x - {SLACK}) END AS u, CASE WHEN hit OR x IS NULL THEN down ELSE greatest(0.0, down - x - {SLACK}) END AS d
-  FROM (SELECT entity_id, i + 1 AS i, v, up, down, CASE WHEN (i + 1) % {FC} = 0 THEN false ELSE hit END AS hit, score, last_score, run, last, y[i + 2 + {H}] - y[v * {ST} + {H}] - mean AS x
-        FROM st JOIN y USING (entity_id) WHERE i + 1 < total))))))
-), windowed AS (SELECT entity_id, i // {FC} AS window_id, used AS version, hit AS drift_detected, score AS drift_score, fired AS retrain FROM st WHERE i >= 0 AND i % {FC} = {FC} - 1)"""
-
-
-def _decided(spark, d):
-    policy = {"kind": "drift_triggered", "gap": GAP, "consecutive": RUN, "threshold": SCORE, "decay": DECAY}
-    return adaptive.loop(events(spark, d), AT, "naive", "cusum", policy, threshold=LIMIT, drift=SLACK)
-
-
-@query(f"WITH RECURSIVE {LOOP} SELECT entity_id, window_id, version, drift_detected, round(drift_score, 6) AS drift_score, retrain FROM windowed")
+from .shared import AT, METRICS, W, adaptive_sql, decided, events, loop_sql, rounded
+
+
+@query(f"WITH RECURSIVE {W}, {loop_sql()} SELECT entity_id, window_id, version, drift_detected, round(drift_score, 6) AS drift_score, retrain FROM loop_naive")
 def adaptive_loop(spark, d):
-    return rounded(_decided(spark, d).select("entity_id", "window_id", F.col("v_window").alias("version"), "drift_detected", "drift_score", "retrain"))
+    return rounded(decided(spark, d).select("entity_id", "window_id", F.col("v_window").alias("version"), "drift_detected", "drift_score", "retrain"))
 
 
 @query(
-    f"""WITH RECURSIVE {LOOP}, p AS (SELECT t.*, b.target AS y_pred FROM t JOIN windowed USING (entity_id, window_id) LEFT JOIN s b ON b.entity_id = t.entity_id AND b.pos = version * {ST} + {H} - 1)
-    SELECT entity_id, {METRICS}, count(*) AS n_predictions, any_value(retrains) AS retrains
-    FROM p JOIN (SELECT entity_id, CAST(count_if(retrain) AS BIGINT) AS retrains FROM windowed GROUP BY 1) USING (entity_id) GROUP BY 1"""
+    f"""WITH RECURSIVE {W}, {loop_sql()}, {adaptive_sql()} SELECT entity_id, {METRICS}, count(*) AS n_predictions, any_value(retrains) AS retrains
+    FROM p JOIN (SELECT entity_id, CAST(count_if(retrain) AS BIGINT) AS retrains FROM loop_naive GROUP BY 1) USING (entity_id) GROUP BY 1"""
 )
 def adaptive_loop_metrics(spark, d):
-    decided = _decided(spark, d)
-    per = adaptive.predictions(events(spark, d), AT, decided).groupBy("entity_id").agg(*M.all_metrics(), F.count("*").alias("n_predictions"))
-    return rounded(per.join(decided.groupBy("entity_id").agg(F.count_if("retrain").alias("retrains")), "entity_id"))
+    found = decided(spark, d)
+    per = adaptive.predictions(events(spark, d), AT, found).groupBy("entity_id").agg(*M.all_metrics(), F.count("*").alias("n_predictions"))
+    return rounded(per.join(found.groupBy("entity_id").agg(F.count_if("retrain").alias("retrains")), "entity_id"))
+
+
+@query(f"WITH RECURSIVE {W}, {loop_sql('seasonal_naive')}, {adaptive_sql('seasonal_naive')} SELECT entity_id, {METRICS}, count(*) AS n_predictions FROM p GROUP BY 1")
+def adaptive_policy_metrics(spark, d):
+    p = models.get_model("seasonal_naive")(events(spark, d), AT, policy="adaptive_retrain", decided=decided(spark, d, "seasonal_naive"))
+    return rounded(p.groupBy("entity_id").agg(*M.all_metrics(), F.count("*").alias("n_predictions")))

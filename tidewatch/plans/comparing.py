@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import adaptive
 from ..operators import compare as C
 from ..operators import leaderboard as L
 from ..operators import rolling as R
 from .catalog import query
 from .drifting import OBSERVED, observed
-from .shared import AT, W, events, p_sql, rounded, runs_sql
+from .shared import AT, PLACE, W, decided, events, p_sql, rounded, runs_sql
 
 # true drifts: each seventh window; detections: the flagged ones
 _TRUTH = "tr AS (SELECT entity_id, window_id AS step FROM ob WHERE window_id % 7 = 3), fo AS (SELECT entity_id, window_id AS step FROM ob WHERE drift)"
@@ -130,7 +131,7 @@ def pairwise_wins(spark, d):
 
 
 def runs(spark, d):
-    return R.run_table(events(spark, d), AT)
+    return adaptive.run_table(events(spark, d), AT, {m: decided(spark, d, m) for m in PLACE})
 
 
 _R = runs_sql()

@@ -35,7 +35,7 @@ def _by_entity(model: str, policy: str):
 
 for _name, _model, _policy in (
     ("naive_rolling_metrics", "naive", "each"), ("seasonal_naive_metrics", "seasonal_naive", "each"), ("no_retrain_metrics", "naive", "no_retrain"),
-    ("fixed_policy_metrics", "naive", "fixed_retrain"), ("seasonal_fixed_metrics", "seasonal_naive", "fixed_retrain"), ("adaptive_policy_metrics", "naive", "adaptive_retrain"),
+    ("fixed_policy_metrics", "naive", "fixed_retrain"), ("seasonal_fixed_metrics", "seasonal_naive", "fixed_retrain"),
 ):
     _run, _sql = _by_entity(_model, _policy)
     _run.__name__ = _name
