@@ -25,7 +25,7 @@ def rows(df):
 
 @pytest.mark.parametrize(
     "name",
-    ["rolling_features", "ewm_features", "entity_ref_features", "naive_rolling_metrics", "shared_scope_metrics", "ks_score", "psi_score", "cusum", "drift_triggered_trace", "inject_seasonal_phase_shift", "false_positive", "adaptive_vs_fixed", "adaptive_loop", "adaptive_loop_metrics", "adaptive_policy_metrics", "all_runs", "fill_backward_fill", "detection_delay"],
+    ["rolling_features", "ewm_features", "entity_ref_features", "naive_rolling_metrics", "shared_scope_metrics", "ks_score", "psi_score", "cusum", "drift_triggered_trace", "inject_seasonal_phase_shift", "false_positive", "adaptive_vs_fixed", "adaptive_loop", "adaptive_loop_metrics", "adaptive_policy_metrics", "all_runs", "all_features", "drift_benchmark", "fill_backward_fill", "detection_delay"],
 )
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
@@ -240,3 +240,11 @@ def test_learned_models_refit_where_the_loop_says(spark):
     decided = adaptive.loop(series, at, "naive", "cusum", RULES, threshold=100.0, drift=2.0)
     error = {p: models.get_model("ridge_features")(series, at, policy=p, n_lags=3, decided=decided).where("entity_id = 'a'").selectExpr("avg(abs(y_true - y_pred))").first()[0] for p in ("no_retrain", "adaptive_retrain")}
     assert error["adaptive_retrain"] < error["no_retrain"]
+
+
+def test_extended_metrics_without_a_key_cross_the_seams(spark):
+    from tidewatch.functions import metrics as M
+
+    p = R.predictions(_shifted(spark), R.Layout(48, 12, 12))
+    a, b = M.extended(p).first(), M.extended(p.drop("step")).first()
+    assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a, b, strict=True))

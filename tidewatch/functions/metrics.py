@@ -42,10 +42,20 @@ def all_metrics(y: str = "y_true", p: str = "y_pred") -> list[Column]:
 
 
 def extended(predictions: DataFrame, *by: str, order: tuple[str, ...] = ("entity_id", "window_id", "h")) -> DataFrame:
-    """The four metrics, and mean, deviation and maximum of errors, their lag-1 autocorrelation and the relative error."""
-    own = [c for c in order if c not in by]
-    w = Window.partitionBy(*by).orderBy(*own)
-    e = predictions.withColumn("__e", F.abs(F.col("y_true") - F.col("y_pred"))).withColumn("__l", F.lag("__e").over(w))
+    """The four metrics, and mean, deviation and maximum of errors, their lag-1 autocorrelation and the relative error.
+
+    Without a key the order runs over all entities; with a column `step` (the number of the window over all entities) no task sees all rows: lags are
+    taken within a step, and the first row of a step takes the last error of the step before.
+    """
+    e = predictions.withColumn("__e", F.abs(F.col("y_true") - F.col("y_pred")))
+    if not by and "step" in predictions.columns:
+        w = Window.partitionBy("step").orderBy("h")
+        seams = e.groupBy((F.col("step") + 1).alias("step")).agg(F.max_by("__e", "h").alias("__seam"))
+        e = e.withColumns({"__l": F.lag("__e").over(w), "__n": F.row_number().over(w)}).join(seams, "step", "left")
+        e = e.withColumn("__l", F.when(F.col("__n") == 1, F.col("__seam")).otherwise(F.col("__l")))
+    else:
+        own = [c for c in order if c not in by]
+        e = e.withColumn("__l", F.lag("__e").over(Window.partitionBy(*by).orderBy(*own)))
     relative = F.avg(F.when(F.col("y_true") != 0, F.try_divide(F.col("__e"), F.abs("y_true"))))
     columns = [
         *all_metrics(), F.avg("__e").alias("error_mean"), F.stddev_pop("__e").alias("error_std"), F.max("__e").alias("error_max"),

@@ -63,7 +63,16 @@ def magnitude_corr(spark, d):
     return rounded(C.correlations(o, "drift_score", "mae", "entity_id"))
 
 
-@query()
+@query(f"""WITH {OBSERVED}, {_TRUTH}, j AS (SELECT entity_id, step, (SELECT min(fo.step) FROM fo WHERE fo.entity_id = tr.entity_id AND fo.step >= tr.step) - step AS delay FROM tr),
+dl AS (SELECT entity_id, count(*) AS n_true, count(delay) AS n_detected, round(avg(delay), 6) AS mean_delay_steps, CAST(max(delay) AS DOUBLE) AS max_delay_steps, round(avg(delay), 6) AS mean_delay_hours, CAST(max(delay) AS DOUBLE) AS max_delay_hours FROM j GROUP BY 1),
+fp AS (SELECT entity_id, count(*) AS fp FROM fo WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.entity_id = fo.entity_id AND abs(tr.step - fo.step) <= 1) GROUP BY 1), nf AS (SELECT entity_id, count(*) AS nf FROM fo GROUP BY 1),
+ft AS (SELECT entity_id, min(step) AS t0 FROM tr GROUP BY 1), bs AS (SELECT entity_id, avg(mae) AS b FROM ob JOIN ft USING (entity_id) WHERE window_id < t0 GROUP BY 1),
+er AS (SELECT entity_id, window_id AS step, mae AS error, b FROM ob JOIN ft USING (entity_id) JOIN bs USING (entity_id) WHERE window_id >= t0),
+rc AS (SELECT entity_id, min(CASE WHEN error <= b * 1.1 THEN step END) - min(step) AS recovery_steps FROM er GROUP BY 1),
+dg AS (SELECT *, greatest(0.0::DOUBLE, error - b) AS d, lead(greatest(0.0::DOUBLE, error - b)) OVER (PARTITION BY entity_id ORDER BY step) AS n FROM er),
+da AS (SELECT entity_id, round(coalesce(sum((d + n) / 2), 0), 6) AS area, round(max(d), 6) AS max_degradation, round(avg(d), 6) AS mean_degradation FROM dg GROUP BY 1)
+SELECT dl.*, coalesce(fp, 0) AS false_positives, round(coalesce(fp, 0) / 100.0::DOUBLE, 6) AS false_positive_rate, round((coalesce(nf, 0) - coalesce(fp, 0)) / n_true, 6) AS detection_rate, recovery_steps, area, max_degradation, mean_degradation
+FROM dl LEFT JOIN fp USING (entity_id) LEFT JOIN nf USING (entity_id) LEFT JOIN rc USING (entity_id) LEFT JOIN da USING (entity_id)""")
 def drift_benchmark(spark, d):
     o, t, f = _truth(spark, d)
     return rounded(C.drift_benchmark(o, t, f, 100, "entity_id", window=1))
