@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-A text's terms are the trigrams of its character classes (what prose, tables, shouting, link lists and noise look like)
-and banded measures of its words (repeats, variety, lengths). Term weights (logarithmic, times inverse document frequency)
+A text's terms are its words (hashed, A-Z lower-cased), the trigrams of its character classes (what prose, tables, shouting, link lists
+and noise look like) and banded measures of its words (repeats, variety, lengths). Term weights (logarithmic, times inverse document frequency)
 are projected to a few dimensions by a truncated singular value decomposition. The labelled vectors are broadcast;
 every document is compared with all of them, block by block, by exact cosines, and its nearest neighbours vote, weighted by similarity
-and by how common their label is.
+and by how common their label is. Cosines count to six digits; of equal ones, the labelled document that comes first in the sample votes.
 
 Scale: the model is fitted on at most `SAMPLE` labelled documents, half of either label, chosen by a hash of doc_id; their vectors
 are the only broadcast and have that bound. Scoring maps the documents in place: no shuffle, no text leaves its task.
@@ -12,6 +12,9 @@ are the only broadcast and have that bound. Scoring maps the documents in place:
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +44,10 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 N_SHAPES = 16**3
 N_BANDS, BANDS = 6, 16
-N_TERMS = N_SHAPES + N_BANDS * BANDS
+#: Bins of the words, and their weight beside the trigrams.
+N_WORDS, WORD_WEIGHT = 1 << 12, 0.5
+WORDS_AT = N_SHAPES + N_BANDS * BANDS
+N_TERMS = WORDS_AT + N_WORDS
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -66,6 +72,10 @@ def terms(text: str | None) -> np.ndarray:
             row[N_SHAPES + k * BANDS + at] = 2.0
             if at:
                 row[N_SHAPES + k * BANDS + at - 1] = 1.0
+        counts = Counter(words)
+        bins = np.fromiter((zlib.crc32(w) & (N_WORDS - 1) for w in counts), np.int64, len(counts))
+        binned = np.bincount(bins, np.fromiter(counts.values(), float, len(counts)), N_WORDS)
+        row[WORDS_AT:] = WORD_WEIGHT * np.log1p(binned * (100.0 / n))
     return row
 
 
@@ -83,7 +93,7 @@ class Model:
         for _ in range(4):  # subspace iteration
             q = np.linalg.qr(x.T @ (x @ q))[0] if n else q
         u, s, vt = np.linalg.svd(x @ q, full_matrices=False) if n else (None, None, np.eye(d + 8, dtype=np.float32))
-        self.projection = np.ascontiguousarray((q @ vt.T)[:, :d], np.float32)
+        self.projection = np.ascontiguousarray((q @ vt.T)[:, :d], np.float64)
         self.vectors = self._latent(x)
         share = labels.mean() if n else 0.5
         good = prior / share if share else 0.0
@@ -96,16 +106,18 @@ class Model:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def _latent(self, x: np.ndarray) -> np.ndarray:
-        z = x @ self.projection
+        z = x.astype(np.float64) @ self.projection  # so that the shape of a block has no say in six digits
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(rows), self.prior)
-        near = self._latent(self._weighted(rows)) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1), 0).astype(np.float64) ** SHARPNESS * self.votes[top]
+        n = len(self.vectors)
+        near = np.rint(self._latent(self._weighted(rows)) @ self.vectors.T * 1e6).astype(np.int64)
+        k = min(NEIGHBOURS, n)
+        # no two keys are equal: ties in similarity go to the earlier vector
+        top = np.sort(np.argpartition(near * n - np.arange(n), n - k, axis=1)[:, -k:], axis=1)
+        weight = (np.maximum(np.take_along_axis(near, top, axis=1), 0) / 1e6) ** SHARPNESS * self.votes[top]
         total = weight.sum(axis=1)
         voted = (weight * self.labels[top]).sum(axis=1)
         return np.where((total > 0) & (rows.any(axis=1)), voted / np.where(total > 0, total, 1), self.prior)
@@ -145,7 +157,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """Each row's doc_id, held_out, score (probability of label 1, to 6 digits) and predicted (1 from GOOD up).
 
     Null and empty texts get the share of label 1 among the labelled rows. Without any labels that is 0.5, and it is every
-    row's score. Repeated rows score alike; other columns take no part.
+    row's score. Repeated rows score alike; ties among neighbours are settled by the order of the sample, so a score does not depend on
+    partitions or batches. A very long text is one row of terms, whole, in its task. Other columns take no part, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
