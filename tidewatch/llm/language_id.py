@@ -28,6 +28,7 @@ ROUNDS = 12
 PENALTY = 1.5
 LEAST_SHARE = 0.02
 UNKNOWN = "und"
+SET = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 #: The pipeline rejects texts whose main language has a lower score.
 LEAST_SCORE = 0.3
 
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Mixture:
 
 
 def _mapped(docs: DataFrame, model) -> DataFrame:
-    """docs with __lang and __score."""
+    """docs with __lang, __score and __langs, the set of languages with proportions, largest first."""
 
     def make():
         m = model.value
@@ -145,25 +146,31 @@ def _mapped(docs: DataFrame, model) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [m.infer(t.as_py()) for t in batch.column("text")]
             return pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names, "__lang", "__score"],
+                [
+                    *batch.columns,
+                    pa.array([x[0] for x in found], pa.string()),
+                    pa.array([x[1] for x in found], pa.float64()),
+                    pa.array([[{"lang": k, "share": round(v, 6)} for k, v in sorted(x[2], key=lambda c: (-c[1], c[0]))] for x in found], SET),
+                ],
+                [*batch.schema.names, "__lang", "__score", "__langs"],
             )
 
         return each
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, make, f"{columns}, __lang string, __score double")
+    return map_arrow(docs, make, f"{columns}, __lang string, __score double, __langs array<struct<lang:string,share:double>>")
 
 
 def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Each row's doc_id, held_out, lang_pred and score (the main language's proportion, less what doubt there is about it).
+    """Each row's doc_id, held_out, lang_pred, score (the main language's proportion, less what doubt there is about it) and langs.
 
-    Null texts and texts without a letter are `und` with score 0, as is every text where no language was learned. Repeated
-    rows get the same answer; other columns take no part in a prediction.
+    langs: the chosen set of languages with their proportions, largest first. Null texts and texts without a letter are `und` with score 0
+    and an empty set, as is every text where no language was learned. Ties go to the name that comes first. Repeated
+    rows get the same answer; a very long text is counted whole, in its task; other columns take no part in a prediction.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     found = _mapped(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (fold() == HELD_OUT).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", (fold() == HELD_OUT).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__langs").alias("langs"))
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, least_score: float = LEAST_SCORE) -> DataFrame:
