@@ -6,20 +6,21 @@ suffix of what was read that occurs in any item. Where that length reaches `wind
 item they come from; an item shorter than `window` counts where it occurs whole.
 
 Scale: the items are the only thing that is broadcast. Their size is measured first; beyond `block_words` words they are
-dealt into blocks by hash, and each block takes a pass of its own over the documents, so memory in a task stays bounded
-however many items there are. Documents are never shuffled for one block; for several, only their hits are.
+dealt into blocks by hash, and each block takes a pass of its own over the documents. A pass ends in a table, so a task and
+the driver hold one block's automaton at a time, however many items there are. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, map_arrow
+from .common import alnum_words, map_arrow, materialize, release
 
 WINDOW = 10
 #: Words of items in one automaton.
@@ -134,30 +135,38 @@ class SuffixAutomaton:
         return spans, items
 
 
-def item_blocks(items: DataFrame, block_words: int) -> list[list[tuple[str, str]]]:
-    """The items as lists of bounded size; each is collected on its own, when its turn comes."""
+def item_blocks(items: DataFrame, block_words: int) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """How many blocks of bounded size the items make, and a function that collects one of them."""
     words = items.select(F.col("item_id").cast("string").alias("k"), "text").where("text is not null")
     total = words.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // (4 * block_words))  # a word and its blank take four characters at least on average
-    for b in range(max(1, n)):
-        part = words.where(F.pmod(F.xxhash64("k", "text"), F.lit(max(1, n))) == b)
-        yield [(r.k if r.k is not None else "", r.text) for r in part.toLocalIterator()]
+    n = max(1, -(-total // (4 * block_words)))  # a word and its blank take four characters at least on average
+
+    def block(b: int) -> list[tuple[str, str]]:
+        part = words.where(F.pmod(F.xxhash64("k", "text"), F.lit(n)) == b)
+        return [(r.k if r.k is not None else "", r.text) for r in part.toLocalIterator()]
+
+    return n, block
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row of docs with __n_words, hit __spans (in words) and __items, the ids of the items hit, as strings in order.
 
     Null or empty text: no words. Null or wordless items are never hit; a null item_id counts as an empty string.
-    Repeated rows each get their own result. An empty items table leaves every document clean.
+    Repeated rows each get their own result. An empty items table leaves every document clean. A very long text is streamed whole,
+    in its task. Other columns pass through.
     """
     spark = docs.sparkSession
-    blocks = list(item_blocks(items, block_words)) if block_words else []
-    schema = docs.schema
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["__n_words bigint", HITS])
+    n, block = item_blocks(items, block_words)
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__n_words bigint", HITS])
     found = docs
-    for b, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton([(k, alnum_words(t)) for k, t in block], window))
-        found = _pass(found, shared, out, first=b == 0)
+    for b in range(n):
+        shared = spark.sparkContext.broadcast(SuffixAutomaton([(k, alnum_words(t)) for k, t in block(b)], window))
+        before, found = found, _pass(found, shared, out, first=b == 0)
+        if n > 1:  # passes in one stage would hold all their automata at the same time
+            found = materialize(found, "hits")
+            shared.unpersist()
+            if b:
+                release(before)
     return found
 
 
@@ -216,8 +225,6 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between them."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
     out, done = [], 0
     for a, b in spans:
@@ -226,6 +233,15 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
+def _cutter() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True)
+        texts = [cut_spans(t, [(x["first"], x["last"]) for x in s]) if s else t for t, s in rows]
+        return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+    return each
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, in their own columns, without benchmark passages.
 
@@ -236,8 +252,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     share = F.aggregate("__spans", F.lit(0), lambda a, x: a + x["last"] - x["first"]) / F.greatest(F.col("__n_words"), F.lit(1))
     kept = hits.where((F.size("__spans") == 0) | (share <= max_coverage))
     if max_coverage > 0:
-        cut = F.udf(lambda t, s: cut_spans(t, [(x["first"], x["last"]) for x in s]), "string")
-        kept = kept.withColumn("text", F.when(F.size("__spans") > 0, cut("text", "__spans")).otherwise(F.col("text")))
+        kept = map_arrow(kept, _cutter, kept.schema)
         if "n_chars" in docs.columns:
             kept = kept.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
