@@ -96,9 +96,13 @@ def diebold_mariano(spark, d):
     return s.select("entity_id", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("statistic", 5).alias("statistic"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, l AS (SELECT *, lag(d) OVER (PARTITION BY entity_id ORDER BY window_id, h) AS l1 FROM pr), v AS (SELECT entity_id, count(d) AS n, avg(d) AS m, (var_samp(d) + 2 * covar_samp(d, l1)) / count(d) AS v FROM l GROUP BY 1),
+z AS (SELECT entity_id, n, m, CASE WHEN v > 0 THEN m / sqrt(v) END AS z FROM v), q AS (SELECT *, CASE WHEN abs(z) > 6 THEN 0.0::DOUBLE WHEN z = 0 THEN 1.0::DOUBLE ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 100),
+lambda k: (1 - 2 * (k % 2)) / (2 * k + 1) * exp((2 * k + 1) * ln(abs(z) / sqrt(2)) - lgamma(k + 1)))) END AS p FROM z)
+SELECT entity_id, n, round(m, 6) AS mean_diff, round(z, 5) AS statistic, round(p, 6) AS p_value, p < 0.05 AS significant FROM q""")
 def diebold_mariano_p(spark, d):
-    return rounded(C.with_normal_p(C.diebold_mariano(_pairs(spark, d), "entity_id", h=2)))
+    t = C.with_normal_p(C.diebold_mariano(_pairs(spark, d), "entity_id", h=2))
+    return rounded(t.withColumn("statistic", F.round("statistic", 5)))
 
 
 @query(f"""WITH {_PAIRS}, z AS (SELECT entity_id, round(d, 9) AS d FROM pr WHERE d IS NOT NULL AND round(d, 9) <> 0), r AS (SELECT *, rank() OVER (PARTITION BY entity_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY entity_id, abs(d)) - 1) / 2.0::DOUBLE AS r FROM z),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -100,14 +101,56 @@ def cusum(spark, d):
     return rounded(D.detect_windows(p, ref, "cusum", on="target", threshold=200.0))
 
 
-for _kind in ("adwin", "residual_ks", "wasserstein", "ks_test", "psi"):
+# the detectors below are fed residuals of the naive forecast; their windows are lists that the recursion carries
+_BATCHES = f"""{W}, {p_sql()}, b AS (SELECT entity_id, window_id, coalesce(list(y_true - y_pred ORDER BY h) FILTER (y_true - y_pred IS NOT NULL), []) AS b FROM p GROUP BY 1, 2),
+rf AS (SELECT entity_id, list(target ORDER BY pos) FILTER (target IS NOT NULL) AS r FROM s WHERE pos < {H} GROUP BY 1)"""
+_NEXT = "f JOIN b ON b.entity_id = f.entity_id AND b.window_id = f.k + 1"
+_FOUND = "SELECT entity_id, k AS window_id, drift AS drift_detected, round(score, 6) AS drift_score FROM f WHERE k >= 0"
+
+_ADWIN = f"""WITH RECURSIVE {_BATCHES}, f AS (
+SELECT entity_id, CAST(-1 AS BIGINT) AS k, r AS w, false AS drift, 0.0::DOUBLE AS score FROM rf
+UNION ALL SELECT entity_id, k, CASE WHEN d > 0.5 THEN w[len(w) // 2 + 1:] ELSE w END, d > 0.5, d FROM (
+SELECT entity_id, k, w, CASE WHEN len(w) >= 60 AND pooled > 1e-10 THEN abs(list_avg(w[len(w) // 2 + 1:]) - list_avg(w[:len(w) // 2])) / pooled ELSE 0.0::DOUBLE END AS d FROM (
+SELECT *, sqrt((list_var_samp(w[:len(w) // 2]) + list_var_samp(w[len(w) // 2 + 1:])) / 2) AS pooled FROM (SELECT f.entity_id, b.window_id AS k, list_concat(f.w, b.b)[-1000:] AS w FROM {_NEXT}))))
+{_FOUND}"""
+
+_WASSERSTEIN = f"""WITH RECURSIVE {_BATCHES}, f AS (
+SELECT entity_id, CAST(-1 AS BIGINT) AS k, r AS old, CAST([] AS DOUBLE[]) AS w, false AS drift, 0.0::DOUBLE AS score FROM rf
+UNION ALL SELECT entity_id, k, CASE WHEN d > 0.1 THEN w ELSE old END, CASE WHEN d > 0.1 THEN [] ELSE w END, d > 0.1, d FROM (
+SELECT *, CASE WHEN len(w) < 30 THEN 0.0::DOUBLE ELSE list_sum(list_transform(range(1, len(x)), lambda i: (x[i + 1] - x[i]) * abs(
+len(list_filter(old, lambda v: v <= x[i])) / len(old) - len(list_filter(w, lambda v: v <= x[i])) / len(w)))) / greatest(list_stddev_pop(old), 1e-10::DOUBLE) END AS d FROM (
+SELECT *, list_sort(list_concat(old, w)) AS x FROM (SELECT f.entity_id, b.window_id AS k, f.old, list_concat(f.w, b.b)[-100:] AS w FROM {_NEXT}))))
+{_FOUND}"""
+
+
+def _psi_detector_sql() -> str:
+    # linear interpolation between the two nearest order statistics, from the nearer one
+    near = lambda q: f"(len(o) - 1) * {q!r}::DOUBLE"
+    edge = lambda q: f"""(CASE WHEN {near(q)} - floor({near(q)}) < 0.5 THEN o[floor({near(q)})::INT + 1] + (o[ceil({near(q)})::INT + 1] - o[floor({near(q)})::INT + 1]) * ({near(q)} - floor({near(q)}))
+ELSE o[ceil({near(q)})::INT + 1] - (o[ceil({near(q)})::INT + 1] - o[floor({near(q)})::INT + 1]) * (1 - ({near(q)} - floor({near(q)}))) END)"""
+    edges = ", ".join(edge(float(q)) + (" + 1" if k == 10 else "") for k, q in enumerate(np.linspace(0, 1, 11)))
+    share = lambda x: f"list_transform(range(1, 11), lambda i: greatest(len(list_filter({x}, lambda v: v >= q[i] AND (v < q[i + 1] OR (i = 10 AND v = q[11])))) / len({x}), 0.0::DOUBLE))"
+    some = lambda x: f"(CASE WHEN {x} = 0 THEN 1e-4::DOUBLE ELSE {x} END)"
+    return f"""WITH RECURSIVE {_BATCHES}, f AS (
+SELECT entity_id, CAST(-1 AS BIGINT) AS k, r AS old, CAST([] AS DOUBLE[]) AS w, false AS drift, 0.0::DOUBLE AS score FROM rf
+UNION ALL SELECT entity_id, k, CASE WHEN d > 0.2 THEN w ELSE old END, CASE WHEN d > 0.2 THEN [] ELSE w END, d > 0.2, d FROM (
+SELECT *, CASE WHEN len(w) < 2 THEN 0.0::DOUBLE ELSE list_sum(list_transform(range(1, 11), lambda i: ({some("a[i]")} - {some("e[i]")}) * ln({some("a[i]")} / {some("e[i]")}))) END AS d FROM (
+SELECT *, {share("old")} AS e, {share("w")} AS a FROM (SELECT *, [{edges}] AS q FROM (
+SELECT f.entity_id, b.window_id AS k, f.old, list_sort(f.old) AS o, list_concat(f.w, b.b)[-1000:] AS w FROM {_NEXT})))))
+{_FOUND}"""
+
+
+# of the two KS detectors' exact p-values SQL has no short form
+_DETECTOR_SQL = {"adwin": _ADWIN, "residual_ks": None, "wasserstein": _WASSERSTEIN, "ks_test": None, "psi": _psi_detector_sql()}
+
+for _kind, _sql in _DETECTOR_SQL.items():
 
     def _detected(spark, d, kind=_kind):
         p, ref = _targets(spark, d)
         return rounded(D.detect_windows(p, ref, kind))
 
     _detected.__name__ = f"detector_{_kind}"
-    query()(_detected)
+    query(_sql)(_detected)
 
 
 def observed(spark, d):
@@ -150,7 +193,13 @@ def no_retraining_trace(spark, d):
     return D.policy_trace(observed(spark, d), D.create_policy("none")).drop("reason")
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBSERVED}, ma AS (SELECT entity_id, window_id, step, coalesce(avg(mae) OVER (PARTITION BY entity_id ORDER BY window_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS err FROM ob), f AS (
+SELECT entity_id, CAST(-1 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS step, CAST(-1 AS BIGINT) AS last, CAST([] AS DOUBLE[]) AS e, CAST(NULL AS DOUBLE) AS base, false AS retrain, '' AS reason, CAST(0 AS BIGINT) AS total FROM (SELECT DISTINCT entity_id FROM ob)
+UNION ALL SELECT entity_id, k, step, CASE WHEN go THEN k ELSE last END, CASE WHEN go THEN [] ELSE e END, base, go, CASE WHEN go THEN 'errors_over_' || printf('%.3f', lim) WHEN k - last < 5 THEN 'cooldown' ELSE 'errors_normal' END, total + go::BIGINT FROM (
+SELECT *, k - last >= 5 AND len(list_filter(e[-10:], lambda v: v > lim)) >= 2 AS go FROM (SELECT *, coalesce(base * 1.1::DOUBLE, 0.1::DOUBLE) AS lim FROM (
+SELECT * REPLACE (CASE WHEN base IS NULL AND len(e) >= 10 THEN list_avg(e[:10]) ELSE base END AS base) FROM (
+SELECT f.entity_id, ma.window_id AS k, ma.step, f.last, f.base, f.total, CASE WHEN ma.err > 0 THEN list_append(f.e, ma.err)[-100:] ELSE f.e END AS e FROM f JOIN ma ON ma.entity_id = f.entity_id AND ma.window_id = f.k + 1)))))
+SELECT entity_id, step, retrain, reason, total AS total_retrains FROM f WHERE k >= 0""")
 def error_threshold_trace(spark, d):
     return D.policy_trace(observed(spark, d), D.create_policy("error_threshold"))
 
