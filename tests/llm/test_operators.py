@@ -180,6 +180,65 @@ def test_mixing_over_tables_meets_given_targets(spark):
         assert share[got.lang.isna()].sum() / share.sum() == pytest.approx(0.8, abs=1e-6)
 
 
+def brute_rake(cells, want, rounds=2000):
+    w = {c: n / sum(cells.values()) for c, n in cells.items()}
+    for _ in range(rounds):
+        for axis, goal in enumerate(want):
+            have = defaultdict(float)
+            for c, v in w.items():
+                have[c[axis]] += v
+            w = {c: v * goal[c[axis]] / have[c[axis]] if have[c[axis]] else 0.0 for c, v in w.items()}
+    return w
+
+
+def test_mixing_query(spark):
+    got = Q.op3_mixing(spark, SF).toPandas()
+    raw = table("documents").set_index("doc_id")
+    assert sorted(got.doc_id) == sorted(raw.index)
+    cells, rows = defaultdict(int), []
+    for r in got.itertuples():
+        d = raw.loc[r.doc_id]
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", d.text or ""))
+        assert r.tokens == n and (r.source, r.lang) == (d.source, d.lang) and (r.topic >= 0) == bool(words(d.text))
+        rows.append((r, (r.source, r.lang, r.topic)))
+        cells[rows[-1][1]] += n
+    flat = dict(cells)
+    for axis, name in enumerate(mixing.AXES):
+        seen = defaultdict(int)
+        for c, n in cells.items():
+            seen[c[axis]] += n
+        for c in flat:
+            flat[c] *= min(mixing.GAINS[name], (max(seen.values()) / max(1, seen[c[axis]])) ** (1 - mixing.POWERS[name]))
+    want = []
+    for axis in range(3):
+        goal = defaultdict(float)
+        for c, v in flat.items():
+            goal[c[axis]] += v / sum(flat.values())
+        want.append(goal)
+    w = brute_rake(cells, want)
+    top = max(w[c] / n for c, n in cells.items() if n)
+    for r, c in rows:
+        p = w[c] / cells[c] / top if r.tokens else 1.0
+        u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:12], 16) / 2**48
+        assert r.p == pytest.approx(p, abs=1e-3) and (abs(u - p) < 1e-3 or r.sampled == (u < p))
+
+
+def test_topics_part_texts_by_their_words():
+    rng = np.random.default_rng(2)
+    packs = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    texts = [" ".join([*rng.choice(packs[k % 3], 12), "the", "of"]) for k in range(90)]
+    learned = mixing.Topics([mixing.word_bins(t) for t in texts[:60]], 3)
+    found = [learned.of(t) for t in texts]
+    assert {len({found[k] for k in range(j, 90, 3)}) for j in range(3)} == {1} and len(set(found)) == 3
+    assert learned.of(None) == learned.of("") == learned.of("?! ...") == -1 and mixing.Topics([]).of("a word") == 0
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    rows = [(i, f"some text {i}", "en" if i % 2 else "de", "big" if i % 2 else "small") for i in range(40)]
+    with pytest.warns(UserWarning, match="off their targets"):
+        mixing.draw(docs(spark, rows), {"source": {"big": 0.5, "small": 0.5}, "lang": {"en": 0.9, "de": 0.1}})
+
+
 def test_mixing_default_targets_are_met_within_their_bound():
     rng = np.random.default_rng(3)
     for _ in range(20):  # groups that occur together or not, of very different sizes
@@ -200,9 +259,29 @@ def test_quality(spark):
     assert len(got) == len(EDGE) and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
     assert (got.held_out == got.doc_id.map(lambda i: not pd.isna(i) and zlib.crc32(str(int(i)).encode()) % 4 == 2)).all()
     assert (quality.score(docs(spark), labels.limit(0)).toPandas().score == 0.5).all()
+    again = quality.score(docs(spark).repartition(5), labels).toPandas()
+    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, again.itertuples(index=False, name=None)))
     assert quality.score(docs(spark, []), labels).count() == 0
 
 
+def test_quality_votes_equal_brute_force():
+    rng = np.random.default_rng(1)
+    pool = "the of and river stone quiet house window garden letter |||| $$$ CLICK HERE 1234 buy!!! http://x".split()
+    texts = [" ".join(rng.choice(pool[:10] if k % 3 else pool[8:], int(rng.integers(1, 60)))) for k in range(200)] + ["", None]
+    rows = np.stack([quality.terms(t) for t in texts])
+    labels = np.array([float(k % 3 > 0) for k in range(120)])
+    m = quality.Model(rows[:120], labels, 0.6)
+    good, bad = 0.6 / labels.mean(), 0.4 / (1 - labels.mean())
+    for k, (t, got) in enumerate(zip(texts, m.score(rows), strict=True)):
+        if not t:
+            assert got == 0.6
+            continue
+        z = m._latent(m._weighted(rows[k : k + 1]))[0]
+        near = sorted(range(120), key=lambda i: (-round(float(z @ m.vectors[i]) * 1e6), i))[: quality.NEIGHBOURS]
+        vote = [max(0.0, float(z @ m.vectors[i])) ** quality.SHARPNESS * (good if labels[i] else bad) for i in near]
+        assert got == pytest.approx(sum(v for v, i in zip(vote, near, strict=True) if labels[i]) / sum(vote), abs=1e-4)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.op4_quality(spark, sf).toPandas().merge(ds.dataset(f"{sf}/labels.parquet").to_table().to_pandas(), on="doc_id")
@@ -257,6 +336,7 @@ def test_language_id(spark):
     assert len(got) == len(EDGE)
     none = got[got.doc_id.isin([4, 5, 6, 9])]
     assert (none.lang_pred == "und").all() and (none.score == 0).all() and got.score.between(0, 1).all()
+    assert all((r.lang_pred == "und") == (len(r.langs) == 0) and (not len(r.langs) or r.langs[0]["lang"] == r.lang_pred) for r in got.itertuples())
     assert {r.doc_id for r in language_id.keep_identified(docs(spark)).collect()}.isdisjoint({4, 5, 6, 9})
     assert (language_id.predict(docs(spark, [(1, "text", None, "a")])).toPandas().lang_pred == "und").all()
     assert language_id.predict(docs(spark, [])).count() == 0
@@ -329,7 +409,10 @@ def test_pii(spark):
 def test_pii_query(spark):
     got = Q.op8_pii(spark, SF).toPandas().set_index("doc_id")
     for i, t in table("documents")[["doc_id", "text"]].itertuples(index=False, name=None):
-        assert got.loc[i, "base_sha256"] == hashlib.sha256(",".join(brute_pii(t or "")).encode()).hexdigest()
+        base = brute_pii(t or "")
+        assert got.loc[i, "base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert tuple(got.loc[i, [f"n_{k}" for k in ("email", "ip", "card", "phone")]]) == tuple(sum(x.startswith(f"{k}:") for x in base) for k in ("email", "ip", "card", "phone"))
+        assert set(base) <= set(got.loc[i, "spans"].split(","))
 
 
 def test_warc(spark):
