@@ -268,7 +268,7 @@ def test_quality_votes_equal_brute_force():
     rng = np.random.default_rng(1)
     pool = "the of and river stone quiet house window garden letter |||| $$$ CLICK HERE 1234 buy!!! http://x".split()
     texts = [" ".join(rng.choice(pool[:10] if k % 3 else pool[8:], int(rng.integers(1, 60)))) for k in range(200)] + ["", None]
-    rows = np.stack([quality.terms(t) for t in texts])
+    rows = [quality.terms(t) for t in texts]
     labels = np.array([float(k % 3 > 0) for k in range(120)])
     m = quality.Model(rows[:120], labels, 0.6)
     good, bad = 0.6 / labels.mean(), 0.4 / (1 - labels.mean())
@@ -276,7 +276,7 @@ def test_quality_votes_equal_brute_force():
         if not t:
             assert got == 0.6
             continue
-        z = m._latent(m._weighted(rows[k : k + 1]))[0]
+        z = m.place(rows[k])
         near = sorted(range(120), key=lambda i: (-round(float(z @ m.vectors[i]) * 1e6), i))[: quality.NEIGHBOURS]
         vote = [max(0.0, float(z @ m.vectors[i])) ** quality.SHARPNESS * (good if labels[i] else bad) for i in near]
         assert got == pytest.approx(sum(v for v, i in zip(vote, near, strict=True) if labels[i]) / sum(vote), abs=1e-4)

@@ -45,82 +45,87 @@ CLASSES = _classes()
 N_SHAPES = 16**3
 N_BANDS, BANDS = 6, 16
 #: Bins of the words, and their weight beside the trigrams.
-N_WORDS, WORD_WEIGHT = 1 << 12, 0.5
+N_WORDS, WORD_WEIGHT = 1 << 11, 0.5
 WORDS_AT = N_SHAPES + N_BANDS * BANDS
 N_TERMS = WORDS_AT + N_WORDS
 
 
-def terms(text: str | None) -> np.ndarray:
-    """The text's term weights before idf, as one dense row; zero for null and empty texts."""
-    row = np.zeros(N_TERMS, np.float32)
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The text's terms and their weights before idf; none for null and empty texts."""
     if not text:
-        return row
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
     data = CLASSES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    at, weights = [], []
+
+    def add(first: int, counts: np.ndarray, scale: float, weight: float = 1.0) -> None:
+        bins = np.flatnonzero(counts)
+        at.append(bins + first)
+        weights.append(weight * np.log1p(counts[bins] * scale))
+
     if len(data) > 2:
-        counts = np.bincount((data[:-2] << 8) | (data[1:-1] << 4) | data[2:], minlength=N_SHAPES)
-        row[:N_SHAPES] = np.log1p(counts * (1000.0 / len(data)))
+        add(0, np.bincount((data[:-2] << 8) | (data[1:-1] << 4) | data[2:], minlength=N_SHAPES), 1000.0 / len(data))
     words = blank_words(text)
     if words:
         n = len(words)
+        counts = Counter(words)
         lengths = np.fromiter(map(len, words), np.int32, n)
         repeats = sum(map(bytes.__eq__, words, words[1:])) / n
         by_class = np.bincount(data, minlength=16) / len(data)
         for k, v in enumerate((
-            repeats**0.5, len(set(words)) / n**0.9, lengths.mean() / 12, by_class[3] ** 0.5, (by_class[8:12].sum()) ** 0.5, (by_class[4] + by_class[11]) ** 0.5,
+            repeats**0.5, len(counts) / n**0.9, lengths.mean() / 12, by_class[3] ** 0.5, (by_class[8:12].sum()) ** 0.5, (by_class[4] + by_class[11]) ** 0.5,
         )):
-            at = min(BANDS - 1, max(0, int(v * BANDS)))
-            row[N_SHAPES + k * BANDS + at] = 2.0
-            if at:
-                row[N_SHAPES + k * BANDS + at - 1] = 1.0
-        counts = Counter(words)
+            band = min(BANDS - 1, max(0, int(v * BANDS)))
+            here = [band - 1, band] if band else [band]
+            at.append(np.array(here) + N_SHAPES + k * BANDS)
+            weights.append(np.array([1.0, 2.0][-len(here) :]))
         bins = np.fromiter((zlib.crc32(w) & (N_WORDS - 1) for w in counts), np.int64, len(counts))
-        binned = np.bincount(bins, np.fromiter(counts.values(), float, len(counts)), N_WORDS)
-        row[WORDS_AT:] = WORD_WEIGHT * np.log1p(binned * (100.0 / n))
-    return row
+        add(WORDS_AT, np.bincount(bins, np.fromiter(counts.values(), float, len(counts))), 100.0 / n, WORD_WEIGHT)
+    return (np.concatenate(at), np.concatenate(weights).astype(np.float32)) if at else terms(None)
 
 
 class Model:
     """Term weights, projection, labelled vectors and their votes; `prior` where there is nothing to compare with."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, prior: float) -> None:
+    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior: float) -> None:
         self.prior = prior
-        n = len(rows)
-        self.idf = np.log((1 + n) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 0.1
-        x = self._weighted(rows)
+        n = len(sample)
+        x = np.zeros((n, N_TERMS), np.float32)
+        for k, (bins, weights) in enumerate(sample):
+            x[k, bins] = weights
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))) + 0.1
+        x *= self.idf.astype(np.float32)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         rng = np.random.default_rng(3)
         d = max(1, min(DIMENSIONS, n, N_TERMS))
         q = rng.standard_normal((N_TERMS, d + 8)).astype(np.float32)
         for _ in range(4):  # subspace iteration
             q = np.linalg.qr(x.T @ (x @ q))[0] if n else q
         u, s, vt = np.linalg.svd(x @ q, full_matrices=False) if n else (None, None, np.eye(d + 8, dtype=np.float32))
-        self.projection = np.ascontiguousarray((q @ vt.T)[:, :d], np.float64)
-        self.vectors = self._latent(x)
+        self.projection = np.ascontiguousarray((q @ vt.T)[:, :d], np.float64) * self.idf[:, None]
+        self.vectors = np.stack([self.place(t) for t in sample]) if n else np.zeros((0, d))
         share = labels.mean() if n else 0.5
         good = prior / share if share else 0.0
         bad = (1 - prior) / (1 - share) if share < 1 else 0.0
         self.labels = labels.astype(np.float32)
         self.votes = np.where(labels > 0, good, bad).astype(np.float32)
 
-    def _weighted(self, rows: np.ndarray) -> np.ndarray:
-        x = rows * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-    def _latent(self, x: np.ndarray) -> np.ndarray:
-        z = x.astype(np.float64) @ self.projection  # so that the shape of a block has no say in six digits
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    def place(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The unit vector of a text's terms, by itself, so that its block has no say; zero without terms."""
+        z = found[1].astype(np.float64) @ self.projection[found[0]]
+        return z / max(float(np.linalg.norm(z)), 1e-12)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        if not len(self.vectors):
-            return np.full(len(rows), self.prior)
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         n = len(self.vectors)
-        near = np.rint(self._latent(self._weighted(rows)) @ self.vectors.T * 1e6).astype(np.int64)
+        if not n:
+            return np.full(len(texts), self.prior)
+        near = np.rint(np.stack([self.place(t) for t in texts]) @ self.vectors.T * 1e6).astype(np.int64)
         k = min(NEIGHBOURS, n)
         # no two keys are equal: ties in similarity go to the earlier vector
         top = np.sort(np.argpartition(near * n - np.arange(n), n - k, axis=1)[:, -k:], axis=1)
         weight = (np.maximum(np.take_along_axis(near, top, axis=1), 0) / 1e6) ** SHARPNESS * self.votes[top]
         total = weight.sum(axis=1)
         voted = (weight * self.labels[top]).sum(axis=1)
-        return np.where((total > 0) & (rows.any(axis=1)), voted / np.where(total > 0, total, 1), self.prior)
+        return np.where((total > 0) & [len(t[0]) > 0 for t in texts], voted / np.where(total > 0, total, 1), self.prior)
 
 
 def fold(column: str = "doc_id"):
@@ -141,16 +146,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [terms(t.as_py()).astype(np.float16).tobytes() for t in batch.column("text")]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("q"), pa.array(rows, pa.binary())], ["doc_id", "q", "terms"])
+            rows = [terms(t.as_py()) for t in batch.column("text")]
+            sent = [pa.array([x[k].astype(t).tobytes() for x in rows], pa.binary()) for k, t in enumerate((np.uint16, np.float16))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("q"), *sent], ["doc_id", "q", "terms", "weights"])
 
         return each
 
     picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", F.col("q").cast("int").alias("q"), "text")
-    fitted = map_arrow(picked, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, q int, terms binary")
+    fitted = map_arrow(picked, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, q int, terms binary, weights binary")
     held = fitted.orderBy(seeded("doc_id", seed=4), "doc_id").limit(sample).toPandas()  # the bound holds even where ids repeat
-    rows = np.stack([np.frombuffer(t, np.float16) for t in held.terms]).astype(np.float32) if len(held) else np.zeros((0, N_TERMS), np.float32)
-    return Model(rows, held.q.to_numpy(float), prior)
+    found = [(np.frombuffer(t, np.uint16).astype(np.int64), np.frombuffer(w, np.float16).astype(np.float32)) for t, w in zip(held.terms, held.weights, strict=True)]
+    return Model(found, held.q.to_numpy(float), prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -158,7 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     Null and empty texts get the share of label 1 among the labelled rows. Without any labels that is 0.5, and it is every
     row's score. Repeated rows score alike; ties among neighbours are settled by the order of the sample, so a score does not depend on
-    partitions or batches. A very long text is one row of terms, whole, in its task. Other columns take no part, whatever their names.
+    partitions or batches. A very long text is counted whole, in its task. Other columns take no part, whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
@@ -168,7 +174,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for at in range(0, batch.num_rows, BLOCK):
-                out.append(m.score(np.stack([terms(t.as_py()) for t in batch.column("text").slice(at, BLOCK)])))
+                out.append(m.score([terms(t.as_py()) for t in batch.column("text").slice(at, BLOCK)]))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(np.concatenate(out), 6))], ["doc_id", "score"])
 
         return each
