@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive
 from ..operators import compare as C
+from ..operators import drift as D
 from ..operators import leaderboard as L
 from ..operators import rolling as R
 from .catalog import query
-from .drifting import OBSERVED, observed
-from .shared import AT, PLACE, W, decided, events, p_sql, rounded, runs_sql
+from .drifting import OBSERVED, detector_ctes, observed
+from .shared import AT, FC, H, PLACE, ST, S, W, decided, events, p_sql, rounded, runs_sql
 
 # true drifts: each seventh window; detections: the flagged ones
 _TRUTH = "tr AS (SELECT entity_id, window_id AS step FROM ob WHERE window_id % 7 = 3), fo AS (SELECT entity_id, window_id AS step FROM ob WHERE drift)"
@@ -160,14 +161,36 @@ def strategy_rank(spark, d):
     return C.rank_strategies(rounded(runs(spark, d)))
 
 
-_DET = """ds AS (SELECT 'flag' AS detector, 0.8::DOUBLE AS detection_rate, 0.1::DOUBLE AS false_positive_rate, 3.0::DOUBLE AS mean_delay UNION ALL SELECT 'split', 0.9, 0.2, 1.0 UNION ALL SELECT 'sum', 0.7, 0.05, 2.0)"""
+# ranked on series whose second half is moved up: the true drift is the first window with moved test rows
+_RANKED, _MOVE = ("adwin", "psi", "wasserstein"), 60.0
+_MOVED = f"""{S.replace("s AS (", "s0 AS (", 1)}, half AS (SELECT entity_id, count(*) // 2 AS c FROM s0 GROUP BY 1),
+s AS (SELECT entity_id, timestamp, target + CASE WHEN pos >= c THEN {_MOVE}::DOUBLE ELSE 0 END AS target, pos FROM s0 JOIN half USING (entity_id))"""
 
 
-@query(f"""WITH {_DET}, k AS (SELECT detector, row_number() OVER (ORDER BY detection_rate DESC, detector) AS a, row_number() OVER (ORDER BY false_positive_rate, detector) AS b, row_number() OVER (ORDER BY mean_delay, detector) AS c FROM ds)
+@query(f"""WITH RECURSIVE {detector_ctes(_RANKED, _MOVED)}, fd AS ({" UNION ALL ".join(f"SELECT '{k}' AS detector, entity_id, k AS step, drift FROM f_{k} WHERE k >= 0" for k in _RANKED)}),
+tr AS (SELECT entity_id, greatest(0, (c - {H + FC}) // {ST} + 1) AS due FROM half), en AS (SELECT detector, entity_id, count(*) AS n, count(*) FILTER (drift AND abs(step - due) > 10) AS fp, min(CASE WHEN drift AND step >= due THEN step - due END) AS delay FROM fd JOIN tr USING (entity_id) GROUP BY 1, 2),
+ds AS (SELECT detector, count(delay) / count(*) AS detection_rate, sum(fp) / sum(n) AS false_positive_rate, coalesce(avg(delay), 1e9) AS mean_delay FROM en GROUP BY 1),
+k AS (SELECT detector, row_number() OVER (ORDER BY detection_rate DESC, detector) AS a, row_number() OVER (ORDER BY false_positive_rate, detector) AS b, row_number() OVER (ORDER BY mean_delay, detector) AS c FROM ds)
 SELECT detector, CAST(a AS INT) AS rate_rank, CAST(b AS INT) AS fpr_rank, CAST(c AS INT) AS delay_rank, round((a + b + c) / 3.0::DOUBLE, 6) AS mean_rank FROM k""")
 def detector_rank(spark, d):
-    s = spark.createDataFrame([("flag", 0.8, 0.1, 3.0), ("split", 0.9, 0.2, 1.0), ("sum", 0.7, 0.05, 2.0)], "detector string, detection_rate double, false_positive_rate double, mean_delay double")
-    return rounded(C.rank_detectors(s))
+    s = events(spark, d)
+    half = s.groupBy("entity_id").agg(F.floor(F.count("*") / 2).alias("c"))
+    s = s.join(half, "entity_id").withColumn("target", F.col("target") + F.when(F.col("pos") >= F.col("c"), _MOVE).otherwise(0.0)).drop("c")
+    rows, ref = R.predictions(s, AT), s.where((F.col("pos") < H) & F.col("target").isNotNull()).select("entity_id", F.col("target").alias("x"))
+    found = None
+    for kind in _RANKED:
+        one = D.detect_windows(rows, ref, kind, on="target").select(F.lit(kind).alias("detector"), "entity_id", F.col("window_id").alias("step"), "drift_detected")
+        found = one if found is None else found.unionByName(one)
+    at = F.greatest(F.lit(0), F.floor((F.col("c") - (H + FC)) / ST) + 1).cast("bigint")
+    seen = found.groupBy("detector", "entity_id").agg(F.count("*").alias("n"))
+    truth = seen.join(half, "entity_id").select("detector", "entity_id", at.alias("step"))
+    hits = found.where("drift_detected")
+    delay = C.detection_delay(truth, hits, "detector", "entity_id").select("detector", "entity_id", "n_true", "n_detected", "mean_delay_steps")
+    false = C.false_positives(truth, hits, 1, "detector", "entity_id").select("detector", "entity_id", "false_positives")
+    scores = seen.join(delay, ["detector", "entity_id"]).join(false, ["detector", "entity_id"]).groupBy("detector").agg(
+        (F.sum("n_detected") / F.sum("n_true")).alias("detection_rate"), (F.sum("false_positives") / F.sum("n")).alias("false_positive_rate"), F.coalesce(F.avg("mean_delay_steps"), F.lit(1e9)).alias("mean_delay"),
+    )
+    return rounded(C.rank_detectors(scores))
 
 
 for _key in ("model", "strategy"):

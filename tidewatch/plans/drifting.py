@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -143,6 +145,14 @@ SELECT f.entity_id, b.window_id AS k, f.old, list_sort(f.old) AS o, list_concat(
 # of the two KS detectors' exact p-values SQL has no short form
 _DETECTOR_SQL = {"adwin": _ADWIN, "residual_ks": None, "wasserstein": _WASSERSTEIN, "ks_test": None, "psi": _psi_detector_sql()}
 
+
+def detector_ctes(kinds, series: str) -> str:
+    """The recursions of detectors on the targets of another series, as f_<kind>; needs WITH RECURSIVE."""
+    batches = _BATCHES.replace(S, series, 1).replace("y_true - y_pred", "y_true")
+    parts = [_DETECTOR_SQL[k].removeprefix(f"WITH RECURSIVE {_BATCHES}, ").removesuffix(_FOUND) for k in kinds]
+    return ", ".join([batches, *[re.sub(r"\bf\b", f"f_{k}", part) for k, part in zip(kinds, parts, strict=True)]])
+
+
 for _kind, _sql in _DETECTOR_SQL.items():
 
     def _detected(spark, d, kind=_kind):
