@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language_id, line_dedup, mixing, nearest, pii, quality, sharding, warc
+from . import decontaminate, heap_lloyd, jaccard, language_id, line_dedup, mixing, nearest, phrases, pii, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_lloyd.digest(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_line_dedup, op3_mixing, op4_quality, op5_jaccard_join, op6_language_id, op7_sharding, op8_pii, op9_warc, op10_nearest, pipeline,
+        op1_decontamination, op2_line_dedup, op3_mixing, op4_quality, op5_jaccard_join, op6_language_id, op7_sharding, op8_pii, op9_warc, op10_nearest, op11_vector_codes, op12_collocations, pipeline,
     )
 }
 
@@ -195,10 +203,57 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= {nearest.NEAREST}
 """
 
+OP11_SQL = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({heap_lloyd.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), x AS (
+  SELECT r, p, v[p * s + 1 : p * s + s] AS x FROM (SELECT *, len(v) // {heap_lloyd.PARTS} AS s FROM k), unnest(range(0, {heap_lloyd.PARTS})) AS t(p)
+), b0 AS (SELECT p, r - 1 AS e, x AS c FROM x WHERE r <= {heap_lloyd.ENTRIES}
+), """ + "".join(
+    f"""a{n} AS (
+  SELECT r, p, any_value(x) AS x, min(d * {heap_lloyd.ENTRIES} + e) AS best
+  FROM (SELECT r, x.p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN b{n} b ON x.p = b.p) GROUP BY r, p
+), """ + (f"""m{n} AS (
+  SELECT p, best % {heap_lloyd.ENTRIES} AS e, i, CAST((sum(x[i]) - (sum(x[i]) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS c
+  FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY ALL
+), b{n + 1} AS (
+  SELECT p, e, coalesce(any_value(n.c), any_value(b.c)) AS c FROM b{n} b LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS c FROM m{n} GROUP BY p, e) n USING (p, e) GROUP BY p, e
+), """ if n < heap_lloyd.ROUNDS else "")
+    for n in range(heap_lloyd.ROUNDS + 1)
+) + f"""f AS (
+  SELECT r, string_agg(printf('%02x', best % {heap_lloyd.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(best // {heap_lloyd.ENTRIES}) AS BIGINT) AS error FROM a{heap_lloyd.ROUNDS} GROUP BY r
+), h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{heap_lloyd.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r), h
+"""
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({ASCII_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM w, unnest(range(1, {phrases.WORDS} + 1)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= {phrases.LEAST}
+), t AS (
+  SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, CAST(({phrases.SCALE}::HUGEINT * a) // (l.f + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1 : c.k], ' ')
+), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), x AS (
+  SELECT lang, sub AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS sub FROM c, unnest(range(2, {phrases.WORDS})) AS e(m), unnest(range(1, k - m + 2)) AS d(i) WHERE m < k) GROUP BY 1, 2
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b LEFT JOIN x USING (lang, phrase) JOIN n USING (lang) WHERE longer IS NULL OR 100::HUGEINT * longer < {phrases.SUBSUMED}::HUGEINT * a
+QUALIFY rank <= {phrases.TOP}
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op7_sharding": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
