@@ -101,8 +101,8 @@ def _counter(least: int) -> type:
 
 
 def _sketch(texts: DataFrame, bits: int, least: int, longest: int, depth: int) -> DataFrame:
-    """slot, counters: each task's sketch, without empty slots. Row r's cells start at slot r * 2**bits / SLOT."""
-    kind = _counter(least)
+    """slot, counters: each task's sketch, without empty slots. A slot is SLOT cells, or a whole row where that is less."""
+    kind, wide = _counter(least), min(SLOT, 1 << bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.zeros(1 << bits, kind) for _ in range(depth)]
@@ -118,9 +118,9 @@ def _sketch(texts: DataFrame, bits: int, least: int, longest: int, depth: int) -
                 cells, counts = np.unique(_cells(found, r, bits), return_counts=True)
                 row[cells] = np.minimum(row[cells].astype(np.int64) + counts, least)
         for r, row in enumerate(rows):
-            for s, cells in enumerate(row.reshape(-1, min(SLOT, len(row)))):
+            for s, cells in enumerate(row.reshape(-1, wide)):
                 if cells.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([(r << bits) // SLOT + s], pa.int64()), pa.array([cells.tobytes()], pa.binary())], ["slot", "counters"])
+                    yield pa.RecordBatch.from_arrays([pa.array([(r << bits) // wide + s], pa.int64()), pa.array([cells.tobytes()], pa.binary())], ["slot", "counters"])
 
     return arrow(texts, run, "slot bigint, counters binary")
 

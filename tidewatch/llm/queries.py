@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, heap_lloyd, jaccard, language_id, line_dedup, mixing, nearest, phrases, pii, quality, sharding, warc
+from . import decontaminate, heap_lloyd, jaccard, language_id, lexicon, line_dedup, mixing, nearest, phrases, pii, quality, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_read(spark, sf_dir, "documents"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only the driver reads the vocabulary
+
+    return lexicon.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_line_dedup, op3_mixing, op4_quality, op5_jaccard_join, op6_language_id, op7_sharding, op8_pii, op9_warc, op10_nearest, op11_vector_codes, op12_collocations, pipeline,
+        op1_decontamination, op2_line_dedup, op3_mixing, op4_quality, op5_jaccard_join, op6_language_id, op7_sharding, op8_pii, op9_warc, op10_nearest, op11_vector_codes, op12_collocations, op13_bpe, pipeline,
     )
 }
 
