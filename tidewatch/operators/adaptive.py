@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from . import drift
+from . import drift, learned
 from .rolling import Layout, test_rows, version, windows
 
 ERRORS = 5
@@ -31,51 +31,72 @@ def _forecast(y: np.ndarray, v: int, at: Layout, model: str, m: int, steps: np.n
 
 def loop(
     series: DataFrame, at: Layout, model: str = "naive", detector: str = "ks_test", policy: Mapping[str, object] | None = None, scope: str = "entity",
-    reference: str = "residual", m: int = 24, **params: float,
+    reference: str = "residual", m: int = 24, make: learned.Make | None = None, **params: float,
 ) -> DataFrame:
     """For each window: the window (v_entity, v_window) whose history its forecast was fitted on, what the detector found in the residuals,
     the mean error of the ERRORS windows before, and the policy's decision.
 
     The detector starts from the first history: its targets, or with reference `residual` their differences from the first fit.
     model: naive (also for lstm) or seasonal_naive. Missing residuals are not shown to the detector; a series too short for a window has no rows.
+
+    make: a learner instead of a baseline, over a series with features x (models.prepared). Then detector and policy see the residuals of the learned model
+    itself, refitted where the policy says so, and rows have its forecasts, y_pred, as an array. Ridge moves its sums with the windows, so the loop
+    reads each row twice however often it refits; trees and networks are fitted anew at each retrain only.
     """
     model = "naive" if model == "lstm" else model
     if model not in ("naive", "seasonal_naive") or reference not in ("residual", "target") or scope not in ("entity", "shared"):
         raise ValueError(f"no loop for {model}, {reference}, {scope}")
-    if model == "seasonal_naive" and m > at.history:
+    if make is None and model == "seasonal_naive" and m > at.history:
         raise ValueError("the history is shorter than a season")
     h, f, s = at.history, at.forecast, at.step
     rules = drift.create_policy(**(policy or {"kind": "drift_triggered", "gap": 3, "consecutive": 2, "threshold": 0.5, "decay": 0.5}))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = {k: g.sort_values("pos")["target"].to_numpy(float) for k, g in pdf.groupby("entity_id", sort=True)}
-        found, state, served, step, out, errors = None, rules.start(), None, 0, [], []
+        entities = {k: g.sort_values("pos") for k, g in pdf.groupby("entity_id", sort=True)}
+        held = {k: g["target"].to_numpy(float) for k, g in entities.items()}
+        features = {k: learned.matrix(g["x"]) for k, g in entities.items()} if make else {}
+        found, state, served, fitted, step, out = None, rules.start(), None, None, 0, []
+
+        def says(name: str, steps: np.ndarray, first: int) -> np.ndarray:
+            """The serving model's forecasts: of an entity's rows from `first` on, which a baseline takes as steps after its history."""
+            if make:
+                return fitted.predict(features[name][first : first + len(steps)])
+            return _forecast(held[served[0]], served[1], at, model, m, steps)
+
         for name, y in held.items():
-            errors = []
+            errors, learner = [], make(features[name], y, 0) if make else None
             for k in range((len(y) - h - f) // s + 1 if len(y) >= h + f else 0):
                 if found is None:
-                    served = (name, 0)
-                    start = y[:h] - _forecast(y, 0, at, model, m, np.arange(-h, 0)) if reference == "residual" else y[:h]
-                    found = drift.create_detector(detector, **params).fit(start)
-                gap = y[k * s + h : k * s + h + f] - _forecast(held[served[0]], served[1], at, model, m, np.arange(f))
+                    served, fitted = (name, 0), learner.fit(0, h) if make else None
+                    found = drift.create_detector(detector, **params).fit(y[:h] - says(name, np.arange(-h, 0), 0) if reference == "residual" else y[:h])
+                y_pred = says(name, np.arange(f), k * s + h)
+                gap = y[k * s + h : k * s + h + f] - y_pred
                 seen = found.detect(gap)
                 error = float(np.mean(errors[-ERRORS:])) if errors else 0.0
                 go, reason = rules.decide(state, step, bool(seen.drift), float(seen.score), error)
-                out.append((name, k, *served, bool(seen.drift), float(seen.score), error, bool(go), reason))
+                out.append((name, k, *served, bool(seen.drift), float(seen.score), error, bool(go), reason, *([y_pred] if make else [])))
                 gap = gap[~np.isnan(gap)]
                 if len(gap):
                     errors.append(float(np.abs(gap).mean()))
+                if make and hasattr(learner, "move"):
+                    learner.move(k * s, k * s + h)
                 if go:
-                    served = (name, k)
+                    served, fitted = (name, k), learner.fit(k * s, k * s + h) if make else None
                 step += 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
+    schema = SCHEMA + (", y_pred array<double>" if make else "")
     keys = ["entity_id"] if scope == "entity" else [F.lit("all")]
-    return series.select("entity_id", "pos", F.col("target").cast("double").alias("target")).groupBy(*keys).applyInPandas(fold, SCHEMA)
+    columns = ["entity_id", "pos", F.col("target").cast("double").alias("target"), *(["x"] if make else [])]
+    return series.select(*columns).groupBy(*keys).applyInPandas(fold, schema)
 
 
 def predictions(series: DataFrame, at: Layout, decided: DataFrame, model: str = "naive", m: int = 24) -> DataFrame:
     """entity_id, window_id, step, h, timestamp, y_true, y_pred of a loop's windows, each from the history that serves it."""
+    if "y_pred" in decided.columns:
+        own = decided.select("entity_id", "window_id", "y_pred").join(windows(series, at).select("entity_id", "window_id", "step"), ["entity_id", "window_id"])
+        rows = test_rows(series, at).join(own, ["entity_id", "window_id"]).withColumn("y_pred", F.get("y_pred", F.col("h")))
+        return rows.select("entity_id", "window_id", "step", "h", "timestamp", "y_true", "y_pred")
     served = decided.select("entity_id", "window_id", "v_entity", "v_window").join(windows(series, at).select("entity_id", "window_id", "step"), ["entity_id", "window_id"])
     end = F.col("v_window") * at.step + at.history
     rows = test_rows(series, at).join(served, ["entity_id", "window_id"]).withColumn("v_pos", end - m + F.col("h") % m if model == "seasonal_naive" else end - 1)

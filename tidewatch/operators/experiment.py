@@ -50,10 +50,13 @@ def grid(datasets: Iterable[str] = LAYOUTS, strategies: Iterable[str] = STRATEGI
 def run(series: DataFrame, c: Config) -> dict[str, DataFrame]:
     """predictions, window_metrics, drift_log, retraining_log, overall and extended tables of one configuration; nothing runs until one is used."""
     seed = {"seed": c.seed} if models.resolve(c.model) in models.SEEDED else {}
-    # the loop of a baseline is its own; learned models follow that of naive forecasts
     decided, name = None, models.resolve(c.model)
-    if c.strategy == "adaptive_retrain":
-        decided = adaptive.loop(series, c.layout, name if name == "seasonal_naive" else "naive", c.detector, c.policy, **c.detector_params)
+    if c.strategy == "adaptive_retrain":  # each model follows the loop of its own residuals
+        if name in models.LEARNED:
+            framed, make = models.prepared(series, name, **seed)
+            decided = adaptive.loop(framed, c.layout, detector=c.detector, policy=c.policy, make=make, **c.detector_params)
+        else:
+            decided = adaptive.loop(series, c.layout, name, c.detector, c.policy, **c.detector_params)
         seed["decided"] = decided
     p = models.get_model(c.model)(series, c.layout, policy=c.strategy, every=c.every, **seed)
     p = p.drop("step").join(windows(series, c.layout).select("entity_id", "window_id", "step"), ["entity_id", "window_id"])

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import adaptive, features
+from . import adaptive, features, learned, learners
 from .rolling import Layout, predictions, test_rows, version, windows
 
 CALENDAR = ("hour", "day_of_week", "month", "hour_sin", "hour_cos")
@@ -39,74 +39,64 @@ def baseline(series: DataFrame, at: Layout, model: str, policy: str = "each", ev
     return adaptive.predictions(series, at, decided, model, **m)
 
 
-def ridge(series: DataFrame, at: Layout, policy: str = "each", every: int = 10, n_lags: int = 24, alpha: float = 1.0, decided: DataFrame | None = None) -> DataFrame:
-    """One-step ridge forecasts on scaled features, refitted by policy, one entity a task.
+def prepared(series: DataFrame, name: str, **params) -> tuple[DataFrame, learned.Make]:
+    """The series with a learned model's features as an array x, and what makes its learner. Features are those of the whole series, so a test row's lags are observed values.
 
-    Features are those of the whole series, so a test row's lags are observed values; rows with a missing one count as 0 after scaling.
-    Only training windows that serve some test window are fitted.
+    ridge_features: n_lags (24), alpha. rf and lgbm: n_lags (3), n_estimators, max_depth, seed. lstm: steps (24), hidden, layers, dropout, rate, epochs, batch, seed.
+    Sizes are the published ones unless params give others: 100 trees of depth 10; 100 rounds of depth 5 and 31 leaves; two layers of 32 cells, 30 epochs.
     """
-    import pandas as pd
-
-    framed, names = feature_frame(series, n_lags, (3, 6, 12, 24))
-    h, f, s = at.history, at.forecast, at.step
-
-    def fold(pdf: pd.DataFrame, served: pd.DataFrame) -> pd.DataFrame:
-        pdf, serving = pdf.sort_values("pos"), dict(zip(served.window_id, served.v_window, strict=True))
-        x, y = pdf[names].to_numpy(float), pdf["target"].to_numpy(float)
-        n, out, fitted, model = len(pdf), [], None, None
-        for k in range((n - h - f) // s + 1 if n >= h + f else 0):
-            v = serving[k]
-            if v != fitted:
-                a, b = x[v * s : v * s + h], y[v * s : v * s + h]
-                mean, sd = np.nanmean(a, axis=0), np.nanstd(a, axis=0)
-                mean, sd = np.nan_to_num(mean), np.where(np.nan_to_num(sd) < 1e-10, 1, sd)
-                z, ok = np.nan_to_num((a - mean) / sd), ~np.isnan(b)
-                z, b = z[ok], b[ok]
-                centre = b.mean() if len(b) else 0.0
-                model, fitted = (mean, sd, centre, np.linalg.solve(z.T @ z + alpha * np.eye(len(names)), z.T @ (b - centre))), v
-            rows = slice(k * s + h, k * s + h + f)
-            mean, sd, centre, w = model
-            out.append(pd.DataFrame({"entity_id": pdf.entity_id.iloc[0], "window_id": k, "h": range(f), "timestamp": pdf.timestamp.iloc[rows].to_numpy(), "y_true": y[rows], "y_pred": np.nan_to_num((x[rows] - mean) / sd) @ w + centre}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["entity_id", "window_id", "h", "timestamp", "y_true", "y_pred"])
-
-    served = _served(series, at, policy, every, decided).withColumnRenamed("entity_id", "v_entity")
-    return framed.groupBy("entity_id").cogroup(served.groupBy("v_entity")).applyInPandas(fold, "entity_id string, window_id bigint, h int, timestamp timestamp, y_true double, y_pred double")
-
-
-def trees(
-    series: DataFrame, at: Layout, kind: str = "rf", policy: str = "no_retrain", every: int = 10, n_lags: int = 3, seed: int = 42, decided: DataFrame | None = None,
-    **params: int,
-) -> DataFrame:
-    """One-step forecasts of a random forest or boosted trees, fitted by Spark over the rows of all entities.
-
-    A fit serves any number of entities, which the lags tell apart; it is made anew for each training window that the policy names, one Spark fit
-    after the other, so their number is that of the retrains. A row in several windows is forecast in each. Sizes are the published ones unless
-    params give others: 100 trees of depth 10, or 100 rounds of depth 5.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    framed, names = feature_frame(series, n_lags, (3,) if kind == "rf" else (3, 7), strict=kind != "rf", calendar=TREE_CALENDAR)
-    framed = framed.fillna(0.0, subset=[n for n in names if n not in TREE_CALENDAR])
-    rows = VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep").transform(framed).select("entity_id", "pos", "target", "__x")
-    if kind == "rf":
-        model = RandomForestRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 10), seed=seed)
+    params = dict(params)
+    if name == "ridge_features":
+        framed, names = feature_frame(series, params.pop("n_lags", 24), (3, 6, 12, 24))
+        make = partial(_ridge, **params)
+    elif name in ("rf", "lgbm"):
+        framed, names = feature_frame(series, params.pop("n_lags", 3), (3,) if name == "rf" else (3, 7), strict=name != "rf", calendar=TREE_CALENDAR)
+        make = partial(_trees, **({"kind": "rf"} if name == "rf" else {"kind": "gbt", "max_depth": 5}) | params)
+    elif name == "lstm":
+        steps = params.pop("steps", 24)
+        columns = features.lag_columns(range(steps, 0, -1))
+        framed, names, make = series.withColumns(columns), list(columns), partial(_recurrent, **params)
     else:
-        model = GBTRegressor(featuresCol="__x", labelCol="target", predictionCol="y_pred", maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5), stepSize=0.1, seed=seed)
+        raise ValueError(f"{name} does not learn")
+    return framed.select(*series.columns, F.array(*[F.col(n).cast("double") for n in names]).alias("x")), make
+
+
+def _ridge(x, y, origin, **params):
+    return learners.RollingRidge(x, y, **params)
+
+
+def _trees(x, y, origin, **params):
+    return learners.TreeLearner(x, y, origin=origin, **params)
+
+
+def _recurrent(x, y, origin, **params):
+    return learners.RecurrentLearner(x, y, **params)
+
+
+def learnt(series: DataFrame, at: Layout, name: str, policy: str, every: int = 10, decided: DataFrame | None = None, **params) -> DataFrame:
+    """One-step forecasts of a learned model: entity_id, window_id, h, timestamp, y_true, y_pred.
+
+    An entity's window is fitted on its own rows, as it is served by them. adaptive_retrain takes the model's own loop (default rules), or a given one: with
+    its forecasts if it is this model's, else with fits where it says.
+    """
+    framed, make = prepared(series, name, **params)
+    if policy == "adaptive_retrain" and decided is None:
+        decided = adaptive.loop(framed, at, make=make)
+    if policy == "adaptive_retrain" and "y_pred" in decided.columns:
+        return adaptive.predictions(series, at, decided).drop("step")
     served = _served(series, at, policy, every, decided)
-    pos = F.col("window_id") * at.step + at.history + F.col("h")
-    test = test_rows(series, at).join(served, ["entity_id", "window_id"]).withColumn("pos", pos).join(rows.drop("target"), ["entity_id", "pos"])
-    out = None
-    for v in sorted(r.v_window for r in served.select("v_window").distinct().collect()):
-        train = rows.where((F.col("pos") >= v * at.step) & (F.col("pos") < v * at.step + at.history) & F.col("target").isNotNull())
-        one = model.fit(train).transform(test.where(F.col("v_window") == v)).select("entity_id", "window_id", "h", "timestamp", "y_true", "y_pred")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else test.select("entity_id", "window_id", "h", "timestamp", "y_true", F.lit(None).cast("double").alias("y_pred"))
+    return learned.forecasts(framed, at, served, learned.fits(framed, at, served, make))
+
+
+def trees(series: DataFrame, at: Layout, kind: str = "rf", policy: str = "no_retrain", every: int = 10, decided: DataFrame | None = None, **params: int) -> DataFrame:
+    """One-step forecasts of a random forest (rf) or boosted trees (gbt); a training window is a task's work, whatever the policy."""
+    return learnt(series, at, "rf" if kind == "rf" else "lgbm", policy, every, decided, **params)
 
 
 MODELS: dict[str, Callable[..., DataFrame]] = {}
 #: Models whose fit takes a seed; forecasts of the others are the same for every seed.
-SEEDED = ("rf", "lgbm")
+SEEDED = ("rf", "lgbm", "lstm")
+LEARNED = ("ridge_features", "rf", "lgbm", "lstm")
 ALIASES = {"tsmixer": "ridge_features", "tsmixer_legacy": "ridge_features", "seasonal": "seasonal_naive"}
 
 
@@ -118,9 +108,10 @@ def register_model(name: str):
     return add
 
 
-for _name in ("naive", "seasonal_naive", "lstm"):
+for _name in ("naive", "seasonal_naive"):
     register_model(_name)(lambda series, at, policy="each", every=10, _name=_name, **kw: baseline(series, at, _name, policy, every, **kw))
-register_model("ridge_features")(ridge)
+for _name in ("ridge_features", "lstm"):
+    register_model(_name)(lambda series, at, policy="each" if _name == "ridge_features" else "no_retrain", every=10, _name=_name, **kw: learnt(series, at, _name, policy, every, **kw))
 register_model("rf")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "rf", policy, every, **kw))
 register_model("lgbm")(lambda series, at, policy="no_retrain", every=10, **kw: trees(series, at, "gbt", policy, every, **kw))
 
@@ -144,4 +135,4 @@ def available_models() -> list[str]:
 
 
 def model_info(name: str) -> dict[str, object]:
-    return {"name": resolve(name), "available": is_model_available(name), "learned": resolve(name) in ("ridge_features", "rf", "lgbm"), "fallback": "naive" if resolve(name) == "lstm" else None}
+    return {"name": resolve(name), "available": is_model_available(name), "learned": resolve(name) in LEARNED, "fallback": None}

@@ -41,8 +41,8 @@ def windows(series: DataFrame, at: Layout) -> DataFrame:
     )
 
 
-def test_rows(series: DataFrame, at: Layout) -> DataFrame:
-    """Each test row of each window: entity_id, window_id, h (from 0), timestamp, y_true."""
+def test_rows(series: DataFrame, at: Layout, *keep: str) -> DataFrame:
+    """Each test row of each window: entity_id, window_id, h (from 0), timestamp, y_true, and columns to keep."""
     sizes = series.groupBy("entity_id").agg(F.count("*").alias("n"))
     last = F.expr(f"(n - {at.history + at.forecast}) div {at.step}")
     low = F.greatest(F.lit(0), F.ceil((F.col("pos") - (at.history + at.forecast) + 1) / at.step)).cast("bigint")
@@ -50,7 +50,7 @@ def test_rows(series: DataFrame, at: Layout) -> DataFrame:
     rows = series.join(sizes.where(F.col("n") >= at.history + at.forecast), "entity_id").where(F.col("pos") >= at.history)
     rows = rows.where(low <= high).withColumn("window_id", F.explode(F.sequence(low, high)))
     h = F.col("pos") - F.col("window_id") * at.step - at.history
-    return rows.select("entity_id", "window_id", h.cast("int").alias("h"), "timestamp", F.col("target").alias("y_true"))
+    return rows.select("entity_id", "window_id", h.cast("int").alias("h"), "timestamp", F.col("target").alias("y_true"), *keep)
 
 
 def version(policy: str, step: Column, every: int = 10) -> Column:
@@ -83,7 +83,7 @@ def predictions(series: DataFrame, at: Layout, model: str = "naive", policy: str
     """entity_id, window_id, step, h, timestamp, y_true, y_pred of the baseline models.
 
     scope: with `entity` each entity has its own model and steps; with `shared` one model serves all entities in order, so a
-    window may be forecast from another entity's history. lstm falls back to naive.
+    window may be forecast from another entity's history. `lstm` is what an installation without a network of its own falls back to: naive.
     """
     wins = windows(series, at).select("entity_id", "window_id", "step")
     own = F.col("window_id") if scope == "entity" else F.col("step")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import adaptive, models
 from .catalog import query
-from .shared import AT, METRICS, W, adaptive_sql, decided, events, loop_sql, rounded
+from .shared import AT, DECAY, GAP, LIMIT, METRICS, RUN, SCORE, SLACK, W, adaptive_sql, decided, events, loop_sql, rounded
 
 
 @query(f"WITH RECURSIVE {W}, {loop_sql()} SELECT entity_id, window_id, version, drift_detected, round(drift_score, 6) AS drift_score, retrain FROM loop_naive")
@@ -29,3 +29,12 @@ def adaptive_loop_metrics(spark, d):
 def adaptive_policy_metrics(spark, d):
     p = models.get_model("seasonal_naive")(events(spark, d), AT, policy="adaptive_retrain", decided=decided(spark, d, "seasonal_naive"))
     return rounded(p.groupBy("entity_id").agg(*M.all_metrics(), F.count("*").alias("n_predictions")))
+
+
+@query()
+def adaptive_ridge_loop(spark, d):
+    """The loop of ridge's own residuals: decisions and errors of each window."""
+    framed, make = models.prepared(events(spark, d), "ridge_features")
+    policy = {"kind": "drift_triggered", "gap": GAP, "consecutive": RUN, "threshold": SCORE, "decay": DECAY}
+    found = adaptive.loop(framed, AT, detector="cusum", policy=policy, make=make, threshold=LIMIT, drift=SLACK)
+    return rounded(found.select("entity_id", "window_id", F.col("v_window").alias("version"), "drift_detected", "drift_score", "error", "retrain"))

@@ -44,7 +44,7 @@ for _name, _model, _policy in (
 
 @query(f"WITH {W}, {p_sql()} SELECT entity_id, {METRICS}, count(*) AS n_predictions FROM p GROUP BY 1")
 def lstm_fallback_metrics(spark, d):
-    return rounded(models.get_model("lstm")(events(spark, d), AT).groupBy("entity_id").agg(*M.all_metrics(), F.count("*").alias("n_predictions")))
+    return rounded(models.baseline(events(spark, d), AT, "lstm").groupBy("entity_id").agg(*M.all_metrics(), F.count("*").alias("n_predictions")))
 
 
 @query(f"""WITH {W}, q AS (SELECT *, {VERSION['fixed_retrain'].format(k='step')} AS v FROM t), o AS (SELECT step AS v, entity_id AS ve, window_id AS vk FROM w),
@@ -106,6 +106,11 @@ def ridge_metrics(spark, d):
     return rounded(models.get_model("tsmixer")(events(spark, d), AT, policy="fixed_retrain").groupBy("entity_id").agg(*M.all_metrics()))
 
 
+@query()
+def lstm_metrics(spark, d):
+    return rounded(models.get_model("lstm")(events(spark, d), AT).groupBy("entity_id").agg(*M.all_metrics()))
+
+
 @query()
 def random_forest_metrics(spark, d):
     return rounded(models.get_model("rf")(events(spark, d), AT).groupBy("entity_id").agg(*M.all_metrics()))
