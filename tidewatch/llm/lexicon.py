@@ -32,13 +32,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, map_arrow
+from .common import arrow, materialize, release
 
 WORDS = 50_000
 #: Words that are longer (in bytes) are left to the merges.
 LONGEST = 64
 #: Bytes of text in a chunk.
-CHUNK = 1 << 23
+CHUNK = 1 << 22
+#: Ids that are decoded in one go.
+IDS = 1 << 20
 #: Words of so many bytes are merged by scanning, longer ones with a heap.
 SHORT = 48
 #: Stands for a pair that does not merge; above all ranks.
@@ -349,16 +351,20 @@ class Codec:
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows with about CHUNK bytes of text each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def _parts(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of runs of rows of about `size` in all, from the rows' cumulated sizes; a larger row is a run of its own."""
     at = 0
     while at < len(ends):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield at, stop - at
         at = stop
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about CHUNK bytes of text."""
+    return _parts(np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), CHUNK)
+
+
 # ---- Spark -------------------------------------------------------------------------------------------------------------------
 
 
@@ -384,8 +390,16 @@ def compile_lexicon(docs: DataFrame, path: str, words: int = WORDS, text: str =
     """Compiles the most frequent words of the texts (ties by word) and hands the file to all executors; returns its name there."""
     vocabulary = load_vocabulary(path)
     merges = Merges(vocabulary["inner"], vocabulary["last"], vocabulary["pairs"])
-    top = word_counts(docs, vocabulary["specials"], text).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(words)
+    counts = materialize(word_counts(docs, vocabulary["specials"], text).where(F.octet_length("word") <= LONGEST), "lexicon-counts")
+    # words by the power of two of their count: what lies below the power at which there are enough is not sorted
+    sizes, some, least = {r.power: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}, 0, 0
+    for power in sorted(sizes, reverse=True):
+        some, least = some + sizes[power], 1 << power
+        if some >= words:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
     found = sorted(r.word.encode() for r in top.select("word").collect())  # `words` rows at most
+    release(counts)
     arrays = compile_words((w, tuple(merges.ids(w))) for w in found)
     return ship_arrays(docs.sparkSession, arrays | {k: vocabulary[k] for k in ("inner", "last", "pairs")}, {k: vocabulary[k] for k in ("specials", "tokens")})
 
@@ -406,16 +420,13 @@ def encode(docs: DataFrame, lexicon: str, id_col: str = "doc_id", text: str = "t
     """
     kind = dict(docs.dtypes)[id_col]
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(lexicon)
+        for batch in batches:
+            for at, n in _slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), codec.encode(batch.column(1).slice(at, n))], ["id", "ids"])
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [codec.encode(batch.column(1).slice(at, n)) for at, n in _slices(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.concat_arrays(parts)], ["id", "ids"])
-
-        return each
-
-    return map_arrow(docs.select(id_col, text), make, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return arrow(docs.select(id_col, text), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, lexicon: str, id_col: str = "doc_id") -> DataFrame:
@@ -425,27 +436,26 @@ def decode(coded: DataFrame, lexicon: str, id_col: str = "doc_id") -> DataFrame:
     """
     kind = dict(coded.dtypes)[id_col]
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(lexicon)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for at, n in _parts(np.cumsum(sizes.astype(np.int64)), IDS):
+                ids = pc.fill_null(batch.column(1).slice(at, n), [])
+                flat = ids.flatten()
+                ok = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(codec.tokens))), False)
+                before = np.concatenate(([0], np.cumsum(ok.to_numpy(zero_copy_only=False))))
+                ends = before[np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))]
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), codec.tokens.take(flat.filter(ok)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pc.binary_join(tokens, " ")], ["id", "text"])
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = pc.fill_null(batch.column(1), [])
-            ok = pc.fill_null(pc.and_(pc.greater_equal(ids.flatten(), 0), pc.less(ids.flatten(), len(codec.tokens))), False)
-            before = np.concatenate(([0], np.cumsum(ok.to_numpy(zero_copy_only=False))))
-            ends = before[np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))))]
-            tokens = codec.tokens.take(ids.flatten().filter(ok))
-            return pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), tokens), " ")], ["id", "text"])
-
-        return each
-
-    return map_arrow(coded.select(id_col, "ids"), make, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return arrow(coded.select(id_col, "ids"), run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, path: str, words: int = WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as decimal numbers, joined by a blank) and decoded_sha256 (of the decoded text) of each row."""
     lexicon = compile_lexicon(docs, path, words)
-    coded = encode(docs, lexicon).select(F.struct("doc_id", "ids").alias("doc_id"), "ids")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return decode(coded, lexicon).select(
-        F.col("doc_id.doc_id").alias("doc_id"), F.size("doc_id.ids").cast("bigint").alias("n_tokens"), sha(F.array_join("doc_id.ids", " ")).alias("ids_sha256"), sha(F.col("text")).alias("decoded_sha256")
-    )
+    said = F.struct("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha(F.array_join("ids", " ")).alias("ids_sha256"))
+    coded = encode(docs, lexicon).select(said.alias("said"), "ids")
+    return decode(coded, lexicon, "said").select("said.*", sha(F.col("text")).alias("decoded_sha256"))
