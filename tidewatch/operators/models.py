@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import adaptive, features, learned, learners
@@ -18,9 +18,13 @@ TREE_CALENDAR = ("hour", "day_of_week", "day_of_month", "month", "is_weekend")
 def feature_frame(series: DataFrame, n_lags: int = 3, rolling: tuple[int, ...] = (3,), strict: bool = True, m: int = 24, calendar: tuple[str, ...] = CALENDAR) -> tuple[DataFrame, list[str]]:
     """The series with calendar, lag, rolling and seasonal features, and their names."""
     times = {k: v for k, v in features.time_columns().items() if k in calendar}
-    roll = {k: v for k, v in features.rolling_columns(rolling, strict=strict).items() if "_mean_" in k or "_std_" in k}
-    columns = times | features.lag_columns(range(1, n_lags + 1)) | roll | {"seasonal_diff": features.seasonal_columns(m)["seasonal_diff"]}
-    return series.withColumns(columns), list(columns)
+
+    def columns(by: Sequence[str]) -> dict[str, Column]:
+        roll = {k: v for k, v in features.rolling_columns(rolling, by=by, strict=strict).items() if "_mean_" in k or "_std_" in k}
+        return features.lag_columns(range(1, n_lags + 1), by=by) | roll | {"seasonal_diff": features.seasonal_columns(m, by=by)["seasonal_diff"]}
+
+    framed = features.in_blocks(series, max(n_lags, m, *rolling), columns)
+    return framed.withColumns(times), [*times, *columns(("entity_id",))]
 
 
 def _served(series: DataFrame, at: Layout, policy: str, every: int, decided: DataFrame | None = None) -> DataFrame:
@@ -54,8 +58,8 @@ def prepared(series: DataFrame, name: str, **params) -> tuple[DataFrame, learned
         make = partial(_trees, **({"kind": "rf"} if name == "rf" else {"kind": "gbt", "max_depth": 5}) | params)
     elif name == "lstm":
         steps = params.pop("steps", 24)
-        columns = features.lag_columns(range(steps, 0, -1))
-        framed, names, make = series.withColumns(columns), list(columns), partial(_recurrent, **params)
+        lags = range(steps, 0, -1)
+        framed, names, make = features.in_blocks(series, steps, lambda by: features.lag_columns(lags, by=by)), [f"lag_{k}" for k in lags], partial(_recurrent, **params)
     else:
         raise ValueError(f"{name} does not learn")
     return framed.select(*series.columns, F.array(*[F.col(n).cast("double") for n in names]).alias("x")), make

@@ -98,7 +98,7 @@ def time_features(spark, d):
 
 @query(f"WITH {S} SELECT entity_id, pos, " + ", ".join(f"lag(target, {k}) OVER o AS lag_{k}" for k in X.LAGS) + " FROM s WINDOW o AS (PARTITION BY entity_id ORDER BY pos)")
 def lag_features(spark, d):
-    return events(spark, d).select("entity_id", "pos", *[c.alias(k) for k, c in X.lag_columns().items()])
+    return X.in_blocks(events(spark, d).select("entity_id", "pos", "target"), max(X.LAGS), lambda by: X.lag_columns(by=by)).drop("target")
 
 
 def _roll(w: int, strict: bool = False) -> str:
@@ -109,12 +109,12 @@ def _roll(w: int, strict: bool = False) -> str:
 
 @query(f"WITH {S} SELECT entity_id, pos, {', '.join(map(_roll, X.WINDOWS))} FROM s")
 def rolling_features(spark, d):
-    return rounded(events(spark, d).select("entity_id", "pos", *[c.alias(k) for k, c in X.rolling_columns().items()]), nudge=1e-9)
+    return rounded(X.in_blocks(events(spark, d).select("entity_id", "pos", "target"), max(X.WINDOWS), lambda by: X.rolling_columns(by=by)).drop("target"), nudge=1e-9)
 
 
 @query(f"WITH {S} SELECT entity_id, pos, {_roll(7, True)} FROM s")
 def strict_rolling_features(spark, d):
-    return rounded(events(spark, d).select("entity_id", "pos", *[c.alias(k) for k, c in X.rolling_columns((7,), strict=True).items()]), nudge=1e-9)
+    return rounded(X.in_blocks(events(spark, d).select("entity_id", "pos", "target"), 7, lambda by: X.rolling_columns((7,), by=by, strict=True)).drop("target"), nudge=1e-9)
 
 
 @query(f"""WITH {S}, x AS (SELECT *, lag(target, 1) OVER o - lag(target, 2) OVER o AS df FROM s WINDOW o AS (PARTITION BY entity_id ORDER BY pos))
@@ -128,19 +128,19 @@ _E = "OVER (PARTITION BY entity_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING
 
 @query(f"WITH {S} SELECT entity_id, pos, round(avg(target) {_E} + 1e-9::DOUBLE, 6) AS expanding_mean, round(stddev_samp(target) {_E} + 1e-9::DOUBLE, 6) AS expanding_std FROM s")
 def expanding_features(spark, d):
-    return rounded(events(spark, d).select("entity_id", "pos", *[c.alias(k) for k, c in X.expanding_columns().items()]), nudge=1e-9)
+    return rounded(X.expanding(events(spark, d).select("entity_id", "pos", "target")).drop("target"), nudge=1e-9)
 
 
 @query(f"WITH {S} SELECT entity_id, pos, " + ", ".join(f"round(target - lag(target, {k}) OVER o, 6) AS diff_{k}" for k in X.DIFFS) + " FROM s WINDOW o AS (PARTITION BY entity_id ORDER BY pos)")
 def diff_features(spark, d):
-    return rounded(events(spark, d).select("entity_id", "pos", *[c.alias(k) for k, c in X.diff_columns().items()]))
+    return rounded(X.in_blocks(events(spark, d).select("entity_id", "pos", "target"), max(X.DIFFS), lambda by: X.diff_columns(by=by)).drop("target"))
 
 
 @query(f"""WITH {S} SELECT entity_id, pos, round(lag(target, 1) OVER o - lag(target, 24) OVER o, 6) AS seasonal_diff, round(lag(target, 1) OVER o / (lag(target, 24) OVER o + 1e-6::DOUBLE), 4) AS seasonal_ratio
 FROM s WINDOW o AS (PARTITION BY entity_id ORDER BY pos)""")
 def seasonal_features(spark, d):
-    c = X.seasonal_columns()
-    return events(spark, d).select("entity_id", "pos", F.round(c["seasonal_diff"], 6).alias("seasonal_diff"), F.round(c["seasonal_ratio"], 4).alias("seasonal_ratio"))
+    s = X.in_blocks(events(spark, d), 24, lambda by: X.seasonal_columns(by=by))
+    return s.select("entity_id", "pos", F.round("seasonal_diff", 6).alias("seasonal_diff"), F.round("seasonal_ratio", 4).alias("seasonal_ratio"))
 
 
 def _ewm_sql() -> str:
