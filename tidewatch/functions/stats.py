@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 _ERF = np.frompyfunc(math.erf, 1, 1)
@@ -49,6 +52,45 @@ def ks_p_value(d: float, n: int, m: int, exact_upto: int = 4_000_000) -> float:
     return float(min(1.0, max(0.0, 1 - row[n])))
 
 
+@lru_cache(maxsize=4096)
+def ks_critical(n: int, m: int, alpha: float) -> float:
+    """The least value of the two-sample statistic with p < alpha (2 if there is none). Values are multiples of 1 / (n m), so it is found by halving."""
+    low, high = 0, n * m + 1
+    while low < high:
+        k = (low + high) // 2
+        if k > n * m or ks_p_value(k / (n * m), n, m) < alpha:
+            high = k
+        else:
+            low = k + 1
+    return low / (n * m) if low <= n * m else 2.0
+
+
+def ks_significant(d: float, n: int, m: int, alpha: float) -> bool:
+    """Whether p < alpha, by a critical value that is kept for each pair of sizes."""
+    return d > ks_critical(n, m, alpha) - 0.5 / (n * m)
+
+
+def ks_p(d: Column, n: Column, m: Column) -> Column:
+    """The exact two-sided p in the JVM: a fold over the diagonals of the n by m lattice of the shares of paths that stay where |i/n - j/m| < d.
+
+    Work is n (n + m) for each row, so distinct (d, n, m) should be asked once.
+    """
+    long, short = F.greatest(n, m).cast("int"), F.least(n, m).cast("int")
+    at = F.sequence(F.lit(0), long)
+    first = F.transform(at, lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+
+    def diagonal(row: Column, s: Column) -> Column:
+        def cell(i: Column) -> Column:
+            j = s - i
+            inside = (j >= 0) & (j <= short) & (F.abs(i / long - j / short) < d - 1e-12)
+            return F.when(inside, F.when(i > 0, F.get(row, i - 1) * i / s).otherwise(0.0) + F.get(row, i) * j / s).otherwise(0.0)
+
+        return F.transform(at, cell)
+
+    stayed = F.aggregate(F.sequence(F.lit(1), long + short), first, diagonal)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.get(stayed, long)))
+
+
 def wilcoxon_p_value(w: float, n: int) -> float:
     """Two-sided p of the smaller rank sum, by the normal approximation."""
     mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)

@@ -34,6 +34,14 @@ def ks(rows: DataFrame, *by: str) -> DataFrame:
     return _merged(rows, *by).groupBy(*by).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks_d"), F.first("nr").alias("ref_size"), F.first("nc").alias("cur_size"))
 
 
+def ks_test(rows: DataFrame, *by: str) -> DataFrame:
+    """ks with p, the exact two-sided p; it is computed once for each distinct distance and pair of sizes (null where a side is empty)."""
+    found = ks(rows, *by)
+    asked = found.where("ref_size > 0 and cur_size > 0").select("ks_d", "ref_size", "cur_size").distinct()
+    p = asked.withColumn("p", stats.ks_p(F.col("ks_d"), F.col("ref_size"), F.col("cur_size")))
+    return found.join(p, ["ks_d", "ref_size", "cur_size"], "left").select(*by, "ks_d", "ref_size", "cur_size", "p")
+
+
 def wasserstein(rows: DataFrame, *by: str) -> DataFrame:
     """w1, and w1 over the reference's deviation (its floor is 1e-10)."""
     area = F.abs(F.try_divide(F.col("cr"), F.col("nr")) - F.try_divide(F.col("cc"), F.col("nc"))) * (F.col("next") - F.col("x"))
@@ -207,6 +215,8 @@ def _effect(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class ResidualKS(Detector):
+    """p < alpha is decided by a critical value; with p_values=1 the p itself is computed, too."""
+
     name = "residual_ks"
 
     def start(self) -> None:
@@ -220,8 +230,8 @@ class ResidualKS(Detector):
         if min(len(a), len(b)) < least:
             return Result(False, 0.0, 1.0, len(a), len(b))
         d = stats.ks_statistic(a, b)
-        p = stats.ks_p_value(d, len(a), len(b))
-        drift = p < self.get("alpha", 0.05) or _effect(a, b) > self.get("effect_size", 0.5)
+        p = stats.ks_p_value(d, len(a), len(b)) if self.get("p_values", 0) else None
+        drift = stats.ks_significant(d, len(a), len(b), self.get("alpha", 0.05)) or _effect(a, b) > self.get("effect_size", 0.5)
         if drift:
             self.old.clear()
             self.old.extend(b)
@@ -253,6 +263,8 @@ class Wasserstein(Detector):
 
 
 class KSTest(Detector):
+    """p < alpha is decided by a critical value; with p_values=1 the p itself is computed, too."""
+
     name = "ks_test"
 
     def start(self) -> None:
@@ -265,8 +277,8 @@ class KSTest(Detector):
         if len(b) < 50 or not len(a):
             return Result(False, 0.0, 1.0, len(a), len(b))
         d = stats.ks_statistic(a, b)
-        p = stats.ks_p_value(d, len(a), len(b))
-        drift = p < self.get("alpha", 0.05) or _effect(a, b) > self.get("effect_size", 0.5)
+        p = stats.ks_p_value(d, len(a), len(b)) if self.get("p_values", 0) else None
+        drift = stats.ks_significant(d, len(a), len(b), self.get("alpha", 0.05)) or _effect(a, b) > self.get("effect_size", 0.5)
         if not drift and len(x):
             self.old = [*self.old[1:], float(x[-1])]
         return Result(drift, d, p, len(a), len(b))

@@ -35,6 +35,19 @@ def ks_score(spark, d):
     return rounded(D.ks(sides(spark, d), "entity_id", "window_id"))
 
 
+def ks_p_sql(d: str, n: str, m: str) -> str:
+    """The exact p by the same counts of lattice paths, as a fold of lists; d, n and m are columns."""
+    cell = f"CASE WHEN s[1] - i BETWEEN 0 AND least({n}, {m}) AND abs(i / greatest({n}, {m}) - (s[1] - i) / least({n}, {m})) < {d} - 1e-12 THEN CASE WHEN i > 0 THEN r[i] * i / s[1] ELSE 0 END + r[i + 1] * (s[1] - i) / s[1] ELSE 0.0::DOUBLE END"
+    return f"""greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - list_reduce(list_transform(range(1, {n} + {m} + 1), lambda k: [k::DOUBLE]), lambda r, s: list_transform(range(0, greatest({n}, {m}) + 1), lambda i: {cell}),
+list_transform(range(0, greatest({n}, {m}) + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))[greatest({n}, {m}) + 1]))"""
+
+
+@query(f"""WITH {SIDES}, {_ECDF}, g AS (SELECT entity_id, window_id, max(abs(fr - fc)) AS d, any_value(nr) AS n, any_value(nc) AS m FROM e GROUP BY 1, 2)
+SELECT entity_id, window_id, round(d, 6) AS ks_d, n AS ref_size, m AS cur_size, round({ks_p_sql('d', 'n', 'm')} + 1e-9::DOUBLE, 6) AS p FROM g""")
+def ks_p_value(spark, d):
+    return rounded(D.ks_test(sides(spark, d), "entity_id", "window_id").withColumn("p", F.col("p") + 1e-9))
+
+
 @query(f"""WITH {SIDES}, {_ECDF}, a AS (SELECT entity_id, window_id, sum(abs(fr - fc) * (nx - x)) AS w1 FROM e GROUP BY 1, 2), z AS (SELECT entity_id, window_id, stddev_pop(x) AS sd FROM sd WHERE side = 'ref' GROUP BY 1, 2)
 SELECT entity_id, window_id, round(w1, 6) AS w1, round(w1 / greatest(sd, 1e-10), 6) AS w1_normalised FROM a JOIN z USING (entity_id, window_id)""")
 def wasserstein_score(spark, d):
@@ -142,8 +155,22 @@ SELECT f.entity_id, b.window_id AS k, f.old, list_sort(f.old) AS o, list_concat(
 {_FOUND}"""
 
 
-# of the two KS detectors' exact p-values SQL has no short form
-_DETECTOR_SQL = {"adwin": _ADWIN, "residual_ks": None, "wasserstein": _WASSERSTEIN, "ks_test": None, "psi": _psi_detector_sql()}
+
+def _ks_detector_sql(start: str, windows: str, short: str, kept: str) -> str:
+    """start: old and w at first; windows: what a batch makes of w; short: too few values; kept: old and w after it, by `drift`."""
+    share = lambda x: f"len(list_filter({x}, lambda u: u <= v)) / len({x})"
+    return f"""WITH RECURSIVE {_BATCHES}, f AS (
+SELECT entity_id, CAST(-1 AS BIGINT) AS k, {start}, false AS drift, 0.0::DOUBLE AS score FROM rf
+UNION ALL SELECT entity_id, k, {kept}, drift, d FROM (
+SELECT *, d > 0 AND (CASE WHEN pooled > 1e-10 THEN abs(list_avg(old) - list_avg(w)) / pooled ELSE 0 END > 0.5 OR {ks_p_sql("d", "len(old)", "len(w)")} < 0.05) AS drift FROM (
+SELECT *, CASE WHEN {short} THEN 0.0::DOUBLE ELSE list_max(list_transform(list_concat(old, w), lambda v: abs({share("old")} - {share("w")}))) END AS d, CASE WHEN {short} THEN 0.0::DOUBLE ELSE sqrt((list_var_pop(old) + list_var_pop(w)) / 2) END AS pooled FROM (
+SELECT f.entity_id, b.window_id AS k, f.old, {windows} AS w, b.b AS x FROM {_NEXT}))))
+{_FOUND}"""
+
+
+_RESIDUAL_KS = _ks_detector_sql("r[-100:] AS old, CAST([] AS DOUBLE[]) AS w", "list_concat(f.w, b.b)[-100:]", "least(len(old), len(w)) < 30", "CASE WHEN drift THEN w ELSE old END, CASE WHEN drift THEN [] ELSE w END")
+_KS_TEST = _ks_detector_sql("r AS old, r[-200:] AS w", "list_concat(f.w, b.b)[-200:]", "len(w) < 50 OR len(old) = 0", "CASE WHEN drift OR len(x) = 0 THEN old ELSE list_append(old[2:], x[-1]) END, w")
+_DETECTOR_SQL = {"adwin": _ADWIN, "residual_ks": _RESIDUAL_KS, "wasserstein": _WASSERSTEIN, "ks_test": _KS_TEST, "psi": _psi_detector_sql()}
 
 
 def detector_ctes(kinds, series: str) -> str:
