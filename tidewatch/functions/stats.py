@@ -1,4 +1,4 @@
-"""Tail probabilities that Spark has no function for, on single values and arrays."""
+"""Tail probabilities that Spark has no function for: as columns (folds in the JVM), and on single values."""
 
 from __future__ import annotations
 
@@ -10,14 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-_ERF = np.frompyfunc(math.erf, 1, 1)
-
-
-def normal_cdf(x):
-    """Of a number or an array."""
-    return 0.5 * (1 + np.asarray(_ERF(np.asarray(x) / math.sqrt(2)), float))
-
-
 def kolmogorov_tail(x: float) -> float:
     """P(K > x) of the limiting distribution."""
     if x < 1e-3:
@@ -91,7 +83,23 @@ def ks_p(d: Column, n: Column, m: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.get(stayed, long)))
 
 
-def wilcoxon_p_value(w: float, n: int) -> float:
-    """Two-sided p of the smaller rank sum, by the normal approximation."""
-    mean, sd = n * (n + 1) / 4, math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-    return min(1.0, 2 * float(normal_cdf((w - mean) / sd))) if sd else float("nan")
+def normal_p(z: Column) -> Column:
+    """P(|Z| > |z|) of a standard normal Z, in the JVM: the power series of erf up to 3, beyond it the continued fraction of erfc. Null and NaN stay without p."""
+    x = F.abs(z) / math.sqrt(2)
+    terms = F.sequence(F.lit(0), F.lit(60))
+    # the k-th term is the one before it times -x^2 / k
+    series = F.aggregate(
+        terms, F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("power")),
+        lambda s, k: F.struct((s["sum"] + s["power"] * x / (2 * k + 1)).alias("sum"), (-s["power"] * x * x / (k + 1)).alias("power")), lambda s: s["sum"],
+    )
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(1.0), lambda f, k: 1 + k / (2 * x * x) / f)
+    tail = F.exp(-x * x) / (x * math.sqrt(math.pi) * fraction)
+    return F.when(z.isNull() | F.isnan(z), F.lit(None)).when(F.abs(z) <= 3, F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * series)).otherwise(tail)
+
+
+def signed_rank_p(w: Column, n: Column) -> Column:
+    """Two-sided p of the smaller signed-rank sum w of n untied differences, exactly: a fold over the ranks counts the subsets of each sum. Work is n^3 / 2."""
+    at = F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int"))
+    none = F.transform(at, lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    shares = F.aggregate(F.sequence(F.lit(1), n.cast("int")), none, lambda c, k: F.transform(at, lambda i: (F.get(c, i) + F.when(i >= k, F.get(c, i - k)).otherwise(0.0)) / 2))
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.slice(shares, F.lit(1), w.cast("int") + 1), F.lit(0.0), lambda a, v: a + v))

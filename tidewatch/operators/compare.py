@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -99,38 +101,98 @@ def diebold_mariano(pairs: DataFrame, *by: str, h: int = 1, kind: str = "MAE") -
 def with_normal_p(df: DataFrame, statistic: str = "statistic") -> DataFrame:
     """Two-sided p of a standard normal statistic, and whether it is under 5 %."""
 
-    @F.pandas_udf("double")
-    def p(x: pd.Series) -> pd.Series:
-        a = x.abs().to_numpy(float)
-        return pd.Series(np.where(np.isnan(a), np.nan, 2 * (1 - stats.normal_cdf(a)))).where(~np.isnan(a), None)
+    return df.withColumn("p_value", stats.normal_p(F.col(statistic))).withColumn("significant", F.col("p_value") < 0.05)
+
 
-    return df.withColumn("p_value", p(statistic)).withColumn("significant", F.col("p_value") < 0.05)
+def _signed_ranks(pairs: DataFrame, *by: str) -> DataFrame:
+    """n (differences other than 0), w_plus, w_minus and ties (the sum of t^3 - t over groups of t equal absolute differences) of column d."""
+    rows = pairs.where(F.col("d").isNotNull() & (F.col("d") != 0)).withColumn("a", F.abs("d"))
+    t = F.count("*").over(Window.partitionBy(*by, "a"))
+    r = F.rank().over(Window.partitionBy(*by).orderBy("a")) + (t - 1) / 2.0
+    return rows.withColumn("r", r).withColumn("t", t).groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("t") * F.col("t") - 1).alias("ties")
+    )
 
 
 def wilcoxon(pairs: DataFrame, *by: str) -> DataFrame:
-    """n (differences other than 0), w_plus, w_minus and statistic of the signed-rank test on column d."""
-    rows = pairs.where(F.col("d").isNotNull() & (F.col("d") != 0)).withColumn("a", F.abs("d"))
-    r = F.rank().over(Window.partitionBy(*by).orderBy("a")) + (F.count("*").over(Window.partitionBy(*by, "a")) - 1) / 2.0
-    s = rows.withColumn("r", r).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
-    return s.withColumn("statistic", F.when(F.col("n") >= 10, F.least("w_plus", "w_minus")))
-
-
-def bootstrap(pairs: DataFrame, n: int = 1000, seed: int = 42, centred: bool = True, *by: str) -> DataFrame:
-    """mean_diff of column d, percentile interval and two-sided p from n seeded resamples of each key's differences."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = np.sort(pdf["d"].dropna().to_numpy(float))
-        if not len(d):
-            return pd.DataFrame()
-        rng = np.random.default_rng(seed)
-        means = np.array([d[rng.integers(0, len(d), len(d))].mean() for _ in range(n)])
-        null = means - d.mean() if centred else means
-        p = float((np.abs(null) >= abs(d.mean())).mean())
-        lo, hi = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "mean_diff": d.mean(), "ci_low": lo, "ci_high": hi, "p_value": p}])
-
-    keys = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in by)
-    return pairs.groupBy(*(by or [F.lit("all")])).applyInPandas(one, f"{keys + ', ' if keys else ''}mean_diff double, ci_low double, ci_high double, p_value double")
+    """n (differences other than 0), w_plus, w_minus and statistic of the signed-rank test on column d; no statistic under 10 differences."""
+    return _signed_ranks(pairs, *by).drop("ties").withColumn("statistic", F.when(F.col("n") >= 10, F.least("w_plus", "w_minus")))
+
+
+def wilcoxon_test(pairs: DataFrame, *by: str, exact_upto: int = 50) -> DataFrame:
+    """n, statistic and two-sided p_value of each key, whether the p is `exact`, and whether it is under 5 %.
+
+    Exact by counting subsets of ranks up to `exact_upto` untied differences; else the normal approximation, its variance less the ties'. Under 10
+    differences there is neither statistic nor p.
+    """
+    s = _signed_ranks(pairs, *by).withColumn("statistic", F.when(F.col("n") >= 10, F.least("w_plus", "w_minus")))
+    n, exact = F.col("n"), (F.col("ties") == 0) & (F.col("n") <= exact_upto)
+    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    z = F.when(sd > 0, (F.col("statistic") - n * (n + 1) / 4) / sd)
+    # the exact fold is asked for small n only: elsewhere it runs over no ranks
+    p = F.when(exact, stats.signed_rank_p(F.when(exact, F.col("statistic")), F.when(exact, n))).otherwise(stats.normal_p(z))
+    s = s.withColumn("exact", exact & F.col("statistic").isNotNull()).withColumn("p_value", F.when(F.col("statistic").isNotNull(), p))
+    return s.select(*by, "n", "statistic", "exact", "p_value", (F.col("p_value") < 0.05).alias("significant"))
+
+
+#: Distinct differences in a block, and blocks in a group of blocks.
+BLOCK, GROUP = 2048, 512
+
+
+def bootstrap(pairs: DataFrame, n: int = 1000, seed: int = 42, centred: bool = True, *by: str, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """mean_diff of column d, percentile interval and two-sided p from n seeded resamples, each of exactly as many differences as the key has.
+
+    Equal differences are one row with their number. How often a resample takes each of them is multinomial, and drawn from the top down: first how many of its draws fall
+    into each group of blocks, then into each block of a group, then onto each difference of a block, by generators seeded by the key, the group and the
+    block. So a key is many tasks, a task holds a block's differences and n counts, and what is shuffled between the steps is n numbers a block.
+    Null and NaN differences take no part; a key without any has no row.
+    """
+    keys = list(by)
+    by_key = [F.col(k) for k in keys] or [F.lit("all").alias("all")]
+    rows = pairs.where(F.col("d").isNotNull() & ~F.isnan("d")).select(*by_key, F.col("d").cast("double").alias("d"))
+    names = keys or ["all"]
+    values = rows.groupBy(*names, "d").agg(F.count("*").alias("c"))
+    totals = values.groupBy(*names).agg(F.count("*").alias("__distinct"), F.sum(F.col("c") * F.col("d")).alias("__sum"), F.sum("c").alias("__n"))
+    cells = F.ceil(F.col("__distinct") / block).cast("bigint")
+    values = values.join(totals.select(*names, cells.alias("__cells")), names)
+    place = F.pmod(F.xxhash64("d"), F.col("__cells"))
+    values = values.select(*names, "d", "c", place.alias("block"), F.floor(place / group).cast("bigint").alias("group"))
+    kinds = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in names)
+
+    def rng(*which: object) -> np.random.Generator:
+        return np.random.default_rng([seed, *[zlib.crc32(repr(w).encode()) for w in which]])
+
+    def split(parts: str):
+        """Deals the draws of a parent (column draws; at the top, as many as there are differences) to its parts by their sizes."""
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(parts)
+            size = pdf["size"].to_numpy(float)
+            draws = np.full(n, int(size.sum())) if parts == "group" else np.array(pdf.draws.iloc[0], np.int64)
+            key = [pdf[k].iloc[0] for k in names] + ([] if parts == "group" else [pdf.group.iloc[0]])
+            dealt = rng(parts, *key).multinomial(draws, size / size.sum())
+            return pdf[[*names, "group", *([] if parts == "group" else ["block"])]].assign(draws=list(dealt.T))
+
+        return one
+
+    def sums(values: pd.DataFrame, dealt: pd.DataFrame) -> pd.DataFrame:
+        values = values.sort_values("d")
+        c, d = values.c.to_numpy(float), values.d.to_numpy(float)
+        counts = rng("value", *[values[k].iloc[0] for k in names], values.block.iloc[0]).multinomial(np.array(dealt.draws.iloc[0], np.int64), c / c.sum())
+        out = pd.DataFrame({"r": np.arange(n), "total": counts @ d})
+        return out.assign(**{k: values[k].iloc[0] for k in names})[[*names, "r", "total"]]
+
+    sizes = values.groupBy(*names, "group", "block").agg(F.sum("c").alias("size"))
+    tops = sizes.groupBy(*names, "group").agg(F.sum("size").alias("size")).groupBy(*names).applyInPandas(split("group"), f"{kinds}, group bigint, draws array<bigint>")
+    dealt = sizes.join(tops, [*names, "group"]).groupBy(*names, "group").applyInPandas(split("block"), f"{kinds}, group bigint, block bigint, draws array<bigint>")
+    dealt = dealt.toDF(*[f"__{c}" for c in dealt.columns])
+    drawn = values.groupBy(*names, "block").cogroup(dealt.groupBy(*[f"__{k}" for k in names], "__block")).applyInPandas(lambda v, w: sums(v, w.rename(columns={"__draws": "draws"})), f"{kinds}, r int, total double")
+    means = drawn.groupBy(*names, "r").agg(F.sum("total").alias("total")).join(totals, names)
+    mean = F.col("__sum") / F.col("__n")
+    away = F.col("total") / F.col("__n") - (mean if centred else F.lit(0.0))
+    quantiles = F.percentile(F.col("total") / F.col("__n"), F.array(F.lit(0.025), F.lit(0.975)))
+    out = means.groupBy(*names).agg(F.first(mean).alias("mean_diff"), quantiles.alias("q"), F.avg((F.abs(away) >= F.abs(mean)).cast("double")).alias("p_value"))
+    return out.select(*keys, "mean_diff", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "p_value")
 
 
 def pairwise(losses: DataFrame) -> DataFrame:

@@ -112,6 +112,32 @@ def wilcoxon_stat(spark, d):
     return C.wilcoxon(_pairs(spark, d).select("entity_id", F.round("d", 9).alias("d")), "entity_id")
 
 
+def _wilcoxon_sql(*by: str) -> str:
+    keys = ", ".join(by)
+    exact = """least(1.0::DOUBLE, 2 * list_sum(list_reduce(list_transform(range(1, n + 1), lambda k: [k::DOUBLE]), lambda c, k: list_transform(range(0, n * (n + 1) // 2 + 1), lambda i: (c[i + 1] + CASE WHEN i >= k[1] THEN c[i + 1 - k[1]::INT] ELSE 0 END) / 2),
+list_transform(range(0, n * (n + 1) // 2 + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))[1 : w::INT + 1]))"""
+    normal = """CASE WHEN abs(z) > 6 THEN 0.0::DOUBLE WHEN z = 0 THEN 1.0::DOUBLE ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 100), lambda k: (1 - 2 * (k % 2)) / (2 * k + 1) * exp((2 * k + 1) * ln(abs(z) / sqrt(2)) - lgamma(k + 1)))) END"""
+    return f"""WITH {_PAIRS}, z AS (SELECT {keys}, round(d, 9) AS d FROM pr WHERE d IS NOT NULL AND round(d, 9) <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {keys}, abs(d)) AS t FROM z),
+x AS (SELECT {keys}, count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, sum(t * t - 1) AS ties FROM r GROUP BY ALL),
+y AS (SELECT {keys}, n, CASE WHEN n >= 10 THEN w END AS w, n >= 10 AND n <= 50 AND ties = 0 AS exact, (w - n * (n + 1) / 4) / nullif(sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0) AS z FROM x),
+p AS (SELECT *, CASE WHEN w IS NULL THEN NULL WHEN exact THEN {exact} ELSE {normal} END AS p FROM y) SELECT {keys}, n, w AS statistic, exact, round(p + 1e-9::DOUBLE, 6) AS p_value, p < 0.05 AS significant FROM p"""
+
+
+def _tested(spark, d, *by: str):
+    return rounded(C.wilcoxon_test(_pairs(spark, d).withColumn("d", F.round("d", 9)), *by).withColumn("p_value", F.col("p_value") + 1e-9))
+
+
+@query(_wilcoxon_sql("entity_id"))
+def wilcoxon_p_value(spark, d):
+    return _tested(spark, d, "entity_id")
+
+
+@query(_wilcoxon_sql("entity_id", "window_id"))
+def wilcoxon_window_p_value(spark, d):
+    return _tested(spark, d, "entity_id", "window_id")
+
+
 @query()
 def bootstrap(spark, d):
     return rounded(C.bootstrap(_pairs(spark, d).select("entity_id", "d"), 1000, 42, True, "entity_id"))
