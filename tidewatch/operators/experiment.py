@@ -115,7 +115,7 @@ def main(argv: list[str] | None = None) -> None:
     import argparse
 
     from ..session import local
-    from ..sources import runs, series
+    from ..sources import run_store, series
 
     a = argparse.ArgumentParser()
     a.add_argument("--config", required=True)
@@ -129,8 +129,10 @@ def main(argv: list[str] | None = None) -> None:
     spark: SparkSession = local()
     c = Config(name, model, raw.get("strategy", "fixed_retrain"), LAYOUTS.get(name, Layout()), seed=args.seed)
     tables = run(series.get_dataset(spark, name, args.data), c)
-    overall = tables.pop("overall").first().asDict()
-    runs.write_run(args.output, overall, raw, **{k: tables.get(k) for k in ("window_metrics", "drift_log", "retraining_log")})
+    named = {"dataset": F.lit(name), "strategy": F.lit(c.strategy), "model": F.lit(model)}
+    for table, part in (("metrics", "overall"), ("window_metrics", "window_metrics"), ("drift_log", "drift_log"), ("retraining_log", "retraining_log")):
+        if part in tables:
+            run_store.write_runs(tables[part].withColumns(named), args.output, table)
 
 
 if __name__ == "__main__":
