@@ -31,7 +31,7 @@ def _forecast(y: np.ndarray, v: int, at: Layout, model: str, m: int, steps: np.n
 
 def loop(
     series: DataFrame, at: Layout, model: str = "naive", detector: str = "ks_test", policy: Mapping[str, object] | None = None, scope: str = "entity",
-    reference: str = "residual", m: int = 24, make: learned.Make | None = None, **params: float,
+    reference: str = "residual", m: int = 24, make: learned.Make | None = None, on: str = "residual", **params: float,
 ) -> DataFrame:
     """For each window: the window (v_entity, v_window) whose history its forecast was fitted on, what the detector found in the residuals,
     the mean error of the ERRORS windows before, and the policy's decision.
@@ -39,12 +39,14 @@ def loop(
     The detector starts from the first history: its targets, or with reference `residual` their differences from the first fit.
     model: naive (also for lstm) or seasonal_naive. Missing residuals are not shown to the detector; a series too short for a window has no rows.
 
+    on: what the detector is shown, residuals or targets (it then starts from targets, too).
+
     make: a learner instead of a baseline, over a series with features x (models.prepared). Then detector and policy see the residuals of the learned model
     itself, refitted where the policy says so, and rows have its forecasts, y_pred, as an array. Ridge moves its sums with the windows, so the loop
     reads each row twice however often it refits; trees and networks are fitted anew at each retrain only.
     """
     model = "naive" if model == "lstm" else model
-    if model not in ("naive", "seasonal_naive") or reference not in ("residual", "target") or scope not in ("entity", "shared"):
+    if model not in ("naive", "seasonal_naive") or not {reference, on} <= {"residual", "target"} or scope not in ("entity", "shared"):
         raise ValueError(f"no loop for {model}, {reference}, {scope}")
     if make is None and model == "seasonal_naive" and m > at.history:
         raise ValueError("the history is shorter than a season")
@@ -68,10 +70,10 @@ def loop(
             for k in range((len(y) - h - f) // s + 1 if len(y) >= h + f else 0):
                 if found is None:
                     served, fitted = (name, 0), learner.fit(0, h) if make else None
-                    found = drift.create_detector(detector, **params).fit(y[:h] - says(name, np.arange(-h, 0), 0) if reference == "residual" else y[:h])
+                    found = drift.create_detector(detector, **params).fit(y[:h] - says(name, np.arange(-h, 0), 0) if reference == on == "residual" else y[:h])
                 y_pred = says(name, np.arange(f), k * s + h)
                 gap = y[k * s + h : k * s + h + f] - y_pred
-                seen = found.detect(gap)
+                seen = found.detect(gap if on == "residual" else y[k * s + h : k * s + h + f])
                 error = float(np.mean(errors[-ERRORS:])) if errors else 0.0
                 go, reason = rules.decide(state, step, bool(seen.drift), float(seen.score), error)
                 out.append((name, k, *served, bool(seen.drift), float(seen.score), error, bool(go), reason, *([y_pred] if make else [])))
