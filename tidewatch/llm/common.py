@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,6 +93,20 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return arrow(df, run, schema)
 
 
+def own_columns(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Of an operator that returns its first argument's columns: columns whose names begin with `__`, as its own do, are set apart meanwhile."""
+
+    @functools.wraps(op)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names, mark = docs.columns, "own"
+        while any(n.lower().startswith(mark) for n in names):
+            mark += "_"
+        apart = [f"{mark}{i}" if n.startswith("__") else n for i, n in enumerate(names)]
+        return op(docs, *args, **options) if apart == names else op(docs.toDF(*apart), *args, **options).toDF(*names)
+
+    return run
+
+
 def seeded(*cols: str, seed: int = 0):
     """A 64-bit hash of the columns that samples and shuffles are ordered by."""
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])

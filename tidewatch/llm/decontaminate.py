@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, map_arrow, materialize, release
+from .common import alnum_words, map_arrow, materialize, own_columns, release
 
 WINDOW = 10
 #: Words of items in one automaton.
@@ -242,6 +242,7 @@ def _cutter() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return each
 
 
+@own_columns
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, in their own columns, without benchmark passages.
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, arrow, map_arrow, materialize, mixed, release, shingle_set
+from .common import Powers, arrow, map_arrow, materialize, mixed, own_columns, release, shingle_set
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -471,6 +471,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return named.join(found, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+@own_columns
 def keep_first(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs, in their own columns, with the smallest doc_id of each component; of rows that repeat both doc_id and text, one.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, seeded
+from .common import map_arrow, own_columns, seeded
 
 #: Texts of each language that the profiles are learned from, about.
 SAMPLE = 1500
@@ -173,6 +173,7 @@ def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return found.select("doc_id", (fold() == HELD_OUT).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__langs").alias("langs"))
 
 
+@own_columns
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, least_score: float = LEAST_SCORE) -> DataFrame:
     """docs, in their own columns, without texts of no language or of none that leads with least_score."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, own_columns, release
 
 THRESHOLD = 0.8
 #: Buckets of the word counts that rarity is read from.
@@ -199,9 +199,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     places = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
     ids = materialize(places.groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_set("at.line_no").alias("wanted")), "line-docs")
     few = docs.select("doc_id", "text").where("text is not null").join(ids, F.col("doc_id").eqNullSafe(F.col("id")))
-    split = few.select("doc_id", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = with_words(split.where(F.array_contains("wanted", F.col("line_no"))))
-    lines = materialize(lines.select(F.struct("doc_id", "line_no").alias("at"), "words").dropDuplicates(["at"]), "line-words")
+    # a text is split once (as the variable of a lambda), and only what is wanted of it becomes rows
+    chosen = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
+    split = few.select("doc_id", F.inline(F.get(chosen, F.lit(0)))).where("line is not null")
+    # rows that share a doc_id may have different lines at one place: each of them is verified
+    lines = materialize(with_words(split).select(F.struct("doc_id", "line_no").alias("at"), "words").distinct(), "line-words")
     x, y = (lines.select(F.col("at").alias(k), F.col("words").alias(f"w{k}")) for k in "xy")
     common = F.size(F.array_intersect("wx", "wy"))
     # the same plan at every size
@@ -228,15 +230,16 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+@own_columns
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, in their own columns, with the later ones of similar lines taken out of the texts."""
+    """docs, in their own columns (of any names), with the later ones of similar lines taken out of the texts.
+
+    Rows that share a doc_id lose the same lines, whatever their order: those at which any of the rows has a similar line.
+    """
     gone = find_similar(docs, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.array_join(
-        F.transform(
-            F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__gone", s["i"])),
-            lambda s: s["x"],
-        ),
-        "\n",
+    kept = F.transform(
+        F.array(F.split("text", "\n")),
+        lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), "\n"),
     )
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.get(kept, F.lit(0)))).select(docs.columns)

@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import map_arrow, own_columns
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -165,6 +165,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, {', '.join(f'n_{k} bigint' for k in BASE)}, base_sha256 string, spans string")
 
 
+@own_columns
 def redact(docs: DataFrame) -> DataFrame:
     """docs, in their own columns, with each span of the text replaced by its kind in brackets; of overlapping ones the first, longest wins."""
 
