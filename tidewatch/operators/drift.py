@@ -34,12 +34,16 @@ def ks(rows: DataFrame, *by: str) -> DataFrame:
     return _merged(rows, *by).groupBy(*by).agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("ks_d"), F.first("nr").alias("ref_size"), F.first("nc").alias("cur_size"))
 
 
-def ks_test(rows: DataFrame, *by: str) -> DataFrame:
-    """ks with p, the exact two-sided p; it is computed once for each distinct distance and pair of sizes (null where a side is empty)."""
-    found = ks(rows, *by)
+def with_ks_p(found: DataFrame) -> DataFrame:
+    """Rows of ks with p, the exact two-sided p; it is computed once for each distinct distance and pair of sizes (null where a side is empty)."""
     asked = found.where("ref_size > 0 and cur_size > 0").select("ks_d", "ref_size", "cur_size").distinct()
     p = asked.withColumn("p", stats.ks_p(F.col("ks_d"), F.col("ref_size"), F.col("cur_size")))
-    return found.join(p, ["ks_d", "ref_size", "cur_size"], "left").select(*by, "ks_d", "ref_size", "cur_size", "p")
+    return found.join(p, ["ks_d", "ref_size", "cur_size"], "left").select(*found.columns, "p")
+
+
+def ks_test(rows: DataFrame, *by: str) -> DataFrame:
+    """ks with p."""
+    return with_ks_p(ks(rows, *by))
 
 
 def wasserstein(rows: DataFrame, *by: str) -> DataFrame:

@@ -12,15 +12,17 @@ from ..operators import drift as D
 from ..operators import inject as I
 from ..operators import leaderboard as L
 from ..operators import rolling as R
+from ..operators import sliding
 from ..streaming import online
 from .catalog import query
 from .shared import AT, FC, H, ST, S, W, events, p_sql, rounded
 
 
 def sides(spark, d):
-    """Test targets with half of the mean added in every second window, against the entity's first rows."""
-    s = D.window_sides(events(spark, d), H, FC, ST).where(F.col("x").isNotNull())
-    return s.withColumn("x", F.when((F.col("side") == "cur") & (F.col("window_id") % 2 == 1), F.col("x") + 25.0).otherwise(F.col("x")))
+    """The entity's first targets, and test targets with half of the mean added in every second window."""
+    s = events(spark, d)
+    cur = R.test_rows(s, AT).select("entity_id", "window_id", F.when(F.col("window_id") % 2 == 1, F.col("y_true") + 25.0).otherwise(F.col("y_true")).alias("x"))
+    return s.where(F.col("pos") < H).select("entity_id", F.col("target").alias("x")), cur
 
 
 SIDES = f"""{W}, sd AS (SELECT entity_id, window_id, 'cur' AS side, y_true + CASE WHEN window_id % 2 = 1 THEN 25.0::DOUBLE ELSE 0 END AS x FROM t WHERE y_true IS NOT NULL
@@ -32,7 +34,7 @@ WINDOW k AS (PARTITION BY entity_id, window_id ORDER BY x), g AS (PARTITION BY e
 
 @query(f"WITH {SIDES}, {_ECDF} SELECT entity_id, window_id, round(max(abs(fr - fc)), 6) AS ks_d, any_value(nr) AS ref_size, any_value(nc) AS cur_size FROM e GROUP BY 1, 2")
 def ks_score(spark, d):
-    return rounded(D.ks(sides(spark, d), "entity_id", "window_id"))
+    return rounded(sliding.ks(*sides(spark, d)))
 
 
 def ks_p_sql(d: str, n: str, m: str) -> str:
@@ -45,13 +47,13 @@ list_transform(range(0, greatest({n}, {m}) + 1), lambda i: CASE WHEN i = 0 THEN
 @query(f"""WITH {SIDES}, {_ECDF}, g AS (SELECT entity_id, window_id, max(abs(fr - fc)) AS d, any_value(nr) AS n, any_value(nc) AS m FROM e GROUP BY 1, 2)
 SELECT entity_id, window_id, round(d, 6) AS ks_d, n AS ref_size, m AS cur_size, round({ks_p_sql('d', 'n', 'm')} + 1e-9::DOUBLE, 6) AS p FROM g""")
 def ks_p_value(spark, d):
-    return rounded(D.ks_test(sides(spark, d), "entity_id", "window_id").withColumn("p", F.col("p") + 1e-9))
+    return rounded(D.with_ks_p(sliding.ks(*sides(spark, d))).withColumn("p", F.col("p") + 1e-9))
 
 
 @query(f"""WITH {SIDES}, {_ECDF}, a AS (SELECT entity_id, window_id, sum(abs(fr - fc) * (nx - x)) AS w1 FROM e GROUP BY 1, 2), z AS (SELECT entity_id, window_id, stddev_pop(x) AS sd FROM sd WHERE side = 'ref' GROUP BY 1, 2)
 SELECT entity_id, window_id, round(w1, 6) AS w1, round(w1 / greatest(sd, 1e-10), 6) AS w1_normalised FROM a JOIN z USING (entity_id, window_id)""")
 def wasserstein_score(spark, d):
-    return rounded(D.wasserstein(sides(spark, d), "entity_id", "window_id"))
+    return rounded(sliding.wasserstein(*sides(spark, d)))
 
 
 def _psi_sql() -> str:
@@ -65,7 +67,7 @@ SELECT entity_id, window_id, round(psi, 6) AS psi, CASE WHEN psi < 0.1 THEN 'sta
 
 @query(_psi_sql())
 def psi_score(spark, d):
-    return rounded(D.psi(sides(spark, d), "entity_id", "window_id"))
+    return rounded(sliding.psi(*sides(spark, d)))
 
 
 @query(f"""WITH {S}, n AS (SELECT entity_id, count(*) AS n FROM s WHERE target IS NOT NULL GROUP BY 1), m AS (SELECT entity_id, avg(target) FILTER (pos < n // 2) AS a, avg(target) FILTER (pos >= n // 2) AS b,
@@ -192,7 +194,7 @@ for _kind, _sql in _DETECTOR_SQL.items():
 
 def observed(spark, d):
     """Windows with a drift flag (KS distance over 0.3) and score, and the error average."""
-    k = D.ks(sides(spark, d), "entity_id", "window_id").select("entity_id", "window_id", (F.col("ks_d") > 0.3).alias("drift_detected"), (F.col("ks_d") + 0.3).alias("drift_score"))
+    k = sliding.ks(*sides(spark, d)).select("entity_id", "window_id", (F.col("ks_d") > 0.3).alias("drift_detected"), (F.col("ks_d") + 0.3).alias("drift_score"))
     m = R.error_moving_average(R.window_metrics(R.predictions(events(spark, d), AT)))
     return m.join(k, ["entity_id", "window_id"]).withColumnRenamed("error_ma", "error")
 
