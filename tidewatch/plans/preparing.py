@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as X
@@ -37,32 +38,45 @@ def price_series(spark, d):
     return src.from_prices(s, "supplier", "DATE_DT").select("entity_id", "pos", "target")
 
 
-@query("""WITH g AS (SELECT e, p, TIMESTAMP '2010-01-01' + INTERVAL 1 HOUR * p AS ts FROM range(3) a(e), range(2000) b(p))
-SELECT 'station_' || e AS entity_id, p AS pos, round(greatest(0.0::DOUBLE, 15.0::DOUBLE + e * 2.0::DOUBLE + 10.0::DOUBLE * sin(2 * pi() * dayofyear(ts) / 365.25::DOUBLE) + 5.0::DOUBLE * sin(2 * pi() * hour(ts) / 24.0::DOUBLE) + p * 0.0001::DOUBLE), 6) AS target FROM g""")
+#: The event series with numbers of its entities, and its longest entity's length.
+_LAID = f"{S}, n AS (SELECT max(pos) + 1 AS n FROM s), g AS (SELECT s.*, dense_rank() OVER (ORDER BY entity_id) - 1 AS e, pos AS p, n, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS b FROM s, n)"
+
+
+def _laid(spark, d, make, *columns: str):
+    """Generated series without noise, as many and as long as the event series, whose values take the noise's place."""
+    s = events(spark, d)
+    ids = s.select("entity_id").distinct().withColumn("e", F.row_number().over(Window.orderBy("entity_id")) - 1)  # one row an entity
+    size = s.agg((F.max("pos") + 1).alias("n"), F.count_distinct("entity_id").alias("k")).first()
+    made = make(size.n or 0, size.k).select(F.col("target").alias("made"), "pos", F.regexp_extract("entity_id", r"(\d+)$", 1).cast("int").alias("e"), *columns)
+    return s.join(ids, "entity_id").join(made, ["e", "pos"]).select("entity_id", "pos", F.round(F.col("made") + F.col("target"), 6).alias("target"), *columns)
+
+
+@query(f"""WITH {_LAID}, h AS (SELECT *, TIMESTAMP '2010-01-01' + INTERVAL 1 HOUR * p AS ts FROM g)
+SELECT entity_id, pos, round(greatest(0.0::DOUBLE, 15.0::DOUBLE + e * 2.0::DOUBLE + 10.0::DOUBLE * sin(2 * pi() * dayofyear(ts) / 365.25::DOUBLE) + 5.0::DOUBLE * sin(2 * pi() * hour(ts) / 24.0::DOUBLE) + p * 0.0001::DOUBLE) + target, 6) AS target FROM h""")
 def weather_generator(spark, d):
-    return rounded(src.weather(spark, n_steps=2000, n_entities=3, noise=0.0).select("entity_id", "pos", "target"))
+    return _laid(spark, d, lambda n, k: src.weather(spark, n_steps=n, n_entities=k, noise=0.0))
 
 
 def _drift_sql(kind: str) -> str:
-    factor = {"sudden": "1.0", "gradual": "(p - 700) / 300.0", "incremental": "(p - 700) * 0.001", "recurring": "abs(sin(2 * pi() * (p - 700) / 1000.0))"}[kind]
+    factor = {"sudden": "1.0::DOUBLE", "gradual": "(p - b) / greatest(1, n - b)::DOUBLE", "incremental": "(p - b) * 0.001::DOUBLE", "recurring": "abs(sin(2 * pi() * (p - b) / 1000.0::DOUBLE))"}[kind]
     flag = "true" if kind in ("sudden", "incremental") else f"({factor}) > 0.1"
-    return f"""SELECT 'entity_' || e AS entity_id, p AS pos, round(100.0 + 20.0 * e + 10.0 * sin(2 * pi() * (p % 24) / 24.0) + CASE WHEN p >= 700 THEN (100.0 + 20.0 * e) * 0.5 * ({factor}) ELSE 0 END, 6)::DOUBLE AS target,
-p >= 700 AND {flag} AS has_drift FROM range(2) a(e), range(1000) b(p)"""
+    return f"""WITH {_LAID} SELECT entity_id, pos, round(100.0::DOUBLE + 20.0::DOUBLE * e + 10.0::DOUBLE * sin(2 * pi() * (p % 24) / 24.0::DOUBLE) + CASE WHEN p >= b THEN (100.0::DOUBLE + 20.0::DOUBLE * e) * 0.5::DOUBLE * ({factor}) ELSE 0 END + target, 6) AS target,
+p >= b AND {flag} AS has_drift FROM g"""
 
 
 for _kind in ("sudden", "gradual", "incremental", "recurring"):
 
     def _generated(spark, d, kind=_kind):
-        s, _ = src.synthetic_drift(spark, 1000, 2, kind, noise=0.0)
-        return rounded(s.select("entity_id", "pos", "target", "has_drift"))
+        return _laid(spark, d, lambda n, k: src.synthetic_drift(spark, n, k, kind, noise=0.0)[0], "has_drift")
 
     _generated.__name__ = f"synthetic_{_kind}"
     query(_drift_sql(_kind))(_generated)
 
 
-@query("SELECT 'entity_' || e AS entity, 'sudden' AS type, CAST(700 AS BIGINT) AS start_idx, CAST(999 AS BIGINT) AS end_idx, CAST(0.5 AS DOUBLE) AS magnitude FROM range(2) a(e)")
+@query(f"WITH {_LAID} SELECT DISTINCT 'entity_' || e AS entity, 'sudden' AS type, b AS start_idx, CAST(n - 1 AS BIGINT) AS end_idx, CAST(0.5 AS DOUBLE) AS magnitude FROM g")
 def synthetic_events(spark, d):
-    return src.synthetic_drift(spark, 1000, 2, "sudden")[1].drop("start_time")
+    size = events(spark, d).agg((F.max("pos") + 1).alias("n"), F.count_distinct("entity_id").alias("k")).first()
+    return src.synthetic_drift(spark, size.n or 0, size.k, "sudden")[1].drop("start_time")
 
 
 @query(f"WITH {S}, i AS (SELECT entity_id FROM s GROUP BY 1 ORDER BY md5('42:' || entity_id), entity_id LIMIT 2) SELECT entity_id, count(*) AS n FROM s SEMI JOIN i USING (entity_id) GROUP BY 1")

@@ -91,14 +91,12 @@ def extended_metrics(spark, d):
     return rounded(M.extended(R.predictions(events(spark, d), AT), "entity_id"))
 
 
-@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS policy, nw AS n_windows, CAST({v} AS BIGINT) AS retrains FROM (SELECT CAST(range AS BIGINT) AS nw FROM range(60))" for k, v in RETRAINS.items()) + ")")
+@query(f"WITH {W}, c AS (SELECT entity_id, window_id + 1 AS nw FROM w) " + " UNION ALL ".join(f"SELECT entity_id, '{k}' AS policy, nw AS n_windows, CAST({v} AS BIGINT) AS retrains FROM c" for k, v in RETRAINS.items()))
 def policy_retrain_counts(spark, d):
-    n = spark.range(60).withColumnRenamed("id", "n_windows")
-    out = None
-    for k in RETRAINS:
-        one = n.select(F.lit(k).alias("policy"), "n_windows", R.retrains(k, F.col("n_windows")).cast("bigint").alias("retrains"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Retrains of the policies after each window of the series."""
+    n = R.windows(events(spark, d), AT).select("entity_id", (F.col("window_id") + 1).alias("n_windows"))
+    counts = [F.struct(F.lit(k).alias("policy"), R.retrains(k, F.col("n_windows")).cast("bigint").alias("retrains")) for k in RETRAINS]
+    return n.select("entity_id", "n_windows", F.explode(F.array(*counts)).alias("c")).select("entity_id", "c.policy", "n_windows", "c.retrains")
 
 
 @query()
