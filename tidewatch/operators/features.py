@@ -201,6 +201,12 @@ def fill_missing(df: DataFrame, column: str, method: str = "forward_fill", by: S
     return filled.select(*[F.coalesce("__own", "__carry").alias(n) if n == column else F.col(n) for n in df.columns])
 
 
+def tail(series: DataFrame, n: int, by: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """The last n rows of each entity. Positions have no gaps, so they follow from each entity's last one; no entity is sorted."""
+    last = series.groupBy(*by).agg(F.max("pos").alias("__last"))
+    return series.join(last, list(by)).where(F.col("pos") > F.col("__last") - n).drop("__last")
+
+
 def missing_profile(df: DataFrame) -> DataFrame:
     """column, missing_count, missing_pct and total_rows, in one pass."""
     counts = df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

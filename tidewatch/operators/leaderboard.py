@@ -46,6 +46,13 @@ def adaptive_vs_fixed(runs: DataFrame, least: float = 10.0) -> DataFrame:
     return s.withColumn("improvement_pct", F.round(gain, 6)).withColumns({"winner": F.when(F.col("adaptive") < F.col("fixed"), "Adaptive").otherwise("Fixed"), "significant": F.abs(gain) > least})
 
 
+def adaptive_gains(runs: DataFrame, least: float = 10.0) -> DataFrame:
+    """The cases in which adaptive retraining is better by more than `least` per cent, largest gain first (ties by dataset and model), with their place."""
+    found = adaptive_vs_fixed(runs, least).where(F.col("improvement_pct") > least)
+    place = F.row_number().over(Window.orderBy(F.desc("improvement_pct"), "dataset", "model"))  # a row a dataset and model at most
+    return found.select(place.alias("place"), "dataset", "model", "adaptive", "fixed", "improvement_pct").orderBy("place")
+
+
 def adaptive_wins(runs: DataFrame) -> DataFrame:
     return adaptive_vs_fixed(runs).groupBy("model").agg(F.count_if(F.col("winner") == "Adaptive").alias("adaptive_wins"), F.count("*").alias("n"))
 

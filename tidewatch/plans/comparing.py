@@ -283,6 +283,13 @@ def adaptive_vs_fixed(spark, d):
     return L.adaptive_vs_fixed(rounded(runs(spark, d)))
 
 
+@query(f"""{_AF}, g AS (SELECT *, round((fixed - adaptive) / fixed * 100, 6) AS improvement_pct FROM af)
+SELECT CAST(row_number() OVER (ORDER BY improvement_pct DESC, dataset, model) AS INT) AS place, dataset, model, adaptive, fixed, improvement_pct FROM g WHERE improvement_pct > 2""")
+def adaptive_gains(spark, d):
+    """Gains of more than 2 per cent: few runs on these series reach the published 10."""
+    return L.adaptive_gains(rounded(runs(spark, d)), 2.0)
+
+
 @query(f"{_AF} SELECT model, count(*) FILTER (adaptive < fixed) AS adaptive_wins, count(*) AS n FROM af GROUP BY 1")
 def adaptive_win_counts(spark, d):
     return L.adaptive_wins(rounded(runs(spark, d)))

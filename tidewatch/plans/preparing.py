@@ -89,6 +89,11 @@ def downsampled(spark, d):
     return rounded(src.downsample(events(spark, d), "day").select("entity_id", F.to_date("timestamp").cast("string").alias("day"), "target"))
 
 
+@query(f"WITH {S}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY pos DESC) AS i FROM s) SELECT entity_id, pos, target FROM r WHERE i <= 24")
+def series_tail(spark, d):
+    return X.tail(events(spark, d), 24).select("entity_id", "pos", "target")
+
+
 @query(f"WITH {S} SELECT entity_id, round(avg(target), 6) AS mean, round(stddev_samp(target), 6) AS std, min(target) AS min, max(target) AS max, count(target) AS count FROM s GROUP BY 1")
 def series_entity_stats(spark, d):
     s = X.entity_statistics(events(spark, d))
