@@ -199,16 +199,6 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM b
 """
 
-OP10_SQL = f"""
-WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
-FROM s QUALIFY rank <= {nearest.NEAREST}
-"""
-
 OP11_SQL = f"""
 WITH k AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({heap_lloyd.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS r
