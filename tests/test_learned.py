@@ -191,3 +191,17 @@ def test_gaps_and_short_series(spark):
         got = models.get_model(name)(s, AT, policy="fixed_retrain", **params).toPandas()
         assert len(got) == R.test_rows(s, AT).count() and got.y_pred.notna().all() and "short" not in set(got.entity_id)
     assert models.get_model("lstm")(s.limit(0), AT).count() == 0
+
+
+def test_ridge_on_features_that_stop_moving_equals_a_refit():
+    """Dense rows: the hour stays in a window for long, and what the moved sums keep of it is rounding."""
+    rng, n = np.random.default_rng(8), 6000
+    hour = np.repeat(np.arange(n // 200) % 24, 200)
+    x = np.column_stack((hour, np.sin(2 * np.pi * hour / 24), np.cos(2 * np.pi * hour / 24), rng.normal(0, 300, (n, 4))))
+    y = x[:, 3] + rng.normal(0, 5, n)
+    ridge = learners.RollingRidge(x, y, 1.0)
+    for start in range(0, n - 144, 24):
+        got, (mean, sd, centre, w) = ridge.fit(start, start + 120), refit(x[start : start + 120], y[start : start + 120], 1.0)
+        ahead = x[start + 120 : start + 144]
+        assert np.allclose(got.predict(ahead), np.nan_to_num((ahead - mean) / sd) @ w + centre, rtol=1e-9, atol=1e-6)
+        assert np.allclose(got.sd, sd, rtol=1e-6)

@@ -33,9 +33,11 @@ class RollingRidge:
     that moves by k rows costs 2k rows of products instead of its whole length. Values are taken from the entity's mean, so that sums stay small.
     Scales change with the window, so the normal equations are factored anew (Cholesky) where a model is asked for. A move
     of half a window or more, or REFRESH moves in a row, sum the window afresh, which also stops rounding from adding up.
+    Where a feature's variance is under STEADY of its squares, here or in a window that the sums came from (an hour that does not change in dense rows), what is
+    left of it is rounding: such a window is fitted on its rows themselves.
     """
 
-    REFRESH = 256
+    REFRESH, STEADY = 256, 1e-6
 
     def __init__(self, x: np.ndarray, y: np.ndarray, alpha: float = 1.0) -> None:
         self.alpha, self.shift = alpha, np.nan_to_num(np.nanmean(x, axis=0)) if len(x) else np.zeros(x.shape[1])
@@ -44,7 +46,7 @@ class RollingRidge:
         self.y, self.known = np.nan_to_num(y), (~np.isnan(y)).astype(float)
         self.offset = float(self.y[self.known > 0].mean()) if self.known.any() else 0.0
         self.y = (self.y - self.offset) * self.known
-        self.at, self.moves, self.sums = (0, 0), 0, None
+        self.at, self.moves, self.sums, self.top = (0, 0), 0, None, None
 
     def _part(self, a: int, b: int) -> list[np.ndarray]:
         v, p, y, k = self.values[a:b], self.there[a:b], self.y[a:b], self.known[a:b]
@@ -55,19 +57,33 @@ class RollingRidge:
         a, b = self.at
         self.moves += 1
         if self.sums is None or not a <= start <= b or stop < b or 2 * (start - a + stop - b) >= stop - start or self.moves % self.REFRESH == 0:
-            self.sums = self._part(start, stop)
+            self.sums, self.top = self._part(start, stop), None
         else:
             self.sums = [s + new - old for s, new, old in zip(self.sums, self._part(b, stop), self._part(a, start), strict=True)]
-        self.at = (start, stop)
+        self.at, self.top = (start, stop), self.sums[2] if self.top is None else np.maximum(self.top, self.sums[2])
+
+    def _direct(self, start: int, stop: int) -> Linear:
+        """The window's model from its rows, without the sums."""
+        v, p, y, k = self.values[start:stop], self.there[start:stop], self.y[start:stop], self.known[start:stop] > 0
+        n = np.maximum(p.sum(0), 1)
+        mean = v.sum(0) / n
+        away = (v - mean) * p
+        sd = np.sqrt((away**2).sum(0) / n)
+        # what is left of a constant's variance is rounding
+        sd = np.where((sd < 1e-10) | (sd <= 1e-12 * np.sqrt((v * v).sum(0) / n)), 1.0, sd)
+        centre = float(y[k].mean()) if k.any() else 0.0
+        z = (away / sd)[k]
+        w = np.linalg.solve(z.T @ z + self.alpha * np.eye(z.shape[1]), z.T @ (y[k] - centre))
+        return Linear(mean + self.shift, sd, centre + self.offset, w)
 
     def fit(self, start: int, stop: int) -> Linear:
         self.move(start, stop)
         n, s, ss, vv, pv, pp, vy, py, k, ty = self.sums
         mean = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
         var = np.divide(ss, n, out=np.zeros_like(s), where=n > 0) - mean**2
-        sd = np.sqrt(np.maximum(var, 0))
-        # what is left of a constant's variance is rounding
-        sd = np.where((sd < 1e-10) | (var <= 1e-12 * np.divide(ss, n, out=np.ones_like(s), where=n > 0)), 1.0, sd)
+        if (var * n <= self.STEADY * self.top).any():
+            return self._direct(start, stop)
+        sd = np.sqrt(var)
         centre = ty / k if k else 0.0
         gram = (vv - mean[:, None] * pv - (mean[:, None] * pv).T + np.outer(mean, mean) * pp) / np.outer(sd, sd)
         # a value is 0 where it is missing, so the diagonal of pv has the sums of known rows' values
