@@ -104,10 +104,10 @@ def predictions(series: DataFrame, at: Layout, model: str = "naive", policy: str
         raise ValueError(f"no baseline model: {model}")
     out = rows.join(values, ["v_entity", "v_pos"], "left")
     if model == "seasonal_naive" and m > at.history:
-        marks = served.select("v_entity", "v_window").distinct()
-        means = series.join(marks.withColumnRenamed("v_entity", "entity_id"), "entity_id").where(
-            (F.col("pos") >= F.col("v_window") * at.step) & (F.col("pos") < F.col("v_window") * at.step + at.history)
-        )
+        # a row lies in history / step windows: it names them, so nothing is joined by entity alone
+        low, high = F.greatest(F.lit(0), F.floor((F.col("pos") - at.history) / at.step) + 1).cast("bigint"), F.floor(F.col("pos") / at.step).cast("bigint")
+        marks = served.select(F.col("v_entity").alias("entity_id"), "v_window").distinct()
+        means = series.where(low <= high).select("entity_id", "target", F.explode(F.sequence(low, high)).alias("v_window")).join(marks, ["entity_id", "v_window"], "left_semi")
         means = means.groupBy(F.col("entity_id").alias("v_entity"), "v_window").agg(F.avg("target").alias("__mean"))
         out = out.join(means, ["v_entity", "v_window"], "left").withColumn("y_pred", F.when(F.col("v_pos").isNull(), F.col("__mean")).otherwise(F.col("y_pred")))
     return out.select("entity_id", "window_id", "step", "h", "timestamp", "y_true", "y_pred")
