@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidewatch.functions import stats
@@ -247,3 +248,39 @@ def test_extended_metrics_without_a_key_cross_the_seams(spark):
     p = R.predictions(_shifted(spark), R.Layout(48, 12, 12))
     a, b = M.extended(p).first(), M.extended(p.drop("step")).first()
     assert all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a, b, strict=True))
+
+
+def test_means_behind_a_season_are_not_joined_by_entity_alone(spark):
+    """seasonal_fallback_metrics: a row names the windows that it lies in."""
+    s = R.predictions(events_of(spark, 400), R.Layout(20, 4, 8), "seasonal_naive", m=30)
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and ">=" in line]
+    p, y = s.toPandas(), events_of(spark, 400).orderBy("pos").toPandas().target
+    for r in p.itertuples():
+        at = r.window_id * 8 + 20 - 30 + r.h
+        assert r.y_pred == pytest.approx(y[r.window_id * 8 : r.window_id * 8 + 20].mean() if r.h < 10 else y[at])
+
+
+def events_of(spark, n):
+    return spark.range(n).select(F.lit("a").alias("entity_id"), F.timestamp_seconds(F.col("id") * 3600).alias("timestamp"), (F.col("id") * 37 % 101).cast("double").alias("target"), F.col("id").alias("pos"))
+
+
+def test_detectors_and_loops_hold_a_batch_and_not_an_entity(spark):
+    s, at = events_of(spark, 900), R.Layout(120, 24, 24)
+    s = s.unionByName(s.withColumn("entity_id", F.lit("b")).withColumn("target", F.col("target") + F.col("pos")))
+    p, ref = R.predictions(s, at), s.where("pos < 120").select("entity_id", "pos", F.col("target").alias("x"))
+    trace = drift.detect_windows(p, ref, "cusum").selectExpr("entity_id", "window_id as step", "drift_detected", "drift_score", "drift_score as error")
+    found = [drift.detect_windows(p, ref, k, on="target") for k in ("psi", "adwin", "wasserstein")] + [drift.policy_trace(trace, drift.create_policy("drift"))]
+    found += [adaptive.loop(s, at, m, "cusum", None, scope, threshold=100.0, drift=2.0) for m in ("naive", "seasonal_naive") for scope in ("entity", "shared")]
+    for f in found:
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert "MapInPandas" in plan and "FlatMapGroups" not in plan  # a fold of groups is given whole entities
+    whole = [f.toPandas() for f in found]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for f, w in zip(found, whole, strict=True):
+            keys = list(w.columns[:2])
+            assert len(w) and f.toPandas().sort_values(keys, ignore_index=True).equals(w.sort_values(keys, ignore_index=True))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)

@@ -2,12 +2,14 @@
 window that serves the next forecasts.
 
 The order within a window is predict, detect, decide, refit. A loop is sequential, so one task folds one entity (one task folds all
-entities in `shared` scope, which is one sequence by its meaning); entities run side by side. A fold holds one entity's targets.
+entities in `shared` scope, which is one sequence by its meaning); entities run side by side. A fold reads its rows in order and holds a window
+and a batch of them, however long the series are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import deque
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import numpy as np
@@ -16,19 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from . import drift, learned
+from . import drift, learned, ordered
 from .rolling import Layout, test_rows, version, windows
 
 ERRORS = 5
 SCHEMA = "entity_id string, window_id bigint, v_entity string, v_window bigint, drift_detected boolean, drift_score double, error double, retrain boolean, reason string"
 
 
-def _forecast(y: np.ndarray, v: int, at: Layout, model: str, m: int, steps: np.ndarray) -> np.ndarray:
-    """What the model fitted on window v says for steps after its history (negative: within it)."""
-    end = v * at.step + at.history
-    return np.full(len(steps), y[end - 1]) if model == "naive" else y[end - m + steps % m]
-
-
 def loop(
     series: DataFrame, at: Layout, model: str = "naive", detector: str = "ks_test", policy: Mapping[str, object] | None = None, scope: str = "entity",
     reference: str = "residual", m: int = 24, make: learned.Make | None = None, on: str = "residual", **params: float,
@@ -42,8 +38,7 @@ def loop(
     on: what the detector is shown, residuals or targets (it then starts from targets, too).
 
     make: a learner instead of a baseline, over a series with features x (models.prepared). Then detector and policy see the residuals of the learned model
-    itself, refitted where the policy says so, and rows have its forecasts, y_pred, as an array. Ridge moves its sums with the windows, so the loop
-    reads each row twice however often it refits; trees and networks are fitted anew at each retrain only.
+    itself, fitted anew on the rows of a window at each retrain only, and rows have its forecasts, y_pred, as an array.
     """
     model = "naive" if model == "lstm" else model
     if model not in ("naive", "seasonal_naive") or not {reference, on} <= {"residual", "target"} or scope not in ("entity", "shared"):
@@ -53,44 +48,62 @@ def loop(
     h, f, s = at.history, at.forecast, at.step
     rules = drift.create_policy(**(policy or {"kind": "drift_triggered", "gap": 3, "consecutive": 2, "threshold": 0.5, "decay": 0.5}))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        entities = {k: g.sort_values("pos") for k, g in pdf.groupby("entity_id", sort=True)}
-        held = {k: g["target"].to_numpy(float) for k, g in entities.items()}
-        features = {k: learned.matrix(g["x"]) for k, g in entities.items()} if make else {}
-        found, state, served, fitted, step, out = None, rules.start(), None, None, 0, []
+    def starts() -> dict:
+        return {"found": None, "rules": rules.start(), "served": None, "fitted": None, "step": 0}
+
+    def each(name: object, parts: Iterator[pd.DataFrame], s_: dict) -> Iterator[pd.DataFrame]:
+        """The loop over one entity. y (and x) hold its rows from position `low` on: those of the next window, and what is left of a batch."""
+        y, x, low, k, errors = np.empty(0), None, 0, 0, deque(maxlen=ERRORS)
+
+        def fit(v: int) -> object:
+            """What serves from here on: a model, or the targets that a baseline repeats (as numbers of steps after the history)."""
+            a = v * s - low
+            return make(x[a : a + h], y[a : a + h], v * s).fit(0, h) if make else (y[a + h - 1 : a + h] if model == "naive" else y[a + h - m : a + h])
 
-        def says(name: str, steps: np.ndarray, first: int) -> np.ndarray:
-            """The serving model's forecasts: of an entity's rows from `first` on, which a baseline takes as steps after its history."""
+        def says(a: int, b: int, first: int) -> np.ndarray:
+            """Forecasts of the rows from a to b; for a baseline, of steps after its history from `first` on."""
+            return s_["fitted"].predict(x[a - low : b - low]) if make else s_["fitted"][(np.arange(b - a) + first) % len(s_["fitted"])]
+
+        for part in parts:
+            y, out = np.concatenate((y, part["target"].to_numpy(float))), []
             if make:
-                return fitted.predict(features[name][first : first + len(steps)])
-            return _forecast(held[served[0]], served[1], at, model, m, steps)
-
-        for name, y in held.items():
-            errors, learner = [], make(features[name], y, 0) if make else None
-            for k in range((len(y) - h - f) // s + 1 if len(y) >= h + f else 0):
-                if found is None:
-                    served, fitted = (name, 0), learner.fit(0, h) if make else None
-                    found = drift.create_detector(detector, **params).fit(y[:h] - says(name, np.arange(-h, 0), 0) if reference == on == "residual" else y[:h])
-                y_pred = says(name, np.arange(f), k * s + h)
-                gap = y[k * s + h : k * s + h + f] - y_pred
-                seen = found.detect(gap if on == "residual" else y[k * s + h : k * s + h + f])
-                error = float(np.mean(errors[-ERRORS:])) if errors else 0.0
-                go, reason = rules.decide(state, step, bool(seen.drift), float(seen.score), error)
-                out.append((name, k, *served, bool(seen.drift), float(seen.score), error, bool(go), reason, *([y_pred] if make else [])))
+                x = learned.matrix(part["x"]) if x is None or not len(x) else np.vstack((x, learned.matrix(part["x"])))
+            while k * s + h + f <= low + len(y):
+                start, end = k * s, k * s + h
+                if s_["found"] is None:
+                    s_["served"], s_["fitted"] = (name, 0), fit(0)
+                    s_["found"] = drift.create_detector(detector, **params).fit(y[:h] - says(0, h, -h) if reference == on == "residual" else y[:h])
+                y_pred = says(end, end + f, 0)
+                seen_y = y[end - low : end - low + f]
+                gap = seen_y - y_pred
+                seen = s_["found"].observe(gap if on == "residual" else seen_y)
+                error = float(np.mean(errors)) if errors else 0.0
+                go, reason = rules.decide(s_["rules"], s_["step"], bool(seen.drift), float(seen.score), error)
+                out.append((name, k, *s_["served"], bool(seen.drift), float(seen.score), error, bool(go), reason, *([y_pred] if make else [])))
                 gap = gap[~np.isnan(gap)]
                 if len(gap):
                     errors.append(float(np.abs(gap).mean()))
-                if make and hasattr(learner, "move"):
-                    learner.move(k * s, k * s + h)
                 if go:
-                    served, fitted = (name, k), learner.fit(k * s, k * s + h) if make else None
-                step += 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+                    s_["served"], s_["fitted"] = (name, k), fit(k)
+                s_["step"] += 1
+                k += 1
+            drop = min(k * s - low, len(y))  # a step may pass over rows that aren't here yet
+            y, x, low = y[drop:].copy(), x[drop:].copy() if make else None, low + drop
+            yield pd.DataFrame(out, columns=names)
 
     schema = SCHEMA + (", y_pred array<double>" if make else "")
-    keys = ["entity_id"] if scope == "entity" else [F.lit("all")]
+    names = [c.split()[0] for c in schema.split(", ")]
     columns = ["entity_id", "pos", F.col("target").cast("double").alias("target"), *(["x"] if make else [])]
-    return series.select(*columns).groupBy(*keys).applyInPandas(fold, schema)
+    rows = series.select(*columns).where(F.col("entity_id").isNotNull())
+    if scope == "entity":
+        return ordered.fold(rows, "entity_id", ("pos",), lambda name, parts: each(name, parts, starts()), schema)
+
+    def sequence(entities: Iterator[tuple[object, Iterator[pd.DataFrame]]]) -> Iterator[pd.DataFrame]:
+        state = starts()
+        for name, parts in entities:
+            yield from each(name, parts, state)
+
+    return ordered.fold_all(rows, "entity_id", ("pos",), sequence, schema)
 
 
 def predictions(series: DataFrame, at: Layout, decided: DataFrame, model: str = "naive", m: int = 24) -> DataFrame:

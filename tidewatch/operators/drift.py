@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .ordered import fold
 
 
 # ---- distances between two samples, by key; rows: key columns, side ('ref' or 'cur'), x ----------------------------------------
@@ -141,12 +142,17 @@ class Detector:
     def step(self, x: np.ndarray) -> Result:
         raise NotImplementedError
 
-    def detect(self, batch: Iterable[float]) -> Result:
+    def observe(self, batch: Iterable[float]) -> Result:
+        """detect() for long series: the result isn't kept."""
         r = self.step(_finite(batch))
-        self.history.append(r)
         self.score = r.score
         return r
 
+    def detect(self, batch: Iterable[float]) -> Result:
+        r = self.observe(batch)
+        self.history.append(r)
+        return r
+
     def reset(self) -> None:
         self.fit(self.ref)
 
@@ -294,22 +300,32 @@ class PSI(Detector):
     def start(self) -> None:
         if len(self.ref) < self.get("min_ref", 100):
             raise ValueError("the reference is too small")
-        self.old, self.new = self.ref, deque(maxlen=int(self.get("window", 1000)))
+        self.new: deque[float] = deque(maxlen=int(self.get("window", 1000)))
+        self.renew(self.ref)
+
+    def renew(self, old: np.ndarray) -> None:
+        """Another reference: its tenths, and its shares of them."""
+        self.old, self.edges = old, np.quantile(old, np.linspace(0, 1, 11))
+        self.edges[-1] += 1
+        self.shares = self.share(old)
+
+    def share(self, v: np.ndarray) -> np.ndarray:
+        """Shares of the bins, each closed below, the last one on both sides."""
+        k = np.searchsorted(self.edges, v, "right") - 1
+        k[v == self.edges[-1]] = 9
+        return np.bincount(k[(k >= 0) & (k < 10)], minlength=10) / len(v)
 
     def step(self, x: np.ndarray) -> Result:
         self.new.extend(x)
         b = np.array(self.new)
         if len(b) < 2:
             return Result(False, 0.0, None, len(self.old), len(b))
-        edges = np.quantile(self.old, np.linspace(0, 1, 11))
-        edges[-1] += 1
-        counts = [np.array([((v >= lo) & ((v < hi) if k < 9 else (v <= hi))).sum() for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]) / len(v) for v in (self.old, b)]
-        e, a = (np.where(c == 0, 1e-4, c) for c in counts)
+        e, a = (np.where(c == 0, 1e-4, c) for c in (self.shares, self.share(b)))
         score = float(((a - e) * np.log(a / e)).sum())
         drift = score > self.get("threshold", 0.2)
         n = len(self.old)
         if drift:
-            self.old = b
+            self.renew(b)
             self.new.clear()
         return Result(drift, score, None, n, len(b))
 
@@ -327,22 +343,40 @@ def create_detector(kind: str, **params: float) -> Detector:
 def detect_windows(predictions: DataFrame, reference: DataFrame, kind: str = "ks_test", on: str = "residual", **params: float) -> DataFrame:
     """entity_id, window_id, drift_detected, drift_score: a detector for each entity, fed its windows in order.
 
-    reference: entity_id and x. An entity's detector is sequential, so one task folds one entity; entities run side by side.
+    reference: entity_id, x, and pos where its order matters. An entity's detector is sequential, so one task folds one entity; entities run side by side.
+    The task holds the reference, the detector's own windows and a batch of rows.
     """
     x = F.col("y_true") - F.col("y_pred") if on == "residual" else F.col("y_true")
-    rows = predictions.select("entity_id", "window_id", "h", x.cast("double").alias("x"))
-    ref = reference.select("entity_id", F.lit(-1).cast("bigint").alias("window_id"), F.lit(0).alias("h"), F.col("x").cast("double").alias("x"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["window_id", "h"], kind="stable")
-        d = create_detector(kind, **params).fit(pdf.x[pdf.window_id < 0])
-        out = []
-        for k, batch in pdf[pdf.window_id >= 0].groupby("window_id", sort=True):
-            r = d.detect(batch.x)
-            out.append((pdf.entity_id.iloc[0], k, bool(r.drift), float(r.score)))
-        return pd.DataFrame(out, columns=["entity_id", "window_id", "drift_detected", "drift_score"])
-
-    return rows.unionByName(ref).groupBy("entity_id").applyInPandas(fold, "entity_id string, window_id bigint, drift_detected boolean, drift_score double")
+    rows = predictions.select("entity_id", "window_id", F.col("h").cast("bigint").alias("h"), x.cast("double").alias("x"))
+    place = F.col("pos").cast("bigint") if "pos" in reference.columns else F.lit(0).cast("bigint")
+    ref = reference.select("entity_id", F.lit(-1).cast("bigint").alias("window_id"), place.alias("h"), F.col("x").cast("double").alias("x"))
+
+    def each(name: object, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d, at, held = None, -1, []
+
+        def close() -> list[tuple]:
+            """The window whose rows have all been seen; the one numbered -1 is the reference."""
+            nonlocal d
+            batch = np.concatenate(held) if held else np.empty(0)
+            if at < 0:
+                d = create_detector(kind, **params).fit(batch)
+                return []
+            r = d.observe(batch)
+            return [(name, at, bool(r.drift), float(r.score))]
+
+        for part in parts:
+            ids, values, out = part.window_id.to_numpy(), part.x.to_numpy(float), []
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if ids[a] != at:
+                    out += close()
+                    at, held = int(ids[a]), []
+                held.append(values[a:b])
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(close(), columns=columns)
+
+    columns = ["entity_id", "window_id", "drift_detected", "drift_score"]
+    return fold(rows.unionByName(ref), "entity_id", ("window_id", "h"), each, "entity_id string, window_id bigint, drift_detected boolean, drift_score double")
 
 
 # ---- retraining policies ---------------------------------------------------------------------------------------------------
@@ -448,18 +482,20 @@ def policy_trace(observed: DataFrame, policy: Policy, scope: str = "entity") ->
     """
     rows = observed.select("entity_id", "step", "drift_detected", "drift_score", "error")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step", kind="stable")
-        s, total, out = policy.start(), 0, []
-        first = int(pdf.step.iloc[0]) if scope == "entity" and len(pdf) else 0
-        for r in pdf.itertuples(index=False):
-            go, reason = policy.decide(s, int(r.step) - first, bool(r.drift_detected), float(r.drift_score), float(r.error))
-            total += go
-            out.append((r.entity_id, int(r.step), bool(go), reason, total))
-        return pd.DataFrame(out, columns=["entity_id", "step", "retrain", "reason", "total_retrains"])
-
-    keys = ["entity_id"] if scope == "entity" else [F.lit("all")]
-    return rows.groupBy(*keys).applyInPandas(fold, "entity_id string, step bigint, retrain boolean, reason string, total_retrains bigint")
+    def each(name: object, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s, total, first = policy.start(), 0, None
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                if first is None:
+                    first = int(r.step) if scope == "entity" else 0
+                go, reason = policy.decide(s, int(r.step) - first, bool(r.drift_detected), float(r.drift_score), float(r.error))
+                total += go
+                out.append((r.entity_id, int(r.step), bool(go), reason, total))
+            yield pd.DataFrame(out, columns=["entity_id", "step", "retrain", "reason", "total_retrains"])
+
+    rows = rows.withColumn("key", F.col("entity_id") if scope == "entity" else F.lit("all"))
+    return fold(rows, "key", ("step",), each, "entity_id string, step bigint, retrain boolean, reason string, total_retrains bigint")
 
 
 def retraining_statistics(log: DataFrame) -> DataFrame:

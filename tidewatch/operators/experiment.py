@@ -119,7 +119,7 @@ def run(series: DataFrame, c: Config) -> dict[str, DataFrame]:
     per = window_metrics(p)
     out = {"predictions": p, "window_metrics": per, "overall": p.agg(*[f().alias(n) for n, f in M.METRICS.items() if n in (c.metrics or M.METRICS)], F.count("*").alias("n_predictions")), "extended": M.extended(p)}
     if c.drift_enabled:
-        ref = series.where(F.col("pos") < c.layout.history).select("entity_id", F.col("target").alias("x"))
+        ref = series.where(F.col("pos") < c.layout.history).select("entity_id", "pos", F.col("target").alias("x"))
         found = decided.select("entity_id", "window_id", "drift_detected", "drift_score", "retrain", "reason") if decided is not None else drift.detect_windows(p, ref, c.detector, c.on, **c.detector_params)
         before = Window.partitionBy("entity_id").orderBy("window_id").rowsBetween(-5, -1)
         seen = per.join(found, ["entity_id", "window_id"]).withColumn("error", F.coalesce(F.avg("mae").over(before), F.lit(0.0)))

@@ -202,7 +202,7 @@ def detector_rank(spark, d):
     s = events(spark, d)
     half = s.groupBy("entity_id").agg(F.floor(F.count("*") / 2).alias("c"))
     s = s.join(half, "entity_id").withColumn("target", F.col("target") + F.when(F.col("pos") >= F.col("c"), _MOVE).otherwise(0.0)).drop("c")
-    rows, ref = R.predictions(s, AT), s.where((F.col("pos") < H) & F.col("target").isNotNull()).select("entity_id", F.col("target").alias("x"))
+    rows, ref = R.predictions(s, AT), s.where((F.col("pos") < H) & F.col("target").isNotNull()).select("entity_id", "pos", F.col("target").alias("x"))
     found = None
     for kind in _RANKED:
         one = D.detect_windows(rows, ref, kind, on="target").select(F.lit(kind).alias("detector"), "entity_id", F.col("window_id").alias("step"), "drift_detected")

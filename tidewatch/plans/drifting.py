@@ -89,7 +89,7 @@ def value_percentiles(spark, d):
 def _targets(spark, d):
     s = events(spark, d)
     p = R.predictions(s, AT)
-    return p, s.where((F.col("pos") < H) & F.col("target").isNotNull()).select("entity_id", F.col("target").alias("x"))
+    return p, s.where((F.col("pos") < H) & F.col("target").isNotNull()).select("entity_id", "pos", F.col("target").alias("x"))
 
 
 _REF = f"ref AS (SELECT entity_id, avg(target) AS mu, count(target) AS nr FROM s WHERE pos < {H} GROUP BY 1), x AS (SELECT entity_id, window_id, h, y_true AS x, row_number() OVER (PARTITION BY entity_id ORDER BY window_id, h) AS i FROM t WHERE y_true IS NOT NULL)"
