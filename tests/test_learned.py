@@ -205,3 +205,9 @@ def test_ridge_on_features_that_stop_moving_equals_a_refit():
         ahead = x[start + 120 : start + 144]
         assert np.allclose(got.predict(ahead), np.nan_to_num((ahead - mean) / sd) @ w + centre, rtol=1e-9, atol=1e-6)
         assert np.allclose(got.sd, sd, rtol=1e-6)
+
+
+def test_inference_equals_forward():
+    rng = np.random.default_rng(3)
+    net, x = learners.Network(1, 8, 2, rng), rng.normal(0, 3, (600, 7))
+    assert np.allclose(net.infer(x), net.forward(x[None])[0][0], rtol=0, atol=1e-13)
