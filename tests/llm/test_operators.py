@@ -504,3 +504,18 @@ def test_pipeline(spark):
     got = P.run(spark, SF).toPandas()
     assert set(got.doc_id) <= {r.doc_id for r in kept.collect()} and got.groupby("shard").size().pipe(lambda s: s.max() - s.min()) <= 1
     assert {r.doc_id for r in mixing.draw(kept).where("sampled").collect()} == set(got.doc_id)
+
+
+def test_topics_come_from_all_documents(spark, monkeypatch):
+    """One text in a few thousand counts in the frequencies and sums, and tasks and slices change nothing."""
+    rows = [(i, f"word{i % 3} text{i % 7} more", "en", "a") for i in range(2500)]
+    used = [mixing.learn_topics(mixing.binned(docs(spark, [*rows, *more]).repartition(k)), 3).weights for more, k in (([], 1), ([], 5), ([(9000 + i, "singular plural", "en", "a") for i in range(3)], 2))]
+    assert (used[0] == used[1]).all() and used[0].any()
+    at = mixing.word_bins("singular")[0]
+    assert not used[0][at].any() and used[2][at].any()
+    n = 2503
+    x = [mixing.word_bins(t) for t in [*[r[1] for r in rows], *["singular plural"] * 3]]
+    df = np.bincount(np.concatenate([b for b, _ in x]), minlength=mixing.BINS)
+    idf = np.log((1 + n) / (1 + df))
+    centres = used[2] / np.where(idf > 0, idf, 1)[:, None] / 1e6
+    assert np.allclose(np.linalg.norm(centres, axis=0), 1, atol=1e-4)

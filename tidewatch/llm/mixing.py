@@ -11,12 +11,12 @@ thus be met, whatever groups occur together, by weights in which no token counts
 other (up to what MAX_ROUNDS of raking leave open): the draw keeps at least a quarter of the tokens, however rare a group is. Given targets are met as they are, without a bound.
 Targets that no weights meet (groups that never occur apart, say) leave a rest after MAX_ROUNDS, which is reported as a warning.
 
-Topics are learned: clusters of hashed words, weighted by inverse document frequency, of at most `SAMPLE` documents (chosen by a
-hash of doc_id); every document joins the cluster whose centre it is closest to by cosine. Products are of integers, so that a document's
-topic is the same in every pass, whatever its batch.
+Topics are learned from all documents: clusters of hashed words, weighted by inverse document frequency; every document joins the cluster whose
+centre it is closest to by cosine. Frequencies, the draws of first centres and the sums of each round are jobs over a table of the documents'
+word bins; products and sums are of integers, so that centres and topics are the same whatever the batches and tasks.
 
-Scale: the centres are a broadcast of fixed size. One pass over the texts gives each document's cell and tokens, a narrow table that the
-cells are counted from with map-side combination (a source with a third of the rows adds one row a task) and the draw is made
+Scale: the centres have a fixed size; a task adds a row a topic and bin to a round. One pass over the texts gives each document's bins and tokens, a table that
+the rounds, the narrow table of topics and the draw are made from. Cells are counted with map-side combination (a source with a third of the rows adds one row a task) and the draw is made
 from. The table of cells is small, but that is checked: up to `MAX_CELLS` the raking runs on the driver and the weights are
 broadcast; beyond, the same loop runs over tables.
 """
@@ -26,7 +26,7 @@ from __future__ import annotations
 import warnings
 import zlib
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -35,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import alnum_words, blank_words, map_arrow, materialize, seeded
+from .common import alnum_words, arrow, blank_words, map_arrow, materialize, release, seeded
 
 AXES = ("source", "lang", "topic")
 N_TOPICS = 8
-#: Documents that topics are learned from, at most; bins of their words; rounds of clustering.
-SAMPLE = 2000
+#: Bins of words; rounds of clustering; documents whose products a task makes at once.
 BINS = 1 << 12
 CLUSTER_ROUNDS = 10
+SLICE = 512
 #: Default targets weight groups by their tokens to this power: under 1, small groups gain, but at most by the factor in GAINS.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 GAINS = {"source": 2.0, "lang": 2**0.5, "topic": 2**0.5}
@@ -63,55 +63,149 @@ def word_bins(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frexp(counts[at])[1].astype(np.int64)
 
 
+class Part:
+    """Some documents with words: a hash of each, and their bins and bit lengths end to end."""
+
+    def __init__(self, hashes: list[int], bins: list[np.ndarray], tf: list[np.ndarray]) -> None:
+        self.hashes, self.sizes = np.array(hashes, np.int64), np.array([len(b) for b in bins], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bins, self.tf = np.concatenate(bins).astype(np.int64), np.concatenate(tf).astype(np.int64)
+
+    def products(self, weights: np.ndarray) -> np.ndarray:
+        """A row a document, a column for each column of weights."""
+        return np.stack([np.add.reduceat(self.tf * w[self.bins], self.starts) for w in weights.T], axis=1) if weights.shape[1] else np.zeros((len(self.sizes), 0), np.int64)
+
+    def norms(self, idf: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.add.reduceat(self.tf * self.tf * np.rint(idf**2 * 1e6).astype(np.int64)[self.bins], self.starts) / 1e6)
+
+    def drawn(self, idf: np.ndarray, weights: np.ndarray, seed: int) -> tuple[float, int]:
+        """The document that comes first in a race, in which one far from all centres is fast; and its time (infinite: none runs)."""
+        norms = self.norms(idf)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = (self.products(weights) / (1e6 * norms[:, None])).max(axis=1, initial=0.0)
+            far = np.where(norms > 0, np.maximum(1 - near, 0.0).round(9) ** 2, 0.0)
+            mixed = (self.hashes.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            u = (((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(12)) / 2.0**52
+            time = np.where(far > 0, -np.log1p(-u) / far, np.inf)
+        k = int(time.argmin())
+        return float(time[k]), k
+
+    def totals(self, idf: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sums of the documents of unit length, in parts of 2**20, by nearest centre and bin."""
+        own, norms = np.repeat(self.products(weights).argmax(axis=1), self.sizes), np.repeat(np.maximum(self.norms(idf), 1e-12), self.sizes)
+        value = np.rint(self.tf * idf[self.bins] / norms * 2**20)
+        return np.bincount(own * BINS + self.bins, value, weights.shape[1] * BINS).astype(np.int64).reshape(-1, BINS)
+
+
+def learned(n: int, frequency: np.ndarray, first: Callable, totals: Callable, n_topics: int, seed: int) -> np.ndarray:
+    """Centres times inverse document frequencies, as integers. first(idf, weights, seed) is the next centre's document (bins, tf) or None, totals(idf, weights) the sums of a round."""
+    idf = np.log((1 + n) / (1 + frequency))
+    weighted = lambda c: np.rint(c.T * idf[:, None] * 1e6).astype(np.int64)
+    centres = np.zeros((0, BINS))
+    while n and len(centres) < n_topics and (found := first(idf, weighted(centres), seed + len(centres))) is not None:
+        x = np.zeros(BINS)
+        x[found[0]] = found[1] * idf[found[0]]
+        centres = np.vstack((centres, x / np.linalg.norm(x)))
+    for _ in range(CLUSTER_ROUNDS if len(centres) else 0):
+        total = totals(idf, weighted(centres)).astype(float)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        moved = np.where(size > 0, total / np.maximum(size, 1e-12), centres)
+        if np.array_equal(weighted(moved), weighted(centres)):
+            break
+        centres = moved
+    return weighted(centres)
+
+
 class Topics:
-    """Cluster centres, times inverse document frequencies, as integers: a row a bin, a column a topic."""
-
-    def __init__(self, sample: list[tuple[np.ndarray, np.ndarray]], n_topics: int = N_TOPICS, seed: int = SEED) -> None:
-        n = len(sample)
-        x = np.zeros((n, BINS))
-        for k, (bins, tf) in enumerate(sample):
-            x[k, bins] = tf
-        idf = np.log((1 + n) / (1 + (x > 0).sum(axis=0)))
-        x *= idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        rng, centres = np.random.default_rng(seed), np.zeros((0, BINS))
-        while n and len(centres) < n_topics:  # each next one far from those chosen, by a draw
-            far = np.maximum(1 - (x @ centres.T).max(axis=1, initial=0.0), 0.0).round(9) ** 2
-            if not far.sum():
-                break
-            centres = np.vstack((centres, x[rng.choice(n, p=far / far.sum())]))
-        for _ in range(CLUSTER_ROUNDS if len(centres) else 0):
-            own = (x @ centres.T).argmax(axis=1)
-            total = np.stack([x[own == k].sum(axis=0) for k in range(len(centres))])
-            size = np.linalg.norm(total, axis=1, keepdims=True)
-            centres = np.where(size > 0, total / np.maximum(size, 1e-12), centres)
-        self.weights = np.rint(centres.T * idf[:, None] * 1e6).astype(np.int64)
+    """Cluster centres, times inverse document frequencies, as integers: a row a bin, a column a topic. Learned from documents at hand, or given."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], n_topics: int = N_TOPICS, seed: int = SEED, weights: np.ndarray | None = None) -> None:
+        if weights is None:
+            part = Part([zlib.crc32(b"%d" % k) for k in range(len(docs))], *zip(*docs, strict=True)) if docs else None
+
+            def first(idf: np.ndarray, near: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
+                time, k = part.drawn(idf, near, seed)
+                return docs[k] if time < np.inf else None
+
+            seen = np.bincount(part.bins, minlength=BINS) if docs else np.zeros(BINS)
+            weights = learned(len(docs), seen, first, part.totals if docs else None, n_topics, seed)
+        self.weights = weights
 
     def of(self, text: str | None) -> int:
         """-1 for texts without words; of equally close centres the first."""
-        bins, tf = word_bins(text)
+        return self.of_bins(*word_bins(text))
+
+    def of_bins(self, bins: np.ndarray, tf: np.ndarray) -> int:
         if not len(bins):
             return -1
         return int((tf @ self.weights[bins]).argmax()) if self.weights.shape[1] else 0
 
 
-def learn_topics(docs: DataFrame, n_topics: int = N_TOPICS, sample: int = SAMPLE) -> Topics:
-    """Topics of at most `sample` documents with text."""
-    total = docs.count()
-    share = min(1.0, 2 * sample / max(1, total))
-    drawn = docs.select("text", seeded("doc_id", seed=SEED).alias("h")).where(F.col("text").isNotNull() & (F.pmod("h", F.lit(1 << 30)) <= F.lit(int(share * (1 << 30)))))
+def binned(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, tokens, a hash, bins (2 bytes each) and bit lengths (1 byte each) of each row, as a table."""
+    keep = ["doc_id", "source", "lang", "hash"]
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [word_bins(t.as_py()) for t in batch.column("text")]
-            lists = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([batch.column("h"), *lists], ["h", "bins", "tf"])
+            texts = batch.column("text").to_pylist()
+            found = [word_bins(t) for t in texts]
+            more = [
+                pa.array([len(blank_words(t)) for t in texts], pa.int64()), pa.array([b.astype(np.uint16).tobytes() for b, _ in found], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for _, t in found], pa.binary())
+            ]
+            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *more], [*keep, "tokens", "bins", "tf"])
 
         return each
 
-    rows = map_arrow(drawn, make, "h bigint, bins array<bigint>, tf array<bigint>").where(F.size("bins") > 0)
-    held = rows.orderBy("h", "bins", "tf").limit(sample).collect()
-    return Topics([(np.array(r.bins, np.int64), np.array(r.tf, np.int64)) for r in held], n_topics)
+    columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep[:3])
+    rows = docs.select("doc_id", "source", "lang", seeded("doc_id", seed=SEED).alias("hash"), "text")
+    return materialize(map_arrow(rows, make, f"{columns}, hash bigint, tokens bigint, bins binary, tf binary"), "binned")
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[Part]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            cut = batch.slice(lo, SLICE)
+            bins, tf = ([np.frombuffer(v, t) for v in cut.column(c).to_pylist()] for c, t in (("bins", np.uint16), ("tf", np.uint8)))
+            yield Part(cut.column("hash").to_pylist(), bins, tf)
+
+
+def learn_topics(table: DataFrame, n_topics: int = N_TOPICS) -> Topics:
+    """Topics of all rows of binned(); the driver gets a row a bin or a topic and bin."""
+    rows = table.where(F.length("bins") > 0).select("hash", "bins", "tf")
+
+    def summed(make: Callable[[Part], np.ndarray], size: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, np.int64)
+            for part in _parts(batches):
+                total += make(part).ravel()
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
+
+        out = np.zeros(size, np.int64)
+        for r in arrow(rows, run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+        return out
+
+    def first(idf: np.ndarray, near: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for part in _parts(batches):
+                time, k = part.drawn(idf, near, seed)
+                a, b = part.starts[k], part.starts[k] + part.sizes[k]
+                row = (time, part.bins[a:b].tolist(), part.tf[a:b].tolist())
+                if time < np.inf and (best is None or row < best):
+                    best = row
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.list_(pa.int64())), pa.array([best[2]], pa.list_(pa.int64()))], ["time", "bins", "tf"])
+
+        found = arrow(rows, run, "time double, bins array<bigint>, tf array<bigint>").orderBy("time", "bins", "tf").first()
+        return (np.array(found.bins, np.int64), np.array(found.tf, np.int64)) if found else None
+
+    def totals(idf: np.ndarray, near: np.ndarray) -> np.ndarray:
+        return summed(lambda part: part.totals(idf, near), near.shape[1] * BINS).reshape(-1, BINS)
+
+    frequency = summed(lambda part: np.bincount(part.bins, minlength=BINS), BINS)
+    return Topics([], weights=learned(rows.count(), frequency, first, totals, n_topics, SEED))
 
 
 def uniform(seed: int) -> Column:
@@ -124,11 +218,11 @@ def described(docs: DataFrame, topics, keep: list[str]) -> DataFrame:
     """The columns to keep of each row, and __topic and __tokens (runs without white space; 0 for null)."""
 
     def make():
-        learned = topics.value
+        learnt = topics.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column("text").to_pylist()
-            more = [pa.array([learned.of(t) for t in texts], pa.int32()), pa.array([len(blank_words(t)) for t in texts], pa.int64())]
+            more = [pa.array([learnt.of(t) for t in texts], pa.int32()), pa.array([len(blank_words(t)) for t in texts], pa.int64())]
             return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *more], [*keep, "__topic", "__tokens"])
 
         return each
@@ -137,10 +231,22 @@ def described(docs: DataFrame, topics, keep: list[str]) -> DataFrame:
     return map_arrow(docs.select(*keep, *({"text"} - set(keep))), make, f"{columns}, __topic int, __tokens bigint")
 
 
-def _narrow(docs: DataFrame, topics) -> DataFrame:
-    """doc_id, source, lang, topic and tokens of each row, as a table; null groups are groups of their own."""
-    rows = described(docs, topics, ["doc_id", "source", "lang"])
-    return materialize(rows.withColumnsRenamed({"__topic": "topic", "__tokens": "tokens"}), "described")
+def _narrow(table: DataFrame, topics) -> DataFrame:
+    """doc_id, source, lang, tokens and topic of each row of binned(), as a table; null groups are groups of their own."""
+    keep = ["doc_id", "source", "lang", "tokens"]
+
+    def make():
+        learnt = topics.value
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pairs = zip(batch.column("bins").to_pylist(), batch.column("tf").to_pylist(), strict=True)
+            found = pa.array([learnt.of_bins(np.frombuffer(b, np.uint16), np.frombuffer(t, np.uint8).astype(np.int64)) for b, t in pairs], pa.int32())
+            return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], found], [*keep, "topic"])
+
+        return each
+
+    columns = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in keep)
+    return materialize(map_arrow(table.select(*keep, "bins", "tf"), make, f"{columns}, topic int"), "described")
 
 
 def targets(cells: pd.DataFrame, given: Mapping[str, Mapping] | None = None) -> dict[str, pd.Series]:
@@ -244,11 +350,13 @@ def draw(docs: DataFrame, given: Mapping[str, Mapping] | None = None, seed: int
     """Each row's doc_id, source, lang, topic, tokens, cell weight, probability p and sampled (boolean).
 
     Null sources or languages and texts without words (topic -1) form groups of their own. Rows with the same doc_id in one cell are drawn
-    together, as the draw is a hash of doc_id (null hashes like any other value); of rows at one place in the sample for topics, which ties
-    of the hash decide, the one with the smaller bins comes first. Documents without tokens are kept. A very long text is counted whole, in
+    together, as the draw is a hash of doc_id (null hashes like any other value); of rows at one place in the draw of first centres, the one with
+    the smaller bins comes first. Documents without tokens are kept. A very long text is counted whole, in
     its task. An empty table gives an empty result. Other columns take no part, whatever their names.
     """
-    rows = _narrow(docs, docs.sparkSession.sparkContext.broadcast(learn_topics(docs)))
+    table = binned(docs)
+    rows = _narrow(table, docs.sparkSession.sparkContext.broadcast(learn_topics(table)))
+    release(table)
     cells = probabilities(rows, given, max_cells)
     keyed = cells.select(*[F.col(a).alias(f"__{a}") for a in AXES], "weight", "p")
     on = [F.col(a).eqNullSafe(F.col(f"__{a}")) for a in AXES]
@@ -263,8 +371,9 @@ def mix(docs: DataFrame, given: Mapping[str, Mapping] | None = None, seed: int =
 
     Nulls, empty texts and repeated rows are as in draw(); an empty table stays empty. Columns may not start with two underscores.
     """
-    topics = docs.sparkSession.sparkContext.broadcast(learn_topics(docs))
-    cells = probabilities(_narrow(docs, topics), given).select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("p").alias("__p"))
+    table = binned(docs)
+    topics = docs.sparkSession.sparkContext.broadcast(learn_topics(table))
+    cells = probabilities(_narrow(table, topics), given).select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), F.col("p").alias("__p"))
     small = cells.limit(MAX_CELLS + 1).count() <= MAX_CELLS
     on = F.col("source").eqNullSafe(F.col("__s")) & F.col("lang").eqNullSafe(F.col("__l")) & (F.col("__topic") == F.col("__t"))
     rows = described(docs, topics, docs.columns).withColumn("__u", uniform(seed))
