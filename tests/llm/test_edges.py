@@ -1,8 +1,9 @@
 """Columns whose names clash with an operator's own, long texts, and rows that share an id."""
 
+import pyarrow as pa
 import pytest
 
-from tidewatch.llm import decontaminate, jaccard, language_id, line_dedup, pii
+from tidewatch.llm import common, decontaminate, jaccard, language_id, line_dedup, pii
 
 P = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
 NAMES = ("__id", "__spans", "__lang", "__gone", "__items", "__score", "__n_words", "own0")
@@ -39,3 +40,14 @@ def test_rows_of_one_id_in_any_order(spark):
     found = [sorted((r.doc_id, r.removed) for r in line_dedup.removed_lines(docs(spark, order)).collect()) for order in (rows, rows[::-1], [rows[2], rows[1], rows[0], rows[3]])]
     assert found[0] == found[1] == found[2]
     assert ("2", "0") in {(str(i), r) for i, r in found[0]}
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    texts = spark.range(0, 40, 1, 1).selectExpr("repeat(chr(97 + id), 1000000) AS text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([sum(len(t.as_py()) for t in b.column("text"))], pa.int64())], ["n", "size"])
+
+    seen = common.arrow(texts, run, "n bigint, size bigint").toPandas()
+    assert seen.n.sum() == 40 and seen["size"].sum() == 40_000_000 and seen["size"].max() <= 2 * common.BATCH_BYTES

@@ -75,9 +75,21 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The session's bound on the bytes of a batch that goes to Python, and the most it is here: a worker holds several things made of a batch at once, and so does the JVM's side.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Sets the bound in the session, since plans read it when they run; a smaller one stays."""
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package on the executors."""
+    """mapInArrow with this package on the executors, a batch of bounded size at a time."""
     ship(df.sparkSession)
+    _bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -96,7 +96,7 @@ def rarity(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         for b in batches:
             found = [_bucket(shingle_set(t.as_py(), width, powers)) for t in b.column("text")]
             if sum(map(len, found)):
-                total += np.bincount(np.concatenate(found), minlength=len(total)).astype(np.int32)
+                np.add.at(total, np.concatenate(found), np.int32(1))
                 any_ = True
         if any_:
             packed = [zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(PIECES)]
