@@ -1,6 +1,7 @@
 """Corpus operators: edge cases, and each query against brute force on small tables."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -132,6 +133,23 @@ def test_line_dedup_in_a_group_of_near_copies(spark, monkeypatch, common_sets):
     assert found == brute_lines([(i, t) for i, t, _, _ in rows])
 
 
+def test_line_dedup_holds_one_table_of_lines_and_no_pairs_of_places(spark, monkeypatch):
+    stored, seen = {}, {}
+
+    def materialize(df, name):
+        seen[name] = df._jdf.queryExecution().toString()
+        if name == "line-pairs":
+            seen["lines kept"] = os.path.exists(stored["lines"].stored_at.removeprefix("file:"))
+        stored[name] = common.materialize(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(line_dedup, "materialize", materialize)
+    rows = [(i, f"one two three four five six seven eight nine w{i % 7}\nother words in line {i}", "en", "a") for i in range(60)]
+    assert line_dedup.removed_lines(docs(spark, rows)).where("n_removed > 0").count() == 59
+    assert seen["lines kept"] is False and "prefix" in stored["open-lines"].columns and "keys" not in stored["open-lines"].columns
+    assert "explode(array(x" not in seen["line-docs"]  # pairs are not laid out before their places meet
+
+
 def test_line_dedup_query(spark):
     got = Q.op2_line_dedup(spark, SF).toPandas()
     found = {(r.doc_id, int(n)) for r in got.itertuples() for n in r.removed.split(",") if n}

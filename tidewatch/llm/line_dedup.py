@@ -139,30 +139,38 @@ def first_witnesses(joining: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     first = keyed.groupBy("k").agg(F.min(F.struct("at", "n", *BITS)).alias("f"), F.count("*").alias("c")).where("c > 1").select("k", "f.*")
     pairs = keyed.alias("a").hint("merge").join(first.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.at") > F.col("b.at")) & _near("a", "b", t)[1])
     pairs = materialize(pairs.select(F.col("a.at").alias("x"), F.col("b.at").alias("y")).distinct(), "first-pairs")
-    return _verified(docs, pairs, t)
+    return _verified(docs, pairs, t, many=True)
+
 
+def left_open(joining: DataFrame, found: DataFrame) -> DataFrame:
+    """The lines that join, as a table without keys; open: not found yet."""
+    rows = joining.select("at", "n", *BITS, "prefix").hint("merge").join(found.select("at", F.lit(True).alias("found")), "at", "left")
+    return materialize(rows.select("at.*", "n", *BITS, F.col("found").isNull().alias("open"), "prefix"), "open-lines")
 
-def other_witnesses(joining: DataFrame, found: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """Places (at) of lines, without those found, that are similar to some line before them."""
-    rows = joining.join(found.select("at", F.lit(True).alias("found")), "at", "left").withColumn("open", F.col("found").isNull())
-    # the smaller set of a pair needs only the prefix that is enough among sets of its size or more; beyond it, i is negative
-    short = F.col("i") <= F.col("n") - _ceil(F.col("n") * (2 * t / (1 + t)))
-    prefix = rows.select("at.*", "n", *BITS, "open", F.posexplode("prefix").alias("i", "w"))
+
+def other_witnesses(rows: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """Places (at) of open lines of left_open() that are similar to some line before them."""
+    n, i = F.col("n"), F.col("i")
+    # left: the words from this one on; negative beyond the prefix that is enough among sets of this size or more, which the smaller set of a pair needs
+    short = i <= n - _ceil(n * (2 * t / (1 + t)))
+    prefix = rows.select("doc_id", "line_no", "n", *BITS, "open", F.posexplode("prefix").alias("i", "w"))
     prefix = prefix.where(F.shiftright("w", 56) != 1)  # a word that is there once has no partner
-    prefix = prefix.withColumn("i", F.when(short, F.col("i")).otherwise(-F.col("i")))
+    prefix = prefix.select("w", "doc_id", "line_no", "n", *BITS, "open", F.when(short, n - i).otherwise(i - n).alias("left"))
     a, b = prefix.alias("a"), prefix.alias("b")
     n_a, n_b, line = F.col("a.n"), F.col("b.n"), F.col("a.line_no") > F.col("b.line_no")
     # a null doc_id comes before all others
     after = F.when(F.col("b.doc_id").isNull(), F.col("a.doc_id").isNotNull() | line).when(F.col("a.doc_id").isNull(), False)
     after = after.otherwise((F.col("a.doc_id") > F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & line))
     need, near = _near("a", "b", t)
-    # conditions on one side alone are tied to the other, so that both sides stay the same rows, which are shuffled once
-    pairs = a.join(
+    # conditions on one side alone are tied to the other, so that both sides stay the same rows, which are shuffled once; most rows of a word differ
+    # too much in length, so that comes first
+    pairs = a.hint("merge").join(
         b,
         (F.col("a.w") == F.col("b.w"))
-        & F.when(n_a >= n_b, F.col("b.i") >= 0).otherwise(False)
-        # the words up to the i-th aren't in common but for this one, or an earlier one was met elsewhere
-        & (F.least(n_a - F.abs("a.i"), n_b - F.col("b.i")) >= need)
+        & F.when(n_a >= n_b, F.col("b.left") > 0).otherwise(False)
+        & (n_a * t <= n_b + 1e-9)
+        # the words before these aren't in common, or an earlier one was met elsewhere
+        & (F.least(F.abs("a.left"), F.col("b.left")) >= need)
         & near
         & ((n_a > n_b) | after)
         & F.when(after, F.col("a.open")).otherwise(F.col("b.open")),
@@ -188,17 +196,22 @@ def find_similar(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     common = same.orderBy(F.desc("copies"), "s1", "s2").limit(COMMON).select("s1", "s2", "first")
     joining = table.join(F.broadcast(common), ["s1", "s2"], "left").where(F.col("first").isNull() | (F.col("first") == F.col("at")))
     first = first_witnesses(joining, docs, threshold)
-    rest = other_witnesses(joining, first, docs, threshold)
+    rows = left_open(joining, first)
+    release(stored, same)
+    rest = other_witnesses(rows, docs, threshold)
     out = materialize(copies.unionByName(first).unionByName(rest).distinct().select("at.*"), "similar-lines")
-    release(stored, same, copies, first, rest)
+    release(rows, copies, first, rest)
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Places (at) of lines x whose full sets are similar enough to that of some y. Only the lines named in pairs are read into sets again."""
-    places = pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct()
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float, many: bool = False) -> DataFrame:
+    """Places (at) of lines x whose full sets are similar enough to that of some y. Only the lines named in pairs are read into sets again; many: most texts hold some."""
+    # a line in many pairs is one place before the two sides meet
+    places = pairs.select(F.col("x").alias("at")).distinct().union(pairs.select(F.col("y").alias("at")).distinct())
     ids = materialize(places.groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_set("at.line_no").alias("wanted")), "line-docs")
-    few = docs.select("doc_id", "text").where("text is not null").join(ids, F.col("doc_id").eqNullSafe(F.col("id")))
+    texts = docs.select("doc_id", "text").where("text is not null")
+    # the same plan at every size
+    few = (texts.hint("merge") if many else texts).join(ids, F.col("doc_id").eqNullSafe(F.col("id")))
     # a text is split once (as the variable of a lambda), and only what is wanted of it becomes rows
     chosen = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda i: F.struct(i.alias("line_no"), F.get(lines, i).alias("line"))))
     split = few.select("doc_id", F.inline(F.get(chosen, F.lit(0)))).where("line is not null")
