@@ -3,11 +3,13 @@
 import hashlib
 import os
 import re
+import timeit
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
 
@@ -251,6 +253,38 @@ def test_topics_part_texts_by_their_words():
     assert learned.of(None) == learned.of("") == learned.of("?! ...") == -1 and mixing.Topics([]).of("a word") == 0
 
 
+def test_word_bins_take_one_pass_without_counting_words():
+    def counted(text):
+        n = Counter(common.alnum_words(text))
+        out = np.zeros(mixing.BINS, np.int64)
+        np.add.at(out, [zlib.crc32(w) & (mixing.BINS - 1) for w in n], list(n.values()))
+        at = np.flatnonzero(out)
+        return at, [int(k).bit_length() for k in out[at]]
+
+    def plain(text):  # as it was
+        n = Counter(common.alnum_words(text))
+        return np.bincount(np.fromiter((zlib.crc32(w) & (mixing.BINS - 1) for w in n), np.int64, len(n)), np.fromiter(n.values(), float, len(n)), mixing.BINS)
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"Word{k}" for k in rng.integers(0, 400, 600)) for _ in range(60)]
+    for t in [None, "", "?!", "one", *texts]:
+        (at, tf), (want, bits) = mixing.word_bins(t), counted(t)
+        assert at.tolist() == want.tolist() and tf.tolist() == bits
+
+    def least(f):
+        return min(timeit.repeat(lambda: [f(t) for t in texts], number=1, repeat=15))
+
+    assert least(mixing.word_bins) < 0.9 * least(plain)
+
+
+def test_mixing_reads_parts_of_sliced_batches():
+    rows = [([5, 9, 300], [1, 2, 1]), ([7], [3]), ([0, 4095], [1, 9]), ([8, 9], [2, 2])]
+    cols = [pa.array([3, 4, -5, 6]), *[pa.array([np.array(r[k], t).tobytes() for r in rows], pa.binary()) for k, t in enumerate((np.uint16, np.uint8))]]
+    (part,) = mixing._parts([pa.RecordBatch.from_arrays(cols, ["hash", "bins", "tf"]).slice(1, 3)])
+    assert part.hashes.tolist() == [4, -5, 6] and part.sizes.tolist() == [1, 2, 2] and part.starts.tolist() == [0, 1, 3]
+    assert part.bins.tolist() == [7, 0, 4095, 8, 9] and part.tf.tolist() == [3, 1, 9, 2, 2]
+
+
 def test_mixing_reports_targets_out_of_reach(spark):
     rows = [(i, f"some text {i}", "en" if i % 2 else "de", "big" if i % 2 else "small") for i in range(40)]
     with pytest.warns(UserWarning, match="off their targets"):

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import warnings
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
@@ -56,9 +55,8 @@ REPORTED = 1e-3
 
 def word_bins(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The bins of the text's words, and of each the bit length of its count."""
-    words = Counter(alnum_words(text))
-    bins = np.fromiter((zlib.crc32(w) & (BINS - 1) for w in words), np.int64, len(words))
-    counts = np.bincount(bins, np.fromiter(words.values(), float, len(words)), BINS).astype(np.int64)
+    # hashing each word again is faster than counting words first
+    counts = np.bincount(np.fromiter(map(zlib.crc32, alnum_words(text)), np.int64) & (BINS - 1), minlength=BINS)
     at = np.flatnonzero(counts)
     return at, np.frexp(counts[at])[1].astype(np.int64)
 
@@ -66,10 +64,10 @@ def word_bins(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 class Part:
     """Some documents with words: a hash of each, and their bins and bit lengths end to end."""
 
-    def __init__(self, hashes: list[int], bins: list[np.ndarray], tf: list[np.ndarray]) -> None:
-        self.hashes, self.sizes = np.array(hashes, np.int64), np.array([len(b) for b in bins], np.int64)
+    def __init__(self, hashes: np.ndarray, sizes: np.ndarray, bins: np.ndarray, tf: np.ndarray) -> None:
+        self.hashes, self.sizes = np.asarray(hashes, np.int64), np.asarray(sizes, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bins, self.tf = np.concatenate(bins).astype(np.int64), np.concatenate(tf).astype(np.int64)
+        self.bins, self.tf = bins.astype(np.int64), tf.astype(np.int64)
 
     def products(self, weights: np.ndarray) -> np.ndarray:
         """A row a document, a column for each column of weights."""
@@ -121,7 +119,8 @@ class Topics:
 
     def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], n_topics: int = N_TOPICS, seed: int = SEED, weights: np.ndarray | None = None) -> None:
         if weights is None:
-            part = Part([zlib.crc32(b"%d" % k) for k in range(len(docs))], *zip(*docs, strict=True)) if docs else None
+            bins, tf = zip(*docs, strict=True) if docs else ((), ())
+            part = Part([zlib.crc32(b"%d" % k) for k in range(len(docs))], [len(b) for b in bins], np.concatenate(bins), np.concatenate(tf)) if docs else None
 
             def first(idf: np.ndarray, near: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
                 time, k = part.drawn(idf, near, seed)
@@ -161,12 +160,20 @@ def binned(docs: DataFrame) -> DataFrame:
     return materialize(map_arrow(rows, make, f"{columns}, hash bigint, tokens bigint, bins binary, tf binary"), "binned")
 
 
+def _laid(column: pa.Array, of: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column without nulls end to end, as numbers, and how many each has."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(of)
+    return values, np.diff(at) // values.itemsize
+
+
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[Part]:
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
             cut = batch.slice(lo, SLICE)
-            bins, tf = ([np.frombuffer(v, t) for v in cut.column(c).to_pylist()] for c, t in (("bins", np.uint16), ("tf", np.uint8)))
-            yield Part(cut.column("hash").to_pylist(), bins, tf)
+            bins, sizes = _laid(cut.column("bins"), np.uint16)
+            yield Part(cut.column("hash").to_numpy(), sizes, bins, _laid(cut.column("tf"), np.uint8)[0])
 
 
 def learn_topics(table: DataFrame, n_topics: int = N_TOPICS) -> Topics:
